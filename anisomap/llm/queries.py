@@ -25,10 +25,16 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anisomap.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from anisomap.llm.language import language
 
     return language(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_decontamination": op3_decontamination, "op9_language": op9_language}
+QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_decontamination": op3_decontamination, "op7_minhash": op7_minhash, "op9_language": op9_language}
