@@ -30,4 +30,16 @@ comp AS (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c AS component_id, d.doc_id = c AS kept FROM d JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_decontamination": _OP3, "op7_minhash": _OP7}
+#: base32 of a hexadecimal SHA-1: four digits of base 32 for five of base 16.
+_OP10 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS x FROM p),
+e AS (SELECT page_id, n, x, array_to_string(list_transform(range(0, 8), lambda k: array_to_string(list_transform(range(0, 4), lambda j:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, 5 * k + 1, 5))::INTEGER >> (15 - 5 * j)) & 31)::INTEGER, 1)), '')), '') AS b FROM d),
+m AS (SELECT x, max(page_id) AS best FROM d GROUP BY 1)
+SELECT page_id, n::BIGINT AS payload_bytes, b AS payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> best THEN best END AS refers_to
+FROM e JOIN m USING (x)
+"""
+
+ORACLES: dict[str, str] = {"op10_warc": _OP10, "op3_decontamination": _OP3, "op7_minhash": _OP7}

@@ -37,4 +37,24 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_decontamination": op3_decontamination, "op7_minhash": op7_minhash, "op9_language": op9_language}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anisomap.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anisomap.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_toxicity": op2_toxicity,
+    "op3_decontamination": op3_decontamination,
+    "op7_minhash": op7_minhash,
+    "op8_packing": op8_packing,
+    "op9_language": op9_language,
+    "op10_warc": op10_warc,
+}
