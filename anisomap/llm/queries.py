@@ -25,6 +25,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anisomap.llm.ann import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from anisomap.llm.neardup import near_duplicates
 
@@ -53,6 +60,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
+    "op5_ann": op5_ann,
     "op7_minhash": op7_minhash,
     "op8_packing": op8_packing,
     "op9_language": op9_language,
