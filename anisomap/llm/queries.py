@@ -32,6 +32,12 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anisomap.llm.tokencounts import rollup_of
+
+    return rollup_of(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from anisomap.llm.neardup import near_duplicates
 
@@ -61,6 +67,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
     "op5_ann": op5_ann,
+    "op6_token_counts": op6_token_counts,
     "op7_minhash": op7_minhash,
     "op8_packing": op8_packing,
     "op9_language": op9_language,
