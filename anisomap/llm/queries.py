@@ -25,6 +25,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anisomap.llm.suffixtree import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from anisomap.llm.ann import nearest
 
@@ -66,6 +72,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
+    "op4_suffix_tree": op4_suffix_tree,
     "op5_ann": op5_ann,
     "op6_token_counts": op6_token_counts,
     "op7_minhash": op7_minhash,
