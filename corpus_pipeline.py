@@ -1,25 +1,65 @@
-"""The corpus pipeline: quality, language, near-duplicates, decontamination, packing."""
+"""The corpus pipeline: quality, language, near-duplicates, decontamination, packing.
+
+Each stage takes all that its predecessor kept and returns a DataFrame, which is written and read again; all but the
+last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from anisomap.llm.common import fold, table
+from anisomap.llm.common import table, written
+from anisomap.llm.decontamination import remove_spans
+from anisomap.llm.language import identify, train_language
+from anisomap.llm.neardup import keep_one
+from anisomap.llm.packing import pack
 from anisomap.llm.quality import score_quality, train_quality
+from anisomap.session import ship
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least 0.3."""
+    """Documents whose quality probability is at least 0.3; the classifier learns from those of ``docs`` with a label."""
     model = train_quality(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs, model).where("quality_predicted = 1").select(*docs.columns)
 
 
-STAGES = [("quality", quality_stage)]
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model knows: those without a letter go."""
+    model = train_language(docs)
+    return identify(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest doc_id, of each group of near copies (five words, similarity 0.8)."""
+    return keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of benchmark items; those of which no word is left go."""
+    cleaned = remove_spans(docs, table(spark, sf_dir, "benchmark")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cleaned.where(F.col("text").rlike(r"\S")).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 tokens, with sources in their proportions."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("language", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+#: Learned classifiers and the tokenizer cannot be expressed in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages on ``documents``; what a stage keeps is written to the shared folder."""
+    docs = table(ship(spark), sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
