@@ -1,4 +1,4 @@
-"""Making this package importable in Spark's Python workers."""
+"""Session settings that Python workers need: where this package is, and how much they get at once."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Spark hands 10,000 rows to a worker by default; of long texts or vectors that is more than a worker should hold.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
 
 def ship(spark: SparkSession) -> SparkSession:
     """Let workers that start from now on find the package where the driver has it (on clusters: install it there)."""
@@ -15,4 +18,7 @@ def ship(spark: SparkSession) -> SparkSession:
     known = environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in known:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
