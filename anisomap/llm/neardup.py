@@ -1,11 +1,12 @@
 """MinHash near-duplicates: universal hash minima, banding, signature and set verification, connected components.
 
 Texts with equal shingle sets form a class, of which only the smallest doc_id goes on. ``BANDS`` bands of ``ROWS``
-minima put representatives into buckets; two sets of similarity 0.8 miss every band with probability 1.2e-7. A
-bucket's members are first held against its smallest member. Only between parts of a bucket that are still not
-connected are further pairs looked for, in blocks of bounded size, by comparing signatures. Pairs whose signatures
-allow the wanted similarity (a margin of five standard deviations) are confirmed on their full sets. Components over
-the confirmed links come from alternating large-star and small-star.
+minima put representatives into buckets; two sets of similarity 0.8 miss every band with probability 1.2e-7. In a few
+rounds, each bucket's members are held against one of them, another one in each round, and components over the links
+that this confirms come from alternating large-star and small-star. Parts of a bucket that are still not connected are
+then compared member by member in blocks of bounded size; a block gives the links that connect its parts, never all of its
+pairs. A link needs signatures that allow the wanted similarity (a
+margin of five standard deviations) and is confirmed on the full sets.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing. A text of fewer words
 than a shingle has its whole sequence as one. Rows with a null doc_id get a null component and are not kept; rows that
@@ -23,11 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from anisomap.llm import subwords
-from anisomap.llm.common import written
+from anisomap.llm.common import release, written
 from anisomap.llm.components import connected_components
 
 BANDS, ROWS = 40, 5
-BLOCK_BYTES, CHUNK = 1 << 20, 512
+BLOCK_BYTES, CHUNK, PIVOTS, LARGE = 1 << 20, 512, 3, 8
 
 _WORD = np.arange(256, dtype=np.uint8)
 _WORD[0x41:0x5B] += 32
@@ -152,98 +153,142 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            x, y = (x, y) if len(x) <= len(y) else (y, x)
-            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            out.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pd.Series(out, dtype="bool")
+        return pd.Series([_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b, strict=True)], dtype="bool")
 
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(left, "a").join(right, "b").where(linked("x", "y")).select("a", "b").distinct()
 
 
 def _similar(pairs: DataFrame, signed: DataFrame, least: int) -> DataFrame:
-    """Pairs whose signatures agree in ``least`` minima."""
+    """For each ``a`` the pair (a, b) whose signatures agree in most minima, if these are at least ``least``."""
 
-    @F.pandas_udf("boolean")
-    def close(a: pd.Series, b: pd.Series) -> pd.Series:
+    @F.pandas_udf("int")
+    def agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
         x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
-        return pd.Series((x == y).sum(1) >= least)
+        return pd.Series((x == y).sum(1).astype(np.int32))
 
     own = signed.select("doc_id", "signature").distinct()
     left, right = own.select(F.col("doc_id").alias("a"), F.col("signature").alias("x")), own.select(F.col("doc_id").alias("b"), F.col("signature").alias("y"))
-    return pairs.join(left, "a").join(right, "b").where(close("x", "y")).select("a", "b").distinct()
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", agreeing("x", "y").alias("agree")).where(F.col("agree") >= least)
+    return found.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
 
-def _pairs_in_blocks(least: int):
-    """Over rows ordered by block: pairs of a block whose parts differ and whose signatures agree."""
+def _by_block(work, columns: list[str]):
+    """``work`` on the rows of each block, over batches ordered by block; a block may lie in several batches."""
 
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: pd.DataFrame | None = None
 
-        def found(d: pd.DataFrame) -> pd.DataFrame:
-            block, side = d["block"].to_numpy(), d["side"].to_numpy()
-            node, root = d["id"].to_numpy(), d["root"].to_numpy()
-            s = np.frombuffer(b"".join(d["signature"]), np.uint8).reshape(len(d), -1)
-            out, step = [], 1
-            while step < len(d):
-                same = block[step:] == block[:-step]
-                if not same.any():
-                    break
-                i = np.flatnonzero(same & (root[step:] != root[:-step]) & ((side[step:] != side[:-step]) | (side[step:] == 0)))
-                if len(i):
-                    i = i[(s[i] == s[i + step]).sum(1) >= least]
-                    out.append(np.stack([node[i], node[i + step]], 1))
-                step += 1
-            got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-            return pd.DataFrame({"a": got.max(1), "b": got.min(1)})
+        def done(d: pd.DataFrame) -> pd.DataFrame:
+            block = d["block"].to_numpy()
+            cut = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(d) else []
+            out = [x for a, b in zip(cut, np.append(cut[1:], len(d)), strict=True) if b - a > 1 for x in work(d.iloc[a:b])] if len(d) else []
+            return pd.DataFrame(out, columns=columns)
 
         for d in batches:
-            d = d if kept is None else pd.concat([kept, d], ignore_index=True)
-            open_ = d["block"] == d["block"].iloc[-1] if len(d) else None
-            kept = d[open_] if len(d) else None
             if len(d):
-                yield found(d[~open_])
-        if kept is not None and len(kept):
-            yield found(kept)
+                d = d if kept is None else pd.concat([kept, d], ignore_index=True)
+                last = d["block"] == d["block"].iloc[-1]
+                kept = d[last]
+                yield done(d[~last])
+        if kept is not None:
+            yield done(kept)
+
+    return run
+
+
+def _candidates(d: pd.DataFrame, least: int) -> Iterator[tuple[int, int]]:
+    """Rows (i, j) of a block in different parts whose signatures agree, and whose first common band is the block's."""
+    root, side, band = d["root"].to_numpy(), d["side"].to_numpy(), int(d["band"].iloc[0])
+    signature = np.frombuffer(b"".join(d["signature"]), np.uint8).reshape(len(d), -1)
+    bands = np.stack(d["bands"].to_numpy()) if band else None
+    for step in range(1, len(d)):
+        i = np.flatnonzero((root[step:] != root[:-step]) & ((side[step:] != side[:-step]) | (side[step:] == 0)))
+        i = i[(signature[i] == signature[i + step]).sum(1) >= least]
+        if band:
+            i = i[~(bands[i] == bands[i + step]).any(1)]
+        yield from ((int(x), int(x) + step) for x in i)
+
+
+def _needed(least: int):
+    def work(d: pd.DataFrame) -> Iterator[tuple[int, int]]:
+        wanted = sorted({x for pair in _candidates(d, least) for x in pair})
+        block, ids = d["block"].to_numpy(), d["id"].to_numpy()
+        yield from ((int(block[x]), int(ids[x])) for x in wanted)
+
+    return _by_block(work, ["block", "id"])
+
 
-    return pairs
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _between_parts(members: DataFrame, roots: DataFrame, signed: DataFrame, least: int) -> DataFrame:
-    """Similar pairs of a bucket's members in different components; large buckets in blocks of two chunks.
+def _connecting(least: int, percent: int):
+    """Links that connect the parts of a block, each confirmed on full sets; at most one less than it has parts."""
 
-    A bucket's largest part can be most of its rows, so that its rows meet only those of the other parts.
+    def work(d: pd.DataFrame) -> Iterator[tuple[int, int]]:
+        part = {r: r for r in d["root"]}
+
+        def top(r: int) -> int:
+            while part[r] != r:
+                part[r] = r = part[part[r]]
+            return r
+
+        ids, root = d["id"].to_numpy(), d["root"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in d["shingles"]]
+        for i, j in _candidates(d, least):
+            a, b = top(root[i]), top(root[j])
+            if a != b and _linked(sets[i], sets[j], percent):
+                part[max(a, b)] = min(a, b)
+                yield int(ids[i]), int(ids[j])
+
+    return _by_block(work, ["a", "b"])
+
+
+def _between_parts(m: DataFrame, heads: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
+    """Links between the parts of buckets (key, band, id, root), from blocks of at most two chunks.
+
+    If one part has many of a bucket's rows, the others meet that whole part, and once for all buckets that they share
+    with it. The other parts of a bucket meet each other bucket by bucket.
     """
-    m = members.select("key", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    m = written(m, "members")
     parts = m.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-    rows = m.join(mixed.select("key", "most", "all"), "key")
-    main = F.col("root") == F.col("most.root")
-    chunks_main = F.ceil(F.col("most.n") / CHUNK).cast("int")
-    chunks_rest = F.ceil((F.col("all") - F.col("most.n")) / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit(1)), F.when(main, chunks_main).otherwise(chunks_rest).cast("long")).cast("int")
-    rows = rows.withColumn("main", main).withColumn("own", own).withColumn("cm", chunks_main).withColumn("cr", chunks_rest)
-    small = rows.where(F.col("all") <= CHUNK).select(F.xxhash64("key").alias("block"), F.lit(0).alias("side"), "id", "root")
-    large = rows.where(F.col("all") > CHUNK)
-    #: main rows meet each chunk of the rest; rows of the rest meet all chunks of the main part, and the other chunks of the rest.
-    against_main = (
-        large.where("main").select("key", "id", "root", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cr") - 1)).alias("j"), F.lit(1).alias("side"))
-        .union(large.where("not main").select("key", "id", "root", F.explode(F.sequence(F.lit(0), F.col("cm") - 1)).alias("i"), F.col("own").alias("j"), F.lit(2).alias("side")))
-    )
-    among_rest = large.where("not main").select("key", "id", "root", "own", F.explode(F.sequence(F.lit(0), F.col("cr") - 1)).alias("other"))
-    among_rest = among_rest.select(
-        "key", "id", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
-    )
-    block = lambda d, kind: d.select(F.xxhash64("key", "i", "j", F.lit(kind)).alias("block"), "side", "id", "root")
-    every = small.union(block(against_main, "main")).union(block(among_rest, "rest"))
-    every = every.join(signed.select(F.col("doc_id").alias("id"), "signature"), "id")
-    every = every.repartition("block").sortWithinPartitions("block")
-    return every.mapInPandas(_pairs_in_blocks(least), "a long, b long").distinct()
+    rows = m.join(mixed, "key").withColumn("big", F.col("most.n") >= LARGE).withColumn("main", F.col("big") & (F.col("root") == F.col("most.root")))
+    rest = written(rows.where("not main").select("key", "band", "id", "root", "big", F.col("most.root").alias("toward"), "parts", (F.col("all") - F.when(F.col("big"), F.col("most.n")).otherwise(0)).alias("n")), "rest")
+
+    facing = rest.where("big").select("toward", "id", "root").distinct()
+    facing_n = facing.groupBy("toward").agg(F.count("*").alias("n_facing"))
+    own = m.select("id", "root").distinct().join(facing_n.withColumnRenamed("toward", "root"), "root")
+    own_n = own.groupBy("root").agg(F.count("*").alias("n_own")).join(facing_n.withColumnRenamed("toward", "root"), "root").withColumnRenamed("root", "toward")
+    facing = facing.join(own_n, "toward")
+    own = own.select(F.col("root").alias("toward"), "id", "root").join(own_n, "toward")
+    count = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
+    chunk = lambda n: F.pmod(F.xxhash64("id", F.lit(1)), count(n).cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), count(n) - 1))
+    own = own.select("toward", "id", "root", chunk("n_own").alias("i"), every("n_facing").alias("j"), F.lit(1).alias("side"))
+    facing = facing.select("toward", "id", "root", every("n_own").alias("i"), chunk("n_facing").alias("j"), F.lit(2).alias("side"))
+    toward_main = own.union(facing).select(F.xxhash64("toward", "i", "j", F.lit(1)).alias("block"), "side", F.lit(0).alias("band"), "id", "root")
+
+    among = rest.where(F.col("parts") - F.col("big").cast("int") > 1).select("key", "band", "id", "root", chunk("n").alias("own"), every("n").alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    among = among.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"), F.lit(2)).alias("block"), side.alias("side"), "band", "id", "root")
+
+    blocks = written(toward_main.union(among), "blocks")
+    signed = blocks.join(heads.withColumnRenamed("doc_id", "id"), "id").withColumn("bands", F.when(F.col("band") > 0, F.slice("bands", F.lit(1), F.col("band"))))
+    needed = written(signed.repartition("block").sortWithinPartitions("block").mapInPandas(_needed(least), "block long, id long").distinct(), "needed")
+    final = blocks.join(needed, ["block", "id"]).join(heads.withColumnRenamed("doc_id", "id"), "id").withColumn("bands", F.when(F.col("band") > 0, F.slice("bands", F.lit(1), F.col("band"))))
+    final = final.join(sets.withColumnRenamed("doc_id", "id"), "id")
+    return final.repartition("block").sortWithinPartitions("block").mapInPandas(_connecting(least, percent), "a long, b long").distinct()
+
+
+def _with_pivots(members: DataFrame, turn: int) -> DataFrame:
+    """(a, b): members of buckets with several parts, and the bucket's pivot of this turn, if it is in another part."""
+    pivot = F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "root")).alias("pivot")
+    several = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), pivot).where("lo <> hi")
+    rows = members.join(several.select("key", "pivot"), "key").where(F.col("root") != F.col("pivot.root"))
+    return rows.select(F.col("id").alias("a"), F.col("pivot.id").alias("b")).distinct()
 
 
 def _shared_ids(usable: DataFrame, classes: DataFrame) -> DataFrame:
@@ -262,16 +307,20 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     classes = written(usable.groupBy("print1", "print2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     heads = usable.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "print1", "print2", "n_shingles"], "left_semi")
     heads = written(heads.select("doc_id", "bands", "signature"), "heads")
-    entries = heads.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    pivots = entries.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = written(entries.join(pivots.select("key", "pivot"), "key"), "buckets")
+    entries = heads.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(entries.join(shared.select("key"), "key", "left_semi"), "buckets")
     involved = members.select(F.col("id").alias("doc_id")).distinct()
-    least = _least_agreement(percent / 100)
     sets = written(texts.join(involved, "doc_id", "left_semi").select("doc_id", _sets(shingle)("text").alias("shingles")), "sets")
-    first = members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = written(_confirmed(_similar(first, heads, least), sets, percent).union(_shared_ids(usable, classes)), "links")
-    roots = connected_components(links)
-    more = written(_confirmed(_between_parts(members, roots, heads, least), sets, percent), "links")
+    least = _least_agreement(percent / 100)
+    links, now = written(_shared_ids(usable, classes), "links"), members.withColumn("root", F.col("id"))
+    for turn in range(PIVOTS):
+        more = written(_confirmed(_similar(_with_pivots(now, turn), heads, least), sets, percent), "links")
+        links = links.union(more)
+        roots = connected_components(links)
+        now = written(members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "members")
+        release(documents.sparkSession)
+    more = written(_between_parts(now, heads, sets, least, percent), "links")
     if not more.isEmpty():
         roots = connected_components(links.union(more))
     by_class = classes.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("print1", "print2", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
