@@ -1,4 +1,8 @@
 """All registered queries of the library's own operators, with their SQL equivalents."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from anisomap.plans import evaluation, fitting, geometry, pairing, tables
+
+QUERIES = {**geometry.QUERIES, **pairing.QUERIES, **evaluation.QUERIES, **tables.QUERIES, **fitting.QUERIES}
+ORACLES = {**geometry.ORACLES, **pairing.ORACLES, **evaluation.ORACLES, **tables.ORACLES, **fitting.ORACLES}
