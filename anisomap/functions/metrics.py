@@ -177,7 +177,7 @@ class ConvexMatsumoto(Metric):
 def slope(s: np.ndarray) -> np.ndarray:
     """g = s / sqrt(1 - s^2), with signed infinity at the ends."""
     rest = 1 - s * s
-    return np.where(rest > EPS, s / np.sqrt(np.where(rest > EPS, rest, 1)), np.sign(s) * np.inf)
+    return np.where(rest > EPS, s / np.sqrt(np.where(rest > EPS, rest, 1)), np.copysign(np.inf, s))
 
 
 def dslope(s: np.ndarray) -> np.ndarray:

@@ -64,7 +64,7 @@ def with_rank(df: DataFrame, column: str, name: str) -> DataFrame:
 def guarded_corr(x: str, y: str) -> Column:
     """Pearson correlation; NULL for fewer than two rows or a constant side."""
     ok = (F.count("*") >= 2) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return F.when(ok, F.corr(x, y))
+    return F.when(ok, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def asymmetry_preservation(pairs: DataFrame, threshold: float = 0.02) -> DataFrame:

@@ -27,8 +27,10 @@ def geodesics(s, d, n=80):
 
 
 def nations(s, d):
-    """Directed distances between trading nations: little trade is far."""
-    return trade(s, d).where("src <> dst").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "d")
+    """Directed distances between nations that trade both ways: little trade is far."""
+    t = trade(s, d).where("src <> dst").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "d")
+    back = t.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return t.join(back, ["src", "dst"], "left_semi")
 
 
 _register("fit_smacof", lambda s, d: fit(nations(s, d), Randers(0.3), "smacof_randers", n_init=2, max_iter=100, solver="pinv").history_frame(s))
