@@ -21,7 +21,7 @@ from anisomap.llm.common import fold, labelled_sample
 
 STRIDE, WIDTH, HALF = 4, 8, 256
 #: Bytes that are put through the filters at once; longer texts go in pieces that overlap by half a chunk.
-PIECE = 1 << 19
+PIECE = 1 << 17
 
 
 def _pieces(text: str | None) -> Iterator[bytes]:
@@ -128,7 +128,9 @@ class ByteConv:
         dz = ((p - y) / len(y)).astype(np.float32)
         dlayer = (dz[:, None] * self.p["u"] * (1 - layer**2)).astype(np.float32)
         dfeatures = dlayer @ V.T
-        dchunk = (dfeatures[:, :f] / halves[:, None])[owner] + np.where(chunks == top[owner], dfeatures[owner, f:], 0)
+        largest = chunks == top[owner]  # two chunks that share the half with the maximum share its gradient
+        ties = np.add.reduceat(largest.astype(np.float32), first, axis=0)
+        dchunk = (dfeatures[:, :f] / halves[:, None])[owner] + np.where(largest, (dfeatures[:, f:] / ties)[owner], 0)
         from_next = chunks > pooled  # else the chunk's maximum is in its own half
         dpool = np.where(from_next, 0, dchunk)
         dpool[1:] += np.where(from_next[:-1], dchunk[:-1], 0)
@@ -152,7 +154,7 @@ class ByteConv:
             return self
         share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.p["c"][0] = np.log(share / (1 - share))
-        raw = [(t or "").encode("utf-8", "replace")[:PIECE] for t in texts]
+        raw = [(t or "").encode("utf-8", "replace") for t in texts]
         (m, v), step = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2)), 0
         steps = epochs * -(-len(y) // batch)
         for _ in range(epochs):
