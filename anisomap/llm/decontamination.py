@@ -23,7 +23,7 @@ from anisomap.llm import subwords
 from anisomap.llm.fmindex import FMIndex
 
 #: Bytes of texts that are cut into words at once, and words of a shard's index.
-SHARD_BYTES, SHARD_WORDS = 1 << 22, 1 << 20
+SHARD_BYTES, SHARD_WORDS = 1 << 20, 1 << 20
 
 _WORD = np.zeros(256, np.uint8)
 for _b in [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]:
@@ -61,7 +61,7 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = 10):
         found: dict[bytes, int] = {}
-        rows, of, pairs = [], [], set()
+        rows, pairs = [], set()
         for item, text in items:
             h = word_hashes_of(text)
             for k in range(max(1, len(h) - window + 1) if len(h) else 0):
@@ -222,4 +222,5 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = 10) -
         for texts in batches:
             yield pd.Series(cut([t if isinstance(t, str) else None for t in texts]), dtype="object")
 
-    return documents.withColumn("text", cleaned(F.col("text")))
+    # Else a filter on the new text would be pushed below it, and every text would be cleaned twice.
+    return documents.withColumn("text", cleaned.asNondeterministic()(F.col("text")))
