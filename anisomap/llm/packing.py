@@ -60,6 +60,10 @@ def round_robin(queues: list[list[int]], share: np.ndarray, deficit: np.ndarray,
                     rank[q] = -np.inf
 
 
+def _masked(ids: np.ndarray, known: np.ndarray) -> pd.arrays.IntegerArray:
+    return pd.arrays.IntegerArray(ids.astype(np.int64), ~known)
+
+
 def _pack_part(window: int, least: int, with_ids: bool):
     def pack(rows: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
         share, deficit = np.array(plan["share"].iloc[0]), np.array(plan["carried"].iloc[0])
@@ -68,7 +72,7 @@ def _pack_part(window: int, least: int, with_ids: bool):
         first = np.searchsorted(queue, np.arange(len(share) + 1))
         queues = [number[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
         raw = [memoryview(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in rows["ids"]]
-        ids, doc, out, cut = rows["ids"], rows["doc_id"], [], []
+        ids, doc, known, out, cut = rows["ids"], rows["doc_id"].to_numpy(), rows["known"].to_numpy(bool), [], []
         for q, d, start, length, w, offset in round_robin(queues, share, deficit, window, least):
             row = first[q] + d
             out.append((row, start, length, zlib.crc32(raw[row][4 * start : 4 * (start + length)]), base + w, offset, q))
@@ -76,7 +80,7 @@ def _pack_part(window: int, least: int, with_ids: bool):
                 cut.append(np.frombuffer(ids[row], "<u2")[start : start + length].astype(np.int32))
         got = np.array(out, np.int64).reshape(-1, 7)
         return pd.DataFrame({
-            "doc_id": doc.to_numpy()[got[:, 0]], "start": got[:, 1], "length": got[:, 2], "ids_crc32": got[:, 3], "doc_tokens": number[got[:, 0]],
+            "doc_id": _masked(doc[got[:, 0]], known[got[:, 0]]), "start": got[:, 1], "length": got[:, 2], "ids_crc32": got[:, 3], "doc_tokens": number[got[:, 0]],
             "sequence_id": got[:, 4], "offset": got[:, 5], "queue": got[:, 6].astype(np.int32), "ids": cut if with_ids else None,
         })
 
@@ -110,7 +114,8 @@ def pack(
     if None in names:
         queue = F.when(F.col("source").isNull(), names.index(None)).otherwise(queue)
     order = F.xxhash64("doc_id")
-    coded = coded.select("doc_id", "ids", "n", queue.cast("int").alias("queue"), order.alias("order"), F.pmod(order, F.lit(parts)).alias("part"))
+    # Null ids go as 0 with a flag: pandas would make floats of all ids.
+    coded = coded.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "ids", "n", queue.cast("int").alias("queue"), order.alias("order"), F.pmod(order, F.lit(parts)).alias("part"))
     sums = coded.groupBy("part", "queue").agg(F.sum("n").alias("n"))
     grid = coded.select("part").distinct().withColumn("queue", F.explode(F.sequence(F.lit(0), F.lit(len(names)))))
     before = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))

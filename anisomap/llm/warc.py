@@ -60,13 +60,13 @@ def unchunked(raw: bytes) -> bytes:
         at += size + 2
 
 
-def records_of(page: object, url: object, html: str, digest: str, role: str, refers: object, uid: int, segment: int) -> list[str]:
+def records_of(page: str | None, url: str | None, html: str, digest: str, role: str, refers: str | None, uid: int, segment: int) -> list[str]:
     """The records of one page."""
-    own, name = "null" if pd.isna(page) else int(page), "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
+    own, name = "null" if page is None else page, "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
     if role == "revisit":
         length = len(html.encode("utf-8", "surrogatepass"))
         block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n"
-        target = f"<urn:page:{int(refers)}:{digest}>"
+        target = f"<urn:page:{refers}:{digest}>"
         return [_record("revisit", f"<urn:revisit:{own}:{uid}>", block, WARC_Target_URI=_uri(url), WARC_Profile=_PROFILE, WARC_Refers_To=target, WARC_Payload_Digest=name, Content_Type="application/http;msgtype=response")]
     record = f"<urn:page:{own}:{digest}>" if role == "response" else f"<urn:page:{own}:{digest}:{uid}>"
     block = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(html)
@@ -92,7 +92,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, segment: int = 1
     best = rows.where(grouped).groupBy("digest").agg(F.max(F.struct("page_id", "uid")).alias("best"))
     rows = rows.withColumn("key", F.when(grouped, F.col("digest"))).join(best.withColumnRenamed("digest", "key"), "key", "left")
     role = F.when(F.col("best").isNull(), "single").when(F.col("uid") == F.col("best.uid"), "response").otherwise(F.when(F.col("best.page_id").isNull(), "single").otherwise("revisit"))
-    made = rows.select(F.explode(records("page_id", "url", "html", "digest", role, F.col("best.page_id"), "uid")).alias("value"))
+    made = rows.select(F.explode(records(F.col("page_id").cast("string"), "url", "html", "digest", role, F.col("best.page_id").cast("string"), "uid")).alias("value"))
     made.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
@@ -153,7 +153,7 @@ def _parsed(with_payload: bool):
                     elif kind == "response":
                         p = payload_of(block)
                         out.append((record, 0, None, kind, _page(record), None, len(p), _digest(p, claimed), p if with_payload else None, None))
-                yield pd.DataFrame(out, columns=columns).astype({"total": "Int64", "page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
+                yield pd.DataFrame(out, columns=columns, dtype=object).astype({"segment": "int32"}).astype({"total": "Int64", "page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
 
     return read
 
