@@ -1,49 +1,14 @@
-"""Helpers that the training-data operators share: shared storage, tables, bounded samples."""
+"""Helpers that the training-data operators share: tables, folds, bounded samples."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anisomap.session import ship
+from anisomap.storage import release, scratch, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = kept.get() if kept.isDefined() else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="anisomap-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; Spark's file system removes it when the driver ends."""
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return at
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, and kept if executors are lost."""
-    spark = df.sparkSession
-    at = scratch(spark, name)
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of what is written already; else they stay until the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+__all__ = ["fold", "labelled_sample", "release", "scratch", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

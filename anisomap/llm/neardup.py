@@ -9,8 +9,8 @@ pairs. A link needs signatures that allow the wanted similarity (a
 margin of five standard deviations) and is confirmed on the full sets.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing. A text of fewer words
-than a shingle has its whole sequence as one. Rows with a null doc_id get a null component and are not kept; rows that
-share a doc_id are one node.
+than a shingle has its whole sequence as one. Rows with a null doc_id get a null component and are not called kept, but
+``keep_one`` leaves them in; rows that share a doc_id are one node.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from anisomap.llm import subwords
 from anisomap.llm.common import release, written
-from anisomap.llm.components import connected_components
+from anisomap.operators.components import connected_components
 
 BANDS, ROWS = 40, 5
 BLOCK_BYTES, CHUNK, PIVOTS, LARGE = 1 << 20, 512, 3, 8
@@ -330,6 +330,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
 
 
 def keep_one(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``documents`` that are kept: one of each component (all rows that share its doc_id)."""
+    """The rows of ``documents`` that are kept: one of each component (all rows that share its doc_id), and those without an id."""
     kept = near_duplicates(documents, shingle, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return documents.join(kept, documents["doc_id"].cast("long") == kept["_kept"], "left_semi")
+    known = documents.join(kept, documents["doc_id"].cast("long") == kept["_kept"], "left_semi")
+    return known.union(documents.where(F.col("doc_id").isNull()))
