@@ -8,7 +8,7 @@ from anisomap.functions import metrics as M
 from anisomap.functions import vectors as V
 from anisomap.operators import evaluate as E
 from anisomap.operators import graph as G
-from anisomap.plans.inputs import EDGE, EMB, EVENTS, GSYM, KNN, PTS, TIME, TRADE, VEL, cluster_edges, direct_pairs, embedding, event_transitions, graph, knn, labels, points, sql, times, trade, velocity
+from anisomap.plans.inputs import EDGE, EMB, KNN, PTS, TIME, VEL, cluster_edges, direct_pairs, embedding, knn, labels, points, sql, times, velocity
 
 R = V.rounded
 QUERIES: dict = {}

@@ -10,7 +10,7 @@ from anisomap.operators import fuzzy as U
 from anisomap.operators import objectives as O
 from anisomap.operators import pairs as P
 from anisomap.operators import paths as H
-from anisomap.plans.inputs import EDGE, EMB, GSYM, KNN, PTS, cluster_edges, direct_pairs, embedding, graph, knn, labels, points, sql
+from anisomap.plans.inputs import EDGE, EMB, KNN, PTS, cluster_edges, direct_pairs, embedding, graph, knn, labels, points, sql
 
 R = V.rounded
 QUERIES: dict = {}
