@@ -214,3 +214,42 @@ def test_scores_of_odd_rows(spark, odd):
     assert S.lm_scores(odd.limit(0)).count() == 0
     none = S.lm_scores(odd.where("doc_id = 3"), modulus=1, held_out=0).first()
     assert none.train_tokens == 0 and none.base_score == 0 and none.score < 0
+
+
+def brute_scores(texts, train, divergence=0.002):
+    """Scores by dictionaries of all contexts, whatever their share."""
+    streams = [bytes([S.END] * S.DEPTH) + b" ".join(tokens(t)[:-1]) + b"\n" for t in texts]
+    counts = {}
+    for s, own in zip(streams, train, strict=True):
+        for at in range(S.DEPTH, len(s)) if own else ():
+            for k in range(S.DEPTH + 1):
+                counts.setdefault(s[at - k : at], Counter())[s[at]] += 1
+    known = {}
+
+    def p(context):
+        if context not in known:
+            c = counts.get(context, Counter())
+            n = np.bincount(list(c), list(c.values()), 256) if c else np.zeros(256)
+            if not context:
+                known[context] = (n + 1) / (n.sum() + 256)
+            else:
+                below = p(context[1:])
+                mixed = (n + len(c) * below) / (n.sum() + len(c)) if c else below
+                known[context] = mixed if (mixed * np.log(mixed / below)).sum() >= divergence else below
+        return known[context]
+
+    return [sum(np.log10(p(s[at - S.DEPTH : at])[s[at]]) for at in range(S.DEPTH, len(s))) for s in streams]
+
+
+def test_all_contexts_and_bytes_count_at_any_size(spark, monkeypatch):
+    # More than COLUMNS bytes, and contexts that are a small part of the text.
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 23}" for j in range(60))) for i in range(40)]
+    rows += [(100 + i, "".join(chr(c) for c in range(0x3B1, 0x3C9)) + " Ж" + "".join(chr(c) for c in range(0x430, 0x450)) + " qu!z") for i in range(6)]
+    rows += [(200, None), (201, ""), (None, "été 12"), (202, bytes(range(0x21, 0x7F)).decode())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(S, "HEAD", 20)
+    got = {r.doc_id: r for r in S.lm_scores(docs).collect()}
+    want = brute_scores([t for _, t in rows], [not got[i].held_out for i, _ in rows])
+    assert any(r.held_out for r in got.values())
+    for (i, _), w in zip(rows, want, strict=True):
+        assert got[i].score == pytest.approx(w, rel=1e-9)
