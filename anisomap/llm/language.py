@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from anisomap.llm import subwords
@@ -140,29 +140,31 @@ class WordCRF:
     def fit(self, texts: list[str], labels: list[str], epochs: int = 4, span: int = 24, batch: int = 192, rate: float = 0.5, seed: int = 0) -> WordCRF:
         """Adagrad on the log likelihood of spans; half of them join words of two texts."""
         k, code = len(self.languages), {x: i for i, x in enumerate(self.languages)}
-        gram_rows, gram_word, hashes, label, doc, n = [], [], [], [], [], 0
+        gram_rows, sizes, hashes, label, doc = [], [], [], [], []
         y = np.array([code[x] for x in labels])
         for a, starts, text in subwords.blocks(texts):
             first, last = subwords.words(a)
             if not len(first):
                 continue
             owner_of = np.repeat(np.arange(len(first)), np.diff(np.append(first - 1, len(a) - 8)))
+            # Only the buckets are held, in 16 bits, in order of their words.
+            rows, of = [], []
             for bucket, ok in subwords.grams(a, SIZES, BITS):
                 where = np.flatnonzero(ok)
                 where = where[(where >= first[0] - 1) & (where < len(a) - 8)]
-                gram_rows.append(bucket[where])
-                gram_word.append((owner_of[where - (first[0] - 1)] + n).astype(np.int32))
+                rows.append(bucket[where].astype(np.uint16))
+                of.append(owner_of[where - (first[0] - 1)].astype(np.int32))
+            of = np.concatenate(of)
+            gram_rows.append(np.concatenate(rows)[np.argsort(of, kind="stable")])
+            sizes.append(np.bincount(of, minlength=len(first)))
             hashes.append(subwords.word_hashes(a, first, last))
             owner = text[np.searchsorted(starts, first, "right") - 1]
             label.append(y[owner])
             doc.append(owner)
-            n += len(first)
-        if not n:
+        if not hashes:
             return self
-        hashes, label, doc = map(np.concatenate, (hashes, label, doc))
-        gram_rows, gram_word = np.concatenate(gram_rows), np.concatenate(gram_word)
-        order = np.argsort(gram_word, kind="stable")
-        gram_rows, bounds = gram_rows[order], np.searchsorted(gram_word[order], np.arange(n + 1))
+        hashes, label, doc, gram_rows = map(np.concatenate, (hashes, label, doc, gram_rows))
+        bounds, n = np.append(0, np.cumsum(np.concatenate(sizes))), len(hashes)
         self._learn_lexicon(hashes, label)
         lexicon, whole = self._in_lexicon(hashes), (hashes >> np.uint64(64 - BITS)).astype(np.int64)
         r, seen = np.random.default_rng(seed), [np.full_like(x, 1e-4) for x in (self.G, self.X, self.T, self.S)]
@@ -210,14 +212,28 @@ class WordCRF:
         self.lexicon, self.lexicon_of = own[kept], count[kept].argmax(1)
 
 
-def train_language(documents: DataFrame, rows: int = 3000, excerpt: int = 800, modulus: int = 4, held_out: int = 2) -> WordCRF:
-    """Fit on a bounded sample of texts with a language: at most ``rows`` texts, of each at most ``excerpt`` characters."""
+def train_language(documents: DataFrame, rows: int = 4000, excerpt: int = 2000, modulus: int = 4, held_out: int = 2, least: int = 100) -> WordCRF:
+    """Fit on a bounded sample of texts with a language: ``rows`` texts, of each at most ``excerpt`` characters.
+
+    Every language is in it, with ``least`` texts if it has them (fewer if there are more than ``rows / least`` languages).
+    """
     usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", modulus) != held_out))
     # Ids are chosen first: they are small, and only the chosen rows' texts go to the driver.
-    ids = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    ids = usable.select("doc_id", "lang").distinct()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    # A language's ids are dealt over 32 groups, so that a common language is not one task's.
+    few = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(32))).orderBy(*order)
+    by: dict[str, list] = {}
+    for r in ids.withColumn("h", F.xxhash64("doc_id")).withColumn("r", F.row_number().over(few)).where(F.col("r") <= least).collect():
+        by.setdefault(r.lang, []).append((r.h, r.doc_id))
+    languages = len(by)
+    each = max(1, min(least, rows // max(languages, 1)))
+    chosen = dict.fromkeys((i, lang) for lang in sorted(by) for _, i in sorted(by[lang])[:each])
+    chosen |= dict.fromkeys((r.doc_id, r.lang) for r in ids.orderBy(*order, "lang").limit(rows).collect())
+    ids = documents.sparkSession.createDataFrame(list(chosen)[: max(rows, languages)], ids.schema)
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - excerpt, F.lit(0)) + 1).cast("int") + 1
-    got = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "lang", F.substring("text", start, F.lit(excerpt)).alias("text"))
-    got = got.orderBy("doc_id", "lang", "text").limit(rows).select("lang", "text").toPandas()
+    got = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", F.substring("text", start, F.lit(excerpt)).alias("text"))
+    got = got.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).orderBy("doc_id", "lang").select("lang", "text").toPandas()
     labels = got["lang"].tolist()
     return WordCRF(sorted(set(labels))).fit(got["text"].tolist(), labels)
 

@@ -132,3 +132,11 @@ def test_query_folds(spark, small):
     got = op1_quality(spark, small)
     assert got.count() == 1000
     assert got.where(F.col("held_out") != (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)).count() == 0
+
+
+def test_languages_of_few_documents_are_learned(spark):
+    rows = [(i, "the cat and the dog of the town", "en") for i in range(600)] + [(1000 + i, "kissa ja koira talossa " * 30, "fi") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.train_language(docs, rows=40)
+    assert model.languages == ["en", "fi"]
+    assert model.predict(["kissa ja koira"])[0] == ["fi"]
