@@ -17,6 +17,9 @@ from anisomap.llm.packing import pack
 from anisomap.llm.quality import score_quality, train_quality
 from anisomap.session import ship
 
+#: What the language stage asks of the best language's mean marginal.
+LEAST_SCORE = 0.5
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality probability is at least 0.3; the classifier learns from those of ``docs`` with a label."""
@@ -25,9 +28,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows: those without a letter go."""
+    """Documents with a letter of which one known language has at least ``LEAST_SCORE`` by the mean over their words.
+
+    If no row has a language to learn from, all documents with a letter stay.
+    """
     model = train_language(docs)
-    return identify(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

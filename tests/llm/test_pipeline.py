@@ -3,6 +3,7 @@ import numpy as np
 import corpus_pipeline as P
 from anisomap.llm.common import written
 from anisomap.llm.decontamination import contamination
+from anisomap.llm.language import WordCRF
 from anisomap.llm.neardup import near_duplicates
 
 
@@ -40,3 +41,12 @@ def test_odd_rows_pass_all_stages(spark, odd, small):
     assert docs.count() > 0
     for _, stage in P.STAGES:
         assert stage(spark, odd.withColumnRenamed("score", "n_chars").limit(0), small).count() == 0
+
+
+def test_language_stage_decides_on_scores(spark, monkeypatch):
+    rows = [(1, "the cat and the dog", None, "a", 19), (2, "12 34", None, "a", 5), (3, None, None, "a", 0), (4, "été", None, "a", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    assert {r.doc_id for r in P.language_stage(spark, docs, "").collect()} == {1, 4}
+    # A model that has learned nothing gives each of three languages a third.
+    monkeypatch.setattr(P, "train_language", lambda d: WordCRF(["a", "b", "c"]))
+    assert P.language_stage(spark, docs, "").count() == 0
