@@ -1,20 +1,23 @@
 """MinHash near-duplicates: universal hash minima, banding, signature and set verification, connected components.
 
-Texts with equal shingle sets form a class, of which only the smallest doc_id goes on. ``BANDS`` bands of ``ROWS``
-minima put representatives into buckets; two sets of similarity 0.8 miss every band with probability 1.2e-7. In a few
-rounds, each bucket's members are held against one of them, another one in each round, and components over the links
-that this confirms come from alternating large-star and small-star. Parts of a bucket that are still not connected are
-then compared member by member in blocks of bounded size; a block gives the links that connect its parts, never all of its
-pairs. A link needs signatures that allow the wanted similarity (a
-margin of five standard deviations) and is confirmed on the full sets.
+Texts with equal shingle sets form a class, of which only the smallest doc_id goes on: a class is what has one SHA-256
+over the whole set. ``BANDS`` bands of ``ROWS`` minima put representatives into buckets; two sets of similarity 0.8
+miss every band with probability 1.2e-7. Every bucket has a pivot, chosen by a mask of its key, so that the members of
+a large group meet many pivots. A member's links to the pivots that agree with it best and that have the smallest id
+are confirmed on full sets, and components over them come from alternating large-star and small-star. Parts of a bucket
+that are still not connected are compared member by member in blocks of bounded size; a block gives the links that
+connect its parts, never all of its pairs. These links join whole components: a second pass runs on roots only. A link
+needs signatures that allow the wanted similarity (a margin of five standard deviations) and is confirmed on full sets.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing. A text of fewer words
 than a shingle has its whole sequence as one. Rows with a null doc_id get a null component and are not called kept, but
-``keep_one`` leaves them in; rows that share a doc_id are one node.
+``keep_one`` leaves them in; rows that share a doc_id are one node. Of pivots that agree equally, the largest id is
+taken. An empty table gives no rows. Other columns of ``documents`` are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +29,10 @@ from pyspark.sql import types as T
 from anisomap.llm import subwords
 from anisomap.llm.common import release, written
 from anisomap.operators.components import connected_components
+from anisomap.storage import drop, written_with
 
 BANDS, ROWS = 40, 5
-BLOCK_BYTES, CHUNK, PIVOTS, LARGE = 1 << 20, 512, 3, 8
+BLOCK_BYTES, CHUNK, LARGE = 1 << 20, 256, 8
 
 _WORD = np.arange(256, dtype=np.uint8)
 _WORD[0x41:0x5B] += 32
@@ -101,8 +105,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 SIGNED = T.StructType([
     T.StructField("n_shingles", T.LongType()),
-    T.StructField("print1", T.LongType()),
-    T.StructField("print2", T.LongType()),
+    T.StructField("digest", T.BinaryType()),
     T.StructField("bands", T.ArrayType(T.LongType())),
     T.StructField("signature", T.BinaryType()),
 ])
@@ -121,14 +124,11 @@ def _signed(size: int):
                 key = _mixed(key * _C + minima[:, j::ROWS] + np.uint64(1))
             key = _mixed(key + np.arange(BANDS, dtype=np.uint64) * _C).view(np.int64)
             low = minima.astype(np.uint8)
-            print1, print2 = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
+            digest = [hashlib.sha256(x.tobytes()).digest() for x in sets]
             bands, signature = [None] * len(sets), [None] * len(sets)
             for row, i in enumerate(full):
-                s = sets[i]
-                print1[i] = np.bitwise_xor.reduce(_mixed(s)).view(np.int64)
-                print2[i] = _mixed(s ^ _C).sum(dtype=np.uint64).view(np.int64)
                 bands[i], signature[i] = key[row], low[row].tobytes()
-            yield pd.DataFrame({"n_shingles": n, "print1": print1, "print2": print2, "bands": bands, "signature": signature})
+            yield pd.DataFrame({"n_shingles": n, "digest": digest, "bands": bands, "signature": signature})
 
     return signed
 
@@ -159,18 +159,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(linked("x", "y")).select("a", "b").distinct()
 
 
-def _similar(pairs: DataFrame, signed: DataFrame, least: int) -> DataFrame:
-    """For each ``a`` the pair (a, b) whose signatures agree in most minima, if these are at least ``least``."""
+def _similar(pairs: DataFrame, heads: DataFrame, least: int) -> DataFrame:
+    """Of each ``a``'s pairs (a, b) whose signatures agree in ``least`` minima: the one that agrees most, and the one of the smallest b."""
 
     @F.pandas_udf("int")
     def agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
         x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
         return pd.Series((x == y).sum(1).astype(np.int32))
 
-    own = signed.select("doc_id", "signature").distinct()
-    left, right = own.select(F.col("doc_id").alias("a"), F.col("signature").alias("x")), own.select(F.col("doc_id").alias("b"), F.col("signature").alias("y"))
+    left, right = (heads.select(F.col("doc_id").alias(i), F.col("signature").alias(v)) for i, v in (("a", "x"), ("b", "y")))
     found = pairs.join(left, "a").join(right, "b").select("a", "b", agreeing("x", "y").alias("agree")).where(F.col("agree") >= least)
-    return found.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    best = found.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best"), F.min("b").alias("low"))
+    return best.select("a", F.explode(F.array_distinct(F.array("best.b", "low"))).alias("b"))
 
 
 def _by_block(work, columns: list[str]):
@@ -283,20 +283,19 @@ def _between_parts(m: DataFrame, heads: DataFrame, sets: DataFrame, least: int,
     return final.repartition("block").sortWithinPartitions("block").mapInPandas(_connecting(least, percent), "a long, b long").distinct()
 
 
-def _with_pivots(members: DataFrame, turn: int) -> DataFrame:
-    """(a, b): members of buckets with several parts, and the bucket's pivot of this turn, if it is in another part."""
-    pivot = F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "root")).alias("pivot")
-    several = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), pivot).where("lo <> hi")
-    rows = members.join(several.select("key", "pivot"), "key").where(F.col("root") != F.col("pivot.root"))
-    return rows.select(F.col("id").alias("a"), F.col("pivot.id").alias("b")).distinct()
-
-
 def _shared_ids(usable: DataFrame, classes: DataFrame) -> DataFrame:
     """Links for ids that stand in several classes, which few or none do."""
-    prints = ["print1", "print2", "n_shingles"]
-    several = usable.groupBy("doc_id").agg(F.min(F.struct(*prints)).alias("lo"), F.max(F.struct(*prints)).alias("hi")).where("lo <> hi")
-    rows = usable.join(several.select("doc_id"), "doc_id", "left_semi").select("doc_id", *prints)
-    return rows.join(classes, prints).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    several = usable.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    rows = usable.join(several, "doc_id", "left_semi").select("doc_id", "digest")
+    return rows.join(classes, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+
+
+def _in_buckets(heads: DataFrame) -> DataFrame:
+    """(key, band, id, pivot): members of buckets of at least two; a bucket's pivot is the least id under a mask that its key gives."""
+    entries = heads.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
+    mask = F.xxhash64("key")
+    shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("id").bitwiseXOR(mask)).alias("m")).where("n > 1")
+    return written(entries.join(shared.select("key", F.col("m").bitwiseXOR(mask).alias("pivot")), "key"), "buckets")
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -304,27 +303,28 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(texts.withColumn("s", _signed(shingle)("text")).select("doc_id", "s.*"), "signed")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = written(usable.groupBy("print1", "print2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    heads = usable.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "print1", "print2", "n_shingles"], "left_semi")
-    heads = written(heads.select("doc_id", "bands", "signature"), "heads")
-    entries = heads.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(entries.join(shared.select("key"), "key", "left_semi"), "buckets")
-    involved = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = written(texts.join(involved, "doc_id", "left_semi").select("doc_id", _sets(shingle)("text").alias("shingles")), "sets")
+    classes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    heads = usable.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest"], "left_semi")
+    heads = written(heads.select("doc_id", "bands", "signature").dropDuplicates(["doc_id", "signature"]), "heads")
+    members = _in_buckets(heads)
+    sets = written(texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", _sets(shingle)("text").alias("shingles")), "sets")
+    release(documents.sparkSession)
     least = _least_agreement(percent / 100)
-    links, now = written(_shared_ids(usable, classes), "links"), members.withColumn("root", F.col("id"))
-    for turn in range(PIVOTS):
-        more = written(_confirmed(_similar(_with_pivots(now, turn), heads, least), sets, percent), "links")
-        links = links.union(more)
-        roots = connected_components(links)
-        now = written(members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "members")
-        release(documents.sparkSession)
-    more = written(_between_parts(now, heads, sets, least, percent), "links")
-    if not more.isEmpty():
-        roots = connected_components(links.union(more))
-    by_class = classes.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("print1", "print2", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "print1", "print2").join(by_class, ["print1", "print2", "n_shingles"], "left")
+    pairs = members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    links = _confirmed(_similar(pairs, heads, least), sets, percent).union(_shared_ids(usable, classes))
+    roots = connected_components(links)
+    now = written(members.select("key", "band", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "members")
+    drop(members)
+    more, (n, *_) = written_with(_between_parts(now, heads, sets, least, percent), "links")
+    if n:
+        of = roots.select(F.col("id").alias("x"), F.col("root").alias("r"))
+        joined = more.join(of, more["a"] == of["x"], "left").select(F.coalesce("r", "a").alias("a"), "b")
+        joined = joined.join(of, joined["b"] == of["x"], "left").select("a", F.coalesce("r", "b").alias("b"))
+        again = connected_components(joined).select(F.col("id").alias("root"), F.col("root").alias("top"))
+        moved = roots.join(again, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+        roots = moved.union(again.select(F.col("root").alias("id"), F.col("top").alias("root"))).distinct()
+    by_class = classes.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
+    out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(by_class, "digest", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
 BLOCK = 1 << 19
+#: Bytes of a word from which its hash is not a polynomial's.
+LONG = 256
 
 _LETTER = np.zeros(256, np.uint8)
 for _b in [*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]:
@@ -81,13 +84,20 @@ def grams(a: np.ndarray, sizes: tuple[int, ...], bits: int) -> Iterator[tuple[np
 
 
 def word_hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each word, the same wherever the word stands."""
+    """A 64-bit hash of each word, the same wherever the word stands.
+
+    It is a polynomial modulo 2^64 up to ``LONG`` bytes: the known words that collide under any base are longer. Longer
+    words are hashed by themselves.
+    """
     power = _powers(len(a))
     total = np.zeros(len(a) + 1, np.uint64)
     np.cumsum((a.astype(np.uint64) + np.uint64(1)) * power[: len(a)], out=total[1:])
     out = (total[ends] - total[starts]) * _powers(len(a), inverse=True)[starts]
     out ^= out >> np.uint64(31)
-    return out * np.uint64(0xBF58476D1CE4E5B9)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    for i in np.flatnonzero(ends - starts > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(a[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 _POWERS: dict[bool, np.ndarray] = {}
