@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from anisomap.session import ship
 from anisomap.storage import release, scratch, written
 
-__all__ = ["fold", "labelled_sample", "release", "scratch", "table", "written"]
+__all__ = ["fold", "labelled_sample", "release", "scratch", "table", "whole_texts", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,13 +20,36 @@ def fold(column: str, modulus: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
+def whole_texts(rows: DataFrame, keys: list[str], chosen: list[tuple], chars: int, longest: int) -> dict[tuple, str]:
+    """Whole texts of the chosen keys of ``rows`` (keys, text), in that order, until ``chars`` characters are reached.
+
+    Texts of more than ``longest`` characters, and of repeated keys all but the least text, are left out. Both bounds
+    hold for what goes to the driver, so lengths are asked for first.
+    """
+    spark, schema = rows.sparkSession, rows.select(*keys).schema
+    if not chosen:
+        return {}
+    usable = rows.where(F.length("text") <= longest)
+    sizes = usable.join(F.broadcast(spark.createDataFrame(chosen, schema)), keys).groupBy(*keys).agg(F.max(F.length("text")).alias("n")).collect()
+    size, room, kept = {tuple(r[:-1]): r[-1] for r in sizes}, chars, []
+    for key in chosen:
+        if size.get(key, room + 1) <= room:
+            kept.append(key)
+            room -= size[key]
+    if not kept:
+        return {}
+    got = usable.join(F.broadcast(spark.createDataFrame(kept, schema)), keys).groupBy(*keys).agg(F.min("text").alias("text")).toArrow().to_pydict()
+    found = dict(zip(zip(*(got[k] for k in keys), strict=True), got["text"], strict=True))
+    return {k: found[k] for k in kept if k in found}
+
+
 def labelled_sample(
-    documents: DataFrame, labels: DataFrame, label: str, rows: int, excerpt: int, modulus: int, held_out: int
+    documents: DataFrame, labels: DataFrame, label: str, rows: int, modulus: int, held_out: int, chars: int, longest: int
 ) -> tuple[list[str], list[int]]:
-    """At most ``rows`` labelled training texts, the same for the same tables, with excerpts of ``excerpt`` characters.
+    """At most ``rows`` labelled training texts and ``chars`` characters, the same for the same tables; texts are whole.
 
     Rows whose id falls into the held-out fold are never read as labels. Repeated labels of a document count as
-    their maximum. The sample is bounded by both parameters, so that it fits in the driver at any size.
+    their maximum. The sample is taken by a hash of the id and bounded, so that it fits in the driver at any size.
     """
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", modulus) != held_out))
@@ -34,16 +57,8 @@ def labelled_sample(
         .agg(F.max(label).cast("int").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
+        .collect()
     )
-    room = F.greatest(F.length("text") - excerpt, F.lit(0))
-    start = F.pmod(F.xxhash64("doc_id"), (room + 1).cast("long")).cast("int") + 1
-    got = (
-        documents.select("doc_id", "text")
-        .where(F.col("text").isNotNull())
-        .join(F.broadcast(ids), "doc_id")
-        .select("doc_id", "y", F.substring("text", start, F.lit(excerpt)).alias("text"))
-        .orderBy("doc_id", "text")
-        .limit(rows)
-        .toPandas()
-    )
-    return got["text"].tolist(), got["y"].tolist()
+    texts = whole_texts(documents.select("doc_id", "text").where(F.col("text").isNotNull()), ["doc_id"], [(r.doc_id,) for r in ids], chars, longest)
+    y = {r.doc_id: r.y for r in ids}
+    return list(texts.values()), [y[k] for (k,) in texts]

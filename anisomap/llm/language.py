@@ -6,8 +6,10 @@ in. Their weights and the transitions between languages are learned together; ma
 Training sequences are spans of labelled texts, many of them joined from texts of different languages, so that the
 transitions are those of code-switched text.
 
-A text's language is the one with the largest mean marginal over its words, which is the score. Texts that are null
-or have no letter are ``und`` with score 0, and so is everything if no text has a language label.
+A text's language is the one with the largest mean marginal over its words, which is the score; of equal ones the
+first by name. Texts that are null or have no letter are ``und`` with score 0, and so is everything if no text has a
+language label. Repeated rows get the same result. Columns of ``documents`` that are named like those that ``identify``
+adds are replaced. An empty table gives no rows. A word of more than half a MB is cut.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from anisomap.llm import subwords
-from anisomap.llm.common import fold
+from anisomap.llm.common import fold, whole_texts
 
 SIZES, BITS = (2, 3, 4), 16
 #: Words of a segment that is labelled at once, and of context on either side.
@@ -140,33 +142,33 @@ class WordCRF:
     def fit(self, texts: list[str], labels: list[str], epochs: int = 4, span: int = 24, batch: int = 192, rate: float = 0.5, seed: int = 0) -> WordCRF:
         """Adagrad on the log likelihood of spans; half of them join words of two texts."""
         k, code = len(self.languages), {x: i for i, x in enumerate(self.languages)}
-        gram_rows, sizes, hashes, label, doc = [], [], [], [], []
-        y = np.array([code[x] for x in labels])
+        gram_rows, sizes, hashes, label = [], [], [], []
+        y = np.array([code[x] for x in labels], np.int32)
         for a, starts, text in subwords.blocks(texts):
             first, last = subwords.words(a)
             if not len(first):
                 continue
-            owner_of = np.repeat(np.arange(len(first)), np.diff(np.append(first - 1, len(a) - 8)))
+            owner_of = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first - 1, len(a) - 8)))
             # Only the buckets are held, in 16 bits, in order of their words.
             rows, of = [], []
             for bucket, ok in subwords.grams(a, SIZES, BITS):
                 where = np.flatnonzero(ok)
                 where = where[(where >= first[0] - 1) & (where < len(a) - 8)]
                 rows.append(bucket[where].astype(np.uint16))
-                of.append(owner_of[where - (first[0] - 1)].astype(np.int32))
+                of.append(owner_of[where - (first[0] - 1)])
             of = np.concatenate(of)
             gram_rows.append(np.concatenate(rows)[np.argsort(of, kind="stable")])
-            sizes.append(np.bincount(of, minlength=len(first)))
+            sizes.append(np.bincount(of, minlength=len(first)).astype(np.int32))
             hashes.append(subwords.word_hashes(a, first, last))
-            owner = text[np.searchsorted(starts, first, "right") - 1]
-            label.append(y[owner])
-            doc.append(owner)
+            label.append(y[text[np.searchsorted(starts, first, "right") - 1]])
         if not hashes:
             return self
-        hashes, label, doc, gram_rows = map(np.concatenate, (hashes, label, doc, gram_rows))
+        hashes, label = np.concatenate(hashes), np.concatenate(label)
         bounds, n = np.append(0, np.cumsum(np.concatenate(sizes))), len(hashes)
+        gram_rows = np.concatenate(gram_rows)
         self._learn_lexicon(hashes, label)
-        lexicon, whole = self._in_lexicon(hashes), (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+        lexicon, whole = self._in_lexicon(hashes).astype(np.int32), (hashes >> np.uint64(64 - BITS)).astype(np.uint16)
+        del hashes, sizes
         r, seen = np.random.default_rng(seed), [np.full_like(x, 1e-4) for x in (self.G, self.X, self.T, self.S)]
         spans = np.arange(0, n - span + 1, span)
         spans = spans if len(spans) else np.zeros(1, np.int64)
@@ -212,12 +214,15 @@ class WordCRF:
         self.lexicon, self.lexicon_of = own[kept], count[kept].argmax(1)
 
 
-def train_language(documents: DataFrame, rows: int = 4000, excerpt: int = 2000, modulus: int = 4, held_out: int = 2, least: int = 100) -> WordCRF:
-    """Fit on a bounded sample of texts with a language: ``rows`` texts, of each at most ``excerpt`` characters.
+def train_language(
+    documents: DataFrame, rows: int = 4000, modulus: int = 4, held_out: int = 2, least: int = 100, chars: int = 1 << 23, longest: int = 1 << 18
+) -> WordCRF:
+    """Fit on a bounded sample: at most ``rows`` whole texts and ``chars`` characters, no text above ``longest``.
 
     Every language is in it, with ``least`` texts if it has them (fewer if there are more than ``rows / least`` languages).
     """
-    usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", modulus) != held_out))
+    usable = documents.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", modulus) != held_out))
+    usable = usable.where(F.length("text") <= longest)
     # Ids are chosen first: they are small, and only the chosen rows' texts go to the driver.
     ids = usable.select("doc_id", "lang").distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -226,16 +231,13 @@ def train_language(documents: DataFrame, rows: int = 4000, excerpt: int = 2000,
     by: dict[str, list] = {}
     for r in ids.withColumn("h", F.xxhash64("doc_id")).withColumn("r", F.row_number().over(few)).where(F.col("r") <= least).collect():
         by.setdefault(r.lang, []).append((r.h, r.doc_id))
-    languages = len(by)
-    each = max(1, min(least, rows // max(languages, 1)))
-    chosen = dict.fromkeys((i, lang) for lang in sorted(by) for _, i in sorted(by[lang])[:each])
+    each = max(1, min(least, rows // max(len(by), 1)))
+    # The first texts of every language come before the others, so that no bound leaves a language out.
+    chosen = dict.fromkeys((sorted(by[lang])[k][1], lang) for k in range(each) for lang in sorted(by) if k < len(by[lang]))
     chosen |= dict.fromkeys((r.doc_id, r.lang) for r in ids.orderBy(*order, "lang").limit(rows).collect())
-    ids = documents.sparkSession.createDataFrame(list(chosen)[: max(rows, languages)], ids.schema)
-    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - excerpt, F.lit(0)) + 1).cast("int") + 1
-    got = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", F.substring("text", start, F.lit(excerpt)).alias("text"))
-    got = got.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).orderBy("doc_id", "lang").select("lang", "text").toPandas()
-    labels = got["lang"].tolist()
-    return WordCRF(sorted(set(labels))).fit(got["text"].tolist(), labels)
+    got = whole_texts(usable, ["doc_id", "lang"], list(chosen)[: max(rows, len(by))], chars, longest)
+    labels = [lang for _, lang in got]
+    return WordCRF(sorted(set(labels))).fit(list(got.values()), labels)
 
 
 def identify(documents: DataFrame, model: WordCRF) -> DataFrame:

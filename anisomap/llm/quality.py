@@ -5,7 +5,12 @@ Chunks of 512 bytes that overlap by half cover the whole text; each filter is ma
 and the maximum over the text's chunks are combined by a small hidden layer and a logistic unit into one probability.
 Filters, embeddings and both layers are learned together by Adam on labelled texts.
 
-Null and empty texts have one chunk of padding and get the probability that this gives.
+Texts of any length go through the filters in pieces of bounded size whose half-chunks are joined before pooling, so
+that the pieces do not change a score. The network learns from a bounded sample of whole texts.
+
+Null and empty texts have one chunk of padding and get the probability that this gives. Repeated rows get the same
+score; a score of exactly the threshold counts as predicted. Columns of ``documents`` that are named like those that
+``score_quality`` adds are replaced. An empty table gives no rows; without labels the scores are an unfitted net's.
 """
 
 from __future__ import annotations
@@ -20,15 +25,10 @@ from pyspark.sql import functions as F
 from anisomap.llm.common import fold, labelled_sample
 
 STRIDE, WIDTH, HALF = 4, 8, 256
-#: Bytes that are put through the filters at once; longer texts go in pieces that overlap by half a chunk.
+#: Bytes that are put through the filters at once, in whole half-chunks.
 PIECE = 1 << 17
-
-
-def _pieces(text: str | None) -> Iterator[bytes]:
-    raw = (text or "").encode("utf-8", "replace")
-    yield raw[:PIECE]
-    for at in range(PIECE, len(raw), PIECE):
-        yield raw[at - HALF : at + PIECE]
+#: Bytes of texts whose gradients are taken at once.
+STEP_BYTES = 1 << 18
 
 
 def _pack(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,40 +78,44 @@ class ByteConv:
         chunks[last] = pooled[last]
         return chunks
 
-    def _pooled(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        codes, halves = _pack(pieces)
-        chunks = self._chunks(self._halves(codes)[0].max(1), halves)
-        at = np.cumsum(halves) - halves
-        return np.add.reduceat(chunks, at, axis=0), np.maximum.reduceat(chunks, at, axis=0), halves
+    def _long(self, raw: bytes) -> np.ndarray:
+        """Maxima by half-chunk of a text of more than a piece; a piece sees the next one's first bytes."""
+        out = []
+        for at in range(0, len(raw), PIECE):
+            codes, _ = _pack([raw[at : at + PIECE + STRIDE]])
+            pooled = self._halves(codes)[0].max(1)
+            out.append(pooled[: PIECE // HALF] if at + PIECE < len(raw) else pooled)
+        return np.concatenate(out)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         n, f = len(texts), self.p["b"].size
-        total, most, count = np.zeros((n, f)), np.zeros((n, f), np.float32), np.zeros(n)
-        block, owner, held = [], [], 0
-
-        def flush() -> None:
-            nonlocal block, owner, held
-            if block:
-                s, m, h = self._pooled(block)
-                np.add.at(total, owner, s)
-                np.maximum.at(most, owner, m)
-                np.add.at(count, owner, h)
-            block, owner, held = [], [], 0
+        features = np.zeros((n, 2 * f), np.float32)
+
+        def pool(rows: list[int], pooled: np.ndarray, halves: np.ndarray) -> None:
+            chunks, at = self._chunks(pooled, halves), np.cumsum(halves) - halves
+            features[rows, :f] = np.add.reduceat(chunks, at, axis=0, dtype=np.float64) / halves[:, None]
+            features[rows, f:] = np.maximum.reduceat(chunks, at, axis=0)
 
+        rows, block, held = [], [], 0
         for i, text in enumerate(texts):
-            for p in _pieces(text):
-                block.append(p)
-                owner.append(i)
-                held += len(p) + HALF
-                if held >= PIECE:
-                    flush()
-        flush()
-        layer = np.tanh(np.hstack([total / np.maximum(count, 1)[:, None], most]) @ self.p["V"] + self.p["a"])
+            raw = (text or "").encode("utf-8", "replace")
+            if len(raw) > PIECE:
+                pooled = self._long(raw)
+                pool([i], pooled, np.array([len(pooled)]))
+            else:
+                rows.append(i)
+                block.append(raw)
+                held += len(raw) + HALF
+            if block and (held >= PIECE or i + 1 == n):
+                codes, halves = _pack(block)
+                pool(rows, self._halves(codes)[0].max(1), halves)
+                rows, block, held = [], [], 0
+        layer = np.tanh(features @ self.p["V"] + self.p["a"])
         z = layer @ self.p["u"] + self.p["c"][0]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
-    def _step(self, pieces: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of the mean log loss; each text is one piece here."""
+    def _step(self, pieces: list[bytes], y: np.ndarray, of: int | None = None) -> dict[str, np.ndarray]:
+        """Gradients of the log loss of whole texts, as their part of a mean over ``of`` texts."""
         E, W, V = self.p["E"], self.p["W"], self.p["V"]
         f, d = W.shape[1], E.shape[1]
         codes, halves = _pack(pieces)
@@ -125,7 +129,7 @@ class ByteConv:
         features = np.hstack([np.add.reduceat(chunks, first, axis=0) / halves[:, None], top])
         layer = np.tanh(features @ V + self.p["a"])
         p = 1 / (1 + np.exp(-np.clip(layer @ self.p["u"] + self.p["c"][0], -30, 30)))
-        dz = ((p - y) / len(y)).astype(np.float32)
+        dz = ((p - y) / (of or len(y))).astype(np.float32)
         dlayer = (dz[:, None] * self.p["u"] * (1 - layer**2)).astype(np.float32)
         dfeatures = dlayer @ V.T
         largest = chunks == top[owner]  # two chunks that share the half with the maximum share its gradient
@@ -147,6 +151,13 @@ class ByteConv:
         dE[0] = 0
         return {"E": dE, "W": dW, "b": dpool.sum(0), "V": features.T @ dlayer, "a": dlayer.sum(0), "u": layer.T @ dz, "c": dz.sum(keepdims=True)}
 
+    def _gradients(self, raw: list[bytes], rows: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of a batch, from parts of about STEP_BYTES."""
+        part = np.cumsum([len(raw[i]) + HALF for i in rows]) // STEP_BYTES
+        parts = [rows[part == x] for x in np.unique(part)]
+        each = [self._step([raw[i] for i in own], y[own], len(rows)) for own in parts]
+        return {k: sum(g[k] for g in each) for k in self.p}
+
     def fit(self, texts: list[str], y: list[int], epochs: int = 12, batch: int = 32, rate: float = 4e-3, seed: int = 0) -> ByteConv:
         """Adam with a falling rate; each batch goes through once per epoch."""
         r, y = np.random.default_rng(seed), np.asarray(y, np.float32)
@@ -161,7 +172,7 @@ class ByteConv:
             order = r.permutation(len(y))
             for at in range(0, len(y), batch):
                 rows = order[at : at + batch]
-                grads, step = self._step([raw[i] for i in rows], y[rows]), step + 1
+                grads, step = self._gradients(raw, rows, y), step + 1
                 now = rate * (1 - step / (steps + 1))
                 for k, g in grads.items():
                     m[k] += 0.1 * (g - m[k])
@@ -170,9 +181,11 @@ class ByteConv:
         return self
 
 
-def train_quality(documents: DataFrame, labels: DataFrame, rows: int = 4000, excerpt: int = 8192, modulus: int = 5, held_out: int = 0) -> ByteConv:
-    """Fit on a bounded sample of labelled texts: at most ``rows`` texts, of each at most ``excerpt`` characters."""
-    texts, y = labelled_sample(documents, labels, "quality", rows, excerpt, modulus, held_out)
+def train_quality(
+    documents: DataFrame, labels: DataFrame, rows: int = 4000, modulus: int = 5, held_out: int = 0, chars: int = 1 << 25, longest: int = 1 << 18
+) -> ByteConv:
+    """Fit on a bounded sample of labelled texts: at most ``rows`` whole texts and ``chars`` characters, none above ``longest``."""
+    texts, y = labelled_sample(documents, labels, "quality", rows, modulus, held_out, chars, longest)
     return ByteConv().fit(texts, y)
 
 

@@ -22,19 +22,26 @@ for _b in range(ord("0"), ord("9") + 1):
 _MIX = {n: np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * n & 0xFFFFFFFFFFFFFFFF | 1) for n in range(1, 9)}
 
 
-def pieces(text: str | None, digits: bool = False) -> Iterator[np.ndarray]:
-    """The text's lower-case bytes, 0 where no word is; very long texts in pieces that end between words where they can."""
+def pieces(text: str | None, digits: bool = False, limit: int = BLOCK, lap: int = 0) -> Iterator[np.ndarray]:
+    """The text's lower-case bytes, 0 where no word is; texts above ``limit`` in pieces that end between words where they can.
+
+    A piece begins with the last ``lap`` words of the one before.
+    """
     raw = np.frombuffer((text or "").lower().encode("utf-8", "replace"), np.uint8)
     raw = (_ALNUM if digits else _LETTER)[raw]
-    while len(raw) > BLOCK:
-        gaps = np.flatnonzero(raw[BLOCK // 2 : BLOCK] == 0)
-        cut = BLOCK // 2 + int(gaps[-1]) if len(gaps) else BLOCK
-        yield raw[:cut]
-        raw = raw[cut:]
+    while len(raw) > limit:
+        first, last = words(np.concatenate([np.zeros(1, np.uint8), raw[:limit], np.ones(1, np.uint8), np.zeros(1, np.uint8)]))
+        whole = len(first) - 1  # the last one may go on behind the limit
+        if whole <= 2 * lap:  # words of such length are cut
+            yield raw[:limit]
+            raw = raw[limit:]
+            continue
+        yield raw[: last[whole - 1] - 1]
+        raw = raw[first[whole - lap] - 1 :]
     yield raw
 
 
-def blocks(texts: list[str | None], digits: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def blocks(texts: list[str | None], digits: bool = False, limit: int = BLOCK, lap: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, starts, text indices): pieces of texts joined with zeros around each, in blocks of bounded size."""
     held, owner, size = [], [], 1
 
@@ -48,13 +55,13 @@ def blocks(texts: list[str | None], digits: bool = False) -> Iterator[tuple[np.n
         return out, starts, np.array(owner, np.int64)
 
     for i, text in enumerate(texts):
-        for p in pieces(text, digits):
+        for p in pieces(text, digits, limit, lap):
+            if held and size + len(p) > limit:
+                yield joined()
+                held, owner, size = [], [], 1
             held.append(p)
             owner.append(i)
             size += len(p) + 1
-            if size >= BLOCK:
-                yield joined()
-                held, owner, size = [], [], 1
     if held:
         yield joined()
 
