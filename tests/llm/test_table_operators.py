@@ -87,7 +87,6 @@ def test_pieces_are_the_tokenizer_s(spark, odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     docs = odd.where("doc_id <> 6 and doc_id <> 7").union(spark.createDataFrame([(20, "mixed\n\n  spaces\tand <|endoftext|> 12'll ’ü 漢字   end ", "en", "q", 0)], odd.schema)).union(spark.createDataFrame([(21, "ab cd ef " * 900, "en", "q", 0)], odd.schema))
     got = K.pack(docs, window=64, least=16, part_tokens=256, with_ids=True).toPandas()
     ids = {r.doc_id: t.encode(r.text or "", add_special_tokens=False).ids + [0] for r in docs.where("doc_id is not null").collect()}
@@ -108,6 +107,42 @@ def test_pieces_are_the_tokenizer_s(spark, odd):
     big = spark.createDataFrame([((1 << 60) + 1, "a b", "s"), (None, "c", "s")], "doc_id long, text string, source string")
     assert {r.doc_id for r in K.pack(big).collect()} == {(1 << 60) + 1, None}
     assert K.pack(odd.limit(0)).count() == 0
+    # Cutting documents before they are dealt leaves their ids as they are.
+    cut = K.pack(docs.where("doc_id > 4"), window=64, least=16, part_tokens=256, with_ids=True, chunk=100).toPandas()
+    for doc, own in cut.groupby("doc_id"):
+        own = own.sort_values("start")
+        assert np.concatenate([np.array(x) for x in own.ids]).tolist() == ids[doc] and (own.doc_tokens == len(ids[doc])).all()
+
+
+def test_rows_of_one_id_and_long_texts_are_dealt_over_parts(spark):
+    same = spark.range(400).selectExpr("7L as doc_id", "repeat('some words here ', 17) as text", "'a' as source")
+    parts = K.pack(same, part_tokens=1024).select(F.floor(F.col("sequence_id") / F.lit(1 << 32)).alias("p")).distinct().count()
+    assert parts >= 15
+    long = spark.createDataFrame([(1, "some words here " * 20_000, "a")], "doc_id long, text string, source string")
+    got = K.pack(long, part_tokens=4096, chunk=512)
+    assert got.select(F.floor(F.col("sequence_id") / F.lit(1 << 32)).alias("p")).distinct().count() >= 10
+    assert got.agg(F.sum("length"), F.max("doc_tokens")).first()[0] == got.first().doc_tokens
+
+
+def test_any_number_of_sources_keeps_its_shares(spark, monkeypatch):
+    monkeypatch.setattr(K, "GROUP", 2)
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('one two three ', 30) as text", "concat('s', id % 300) as source")
+    got = K.pack(docs, part_tokens=60_000).toPandas()
+    assert got.source.nunique() == 300
+    own = got.groupby("source").length.sum()
+    assert own.min() == own.max()
+    targets = {"s0": 0.5, "s1": 0.5}
+    two = K.pack(docs.where("source in ('s0', 's1')").union(docs.where("source = 's0'")), targets=targets, window=64, least=8, part_tokens=1 << 20).toPandas()
+    first = two[two.sequence_id.isin(sorted(two.sequence_id.unique())[:5])]
+    assert first[first.source == "s0"].length.sum() == pytest.approx(first.length.sum() / 2, rel=0.1)
+
+
+def test_sums_before_parts(spark, monkeypatch):
+    monkeypatch.setattr(K, "GROUP", 3)
+    cells = spark.createDataFrame([(p, q, 10 * p + len(q)) for p in range(11) for q in ("a", "bb") if (p + len(q)) % 3], "part long, queue string, n long")
+    got = {(r.part, r.queue): r.before for r in K._before(cells, "queue").collect()}
+    rows = cells.collect()
+    assert got == {(r.part, r.queue): sum(x.n for x in rows if x.queue == r.queue and x.part < r.part) for r in rows}
 
 
 def test_deficits_keep_the_mixture():
