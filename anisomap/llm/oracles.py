@@ -42,4 +42,10 @@ SELECT page_id, n::BIGINT AS payload_bytes, b AS payload_digest, CASE WHEN page_
 FROM e JOIN m USING (x)
 """
 
-ORACLES: dict[str, str] = {"op10_warc": _OP10, "op3_decontamination": _OP3, "op7_minhash": _OP7}
+_COUNTS = """
+WITH c AS (SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS w, octet_length(encode(coalesce(text, '')))::BIGINT AS b FROM documents),
+v AS (SELECT source, lang, 'words_v1' AS tokenizer_version, w AS n FROM c UNION ALL SELECT source, lang, 'bytes_v1', b FROM c)
+SELECT source, lang, tokenizer_version, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM v GROUP BY ALL
+"""
+
+ORACLES: dict[str, str] = {"op10_warc": _OP10, "op3_decontamination": _OP3, "op7_minhash": _OP7, "token_counts_plain": _COUNTS}

@@ -44,6 +44,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup_of(table(spark, sf_dir, "documents"))
 
 
+def token_counts_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6's operator with those versions that SQL can count."""
+    from anisomap.llm.tokencounts import rollup_of
+
+    return rollup_of(table(spark, sf_dir, "documents"), {"words_v1": None, "bytes_v1": None})
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from anisomap.llm.neardup import near_duplicates
 
@@ -79,4 +86,5 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_language": op9_language,
     "op10_warc": op10_warc,
+    "token_counts_plain": token_counts_plain,
 }

@@ -10,7 +10,7 @@ from anisomap.llm import tokencounts as C
 from anisomap.llm import warc as W
 from anisomap.llm.oracles import ORACLES
 from anisomap.llm.queries import op5_ann, op6_token_counts, op10_warc
-from anisomap.llm.tokens import encoder, public_ranks
+from anisomap.llm.tokens import encode, encoder, public_ranks
 from tests.comparing import assert_same, connection
 
 
@@ -55,7 +55,7 @@ def test_counts_are_those_of_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").toPandas()
     e, want = encoder(*public_ranks()), {}
     for r in docs.itertuples():
-        for version, n in (("words_v1", len((r.text or "").encode().split())), ("byte_bpe_50k", len(e.encode_ordinary(r.text or "")))):
+        for version, n in (("words_v1", len((r.text or "").encode().split())), ("byte_bpe_50k", len(encode(e, r.text or "")))):
             a = want.setdefault((r.source, r.lang, version), [0, 0])
             a[0], a[1] = a[0] + 1, a[1] + n
     got = {(r.source, r.lang, r.tokenizer_version): [r.n_docs, r.n_tokens] for r in op6_token_counts(spark, small).collect()}
@@ -82,6 +82,31 @@ def test_commits(spark, odd, tmp_path):
     assert not again.commit("d", C.signed(new)) and C.rollup_of(odd.limit(0)).count() == 0
 
 
+def test_a_writer_that_dies_does_no_harm(spark, tmp_path):
+    path = f"file://{tmp_path}/rollup"
+    r = C.Rollup(spark, path)
+    one = spark.createDataFrame([("s", "en", "words_v1", 1, 5)], C.TOTALS)
+    assert r.commit("a", one)
+    (tmp_path / "rollup/commits/000000000002").touch()  # a commit without content
+    (tmp_path / "rollup/commits/_half").write_text('{"number": 9, "batch"')  # one that was never renamed
+    assert r.totals().collect() == one.collect() and r.commit("b", one) and not r.commit("b", one)
+    assert r.totals().first().n_tokens == 10 and sorted(x.batch for x in r.batches().collect()) == ["a", "b"]
+    assert not r._publish(3, {"number": 3, "batch": "c", "folder": "nowhere"}) and r.totals().first().n_tokens == 10
+    assert r.commit("c", one) and r.commit("d", one)
+    assert len(list((tmp_path / "rollup").glob("data-*"))) == 2 and r.totals().first().n_tokens == 20
+
+
+def test_plain_counts_are_those_of_sql(spark, sf):
+    from anisomap.llm.queries import token_counts_plain
+
+    assert_same(token_counts_plain(spark, sf).toPandas(), connection(sf).execute(ORACLES["token_counts_plain"]).df())
+
+
+def test_counting_replaces_clashing_columns(spark, odd):
+    got = C.count_tokens(odd.selectExpr("*", "7 as n_tokens", "'x' as tokenizer_version"), {"words_v1": None, "bytes_v1": None})
+    assert got.where("tokenizer_version = 'bytes_v1' and doc_id = 7").first().n_tokens == 700_000 and got.count() == 2 * odd.count()
+
+
 def test_pieces_are_the_tokenizer_s(spark, odd):
     import public_tokenizers as P
     from tokenizers import Tokenizer
