@@ -3,13 +3,17 @@
 Writing: each page is a record whose payload is its html in UTF-8 (null: empty). Of pages with equal payloads of at
 least ``least`` bytes, the one with the largest page_id is the response and the others are revisits of it; shorter
 payloads are all responses. A response's HTTP message has a chunked body; one of more than ``segment`` characters goes
-on in continuation records. Files are gzipped text files of Spark, whose records end with two line ends as WARC wants.
+on in continuation records. Files are gzipped text files of Spark, of at most ``FILE_RECORDS`` records, which end with
+two line ends as WARC wants.
 
-Reading: files are parsed record by record; continuation records are grouped by origin identifier, ordered by segment
-number, held against the total length, and their chunked framing is decoded. Wrong lengths, numbers or digests raise.
+Reading: files, of one gzip member or of many (such as one a record), are decompressed and parsed in parts of bounded
+size; continuation records are grouped by origin identifier, ordered by segment number, held against the total length,
+and their chunked framing is decoded. Wrong lengths, numbers or digests raise.
 
-Repeated rows: one of those with the largest page_id is the response. Null page_ids are never a response if another
-page has the payload. Null urls are written as about:blank; control characters and blanks in urls are percent-encoded.
+Repeated rows: of those with the largest page_id, one with the smallest url (null first) is the response, whatever the
+order of rows. Null page_ids are never a response if another page has the payload; without one each is a response. Null
+urls are written as about:blank; control characters and blanks in urls are percent-encoded. An empty table gives no
+rows. Other columns of ``pages`` are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anisomap.llm.common import scratch, written
+from anisomap.storage import written_with
 
-CHUNK = 8192
+CHUNK, FILE_RECORDS = 8192, 2048
+#: Bytes that are decompressed at once, and of records that a worker hands on at once.
+PART_BYTES, BATCH_BYTES = 1 << 20, 1 << 22
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"
 
@@ -79,6 +86,27 @@ def records_of(page: str | None, url: str | None, html: str, digest: str, role:
     ]
 
 
+def _roles(rows: DataFrame, least: int) -> DataFrame:
+    """``rows`` (page_id, url, html, digest) with their role and the page_id of the response that they refer to."""
+    grouped = F.octet_length("html") >= least
+    same = rows.where(grouped).groupBy("digest", "page_id").agg(F.count("*").alias("n"))
+    best = same.groupBy(F.col("digest").alias("key")).agg(F.max(F.struct("page_id", "n")).alias("best")).select("key", F.col("best.page_id").alias("refers"), "best.n")
+    best, (_, most) = written_with(best, "responses", F.max(F.when(F.col("refers").isNotNull(), F.col("n"))))
+    rows = rows.withColumn("key", F.when(grouped, F.col("digest"))).join(best, "key", "left")
+    role = F.when(F.col("refers").isNull(), "single").when(F.col("page_id").eqNullSafe(F.col("refers")), F.when(F.col("n") == 1, "response").otherwise("tie")).otherwise("revisit")
+    rows = rows.withColumn("role", role).drop("key")
+    if (most or 0) < 2:
+        return rows.drop("n")
+    # Repeated rows are counted, and made again from their counts: no row's own number decides.
+    ties = rows.where("role = 'tie'").groupBy("page_id", "url", "digest", "refers", F.spark_partition_id().alias("at")).agg(F.count("*").alias("n"), F.min("html").alias("html"))
+    ties = written(ties, "ties")
+    first = ties.groupBy("digest").agg(F.min(F.struct("url", "at")).alias("first"))
+    copies = ties.join(first, "digest").select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    response = F.col("url").eqNullSafe(F.col("first.url")) & (F.col("at") == F.col("first.at")) & (F.col("copy") == 1)
+    copies = copies.withColumn("role", F.when(response, "response").otherwise("revisit"))
+    return rows.where("role <> 'tie'").drop("n").unionByName(copies.select("page_id", "url", "html", "digest", "refers", "role"))
+
+
 def write_archives(pages: DataFrame, path: str, least: int = 0, segment: int = 1 << 15) -> None:
     """Archives of ``pages`` (page_id, url, html) under ``path``."""
 
@@ -87,29 +115,61 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, segment: int = 1
         return pd.Series([records_of(*r, segment) for r in zip(page, url, html, digest, role, refers, uid, strict=True)], dtype="object")
 
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.monotonically_increasing_id().alias("uid"))
-    grouped = F.octet_length("html") >= least
-    best = rows.where(grouped).groupBy("digest").agg(F.max(F.struct("page_id", "uid")).alias("best"))
-    rows = rows.withColumn("key", F.when(grouped, F.col("digest"))).join(best.withColumnRenamed("digest", "key"), "key", "left")
-    role = F.when(F.col("best").isNull(), "single").when(F.col("uid") == F.col("best.uid"), "response").otherwise(F.when(F.col("best.page_id").isNull(), "single").otherwise("revisit"))
-    made = rows.select(F.explode(records(F.col("page_id").cast("string"), "url", "html", "digest", role, F.col("best.page_id").cast("string"), "uid")).alias("value"))
-    made.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
-
-
-def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
+    rows = _roles(rows, least)
+    # The number only makes names of records differ.
+    uid = F.monotonically_increasing_id()
+    made = rows.select(F.explode(records(F.col("page_id").cast("string"), "url", "html", "digest", "role", F.col("refers").cast("string"), uid)).alias("value"))
+    made.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+
+
+def members(content: bytes) -> Iterator[bytes]:
+    """What a file holds, in parts: that of all its gzip members, or the file itself."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    rest = content
+    while rest.strip(b"\0"):  # zeros may follow the last member
+        one = zlib.decompressobj(47)
+        while not one.eof:
+            part = one.decompress(rest, PART_BYTES)
+            rest = one.unconsumed_tail
+            if part:
+                yield part
+            elif not one.eof and not rest:
+                raise ValueError("a gzip member ends too early")
+        rest = one.unused_data
+
+
+def parse(parts: bytes | Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields by lower-case name, block) of each record of an archive."""
-    at = 0
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        version, *lines = raw[at:end].decode("utf-8", "surrogatepass").split("\r\n")
+    parts = iter([parts] if isinstance(parts, bytes) else parts)
+    held = bytearray()
+
+    def have(n: int) -> bool:
+        while len(held) < n:
+            more = next(parts, None)
+            if more is None:
+                return False
+            held.extend(more)
+        return True
+
+    while have(1):
+        end = held.find(b"\r\n\r\n")
+        while end < 0:
+            seen = len(held)
+            if not have(seen + 1):
+                raise ValueError("a record's header does not end")
+            end = held.find(b"\r\n\r\n", max(0, seen - 3))
+        version, *lines = held[:end].decode("utf-8", "surrogatepass").split("\r\n")
         if not version.startswith("WARC/"):
             raise ValueError("no record where one should begin")
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        at = end + 4 + int(head["content-length"])
-        if raw[at : at + 4] != b"\r\n\r\n":
+        after = end + 4 + int(head["content-length"])
+        if not have(after + 4) or held[after : after + 4] != b"\r\n\r\n":
             raise ValueError("a record does not end where it should")
-        yield head, raw[end + 4 : at]
-        at += 4
+        yield head, bytes(held[end + 4 : after])
+        del held[: after + 4]
 
 
 def payload_of(block: bytes) -> bytes:
@@ -132,28 +192,43 @@ def _page(record: str) -> int | None:
     return None if found == "null" else int(found)
 
 
+def _row(head: dict[str, str], block: bytes, with_payload: bool) -> tuple | None:
+    """A record's row of ``PARSED``; None for kinds that are not read."""
+    kind, record = head["warc-type"], head["warc-record-id"]
+    claimed = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    number = int(head.get("warc-segment-number", 0))
+    if kind == "revisit":
+        fields = dict(x.split(": ", 1) for x in block.decode().split("\r\n")[1:] if x)
+        return record, 0, None, kind, _page(record), _page(head["warc-refers-to"]), int(fields["Content-Length"]), claimed, None, None
+    if number:
+        total = head.get("warc-segment-total-length")
+        origin = head["warc-segment-origin-id"] if kind == "continuation" else record
+        return origin, number, int(total) if total else None, "response", _page(origin), None, None, claimed, None, block
+    if kind == "response":
+        p = payload_of(block)
+        return record, 0, None, kind, _page(record), None, len(p), _digest(p, claimed), p if with_payload else None, None
+    return None
+
+
 def _parsed(with_payload: bool):
+    columns = [c.split()[0] for c in PARSED.split(", ")]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns, dtype=object).astype({"segment": "int32", "total": "Int64", "page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in PARSED.split(", ")]
         for batch in batches:
             for content in batch["content"]:
-                raw, out = zlib.decompress(content, 47) if content[:2] == b"\x1f\x8b" else content, []
-                for head, block in parse(raw):
-                    kind, record = head["warc-type"], head["warc-record-id"]
-                    claimed = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                    number = int(head.get("warc-segment-number", 0))
-                    if kind == "revisit":
-                        fields = dict(x.split(": ", 1) for x in block.decode().split("\r\n")[1:] if x)
-                        out.append((record, 0, None, kind, _page(record), _page(head["warc-refers-to"]), int(fields["Content-Length"]), claimed, None, None))
-                    elif number:
-                        total = head.get("warc-segment-total-length")
-                        first = kind != "continuation"
-                        origin = record if first else head["warc-segment-origin-id"]
-                        out.append((origin, number, int(total) if total else None, "response", _page(origin), None, None, claimed, None, block))
-                    elif kind == "response":
-                        p = payload_of(block)
-                        out.append((record, 0, None, kind, _page(record), None, len(p), _digest(p, claimed), p if with_payload else None, None))
-                yield pd.DataFrame(out, columns=columns, dtype=object).astype({"segment": "int32"}).astype({"total": "Int64", "page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
+                out, held = [], 0
+                for head, block in parse(members(content)):
+                    row = _row(head, block, with_payload)
+                    if row is not None:
+                        out.append(row)
+                        held += len(block)
+                    if held >= BATCH_BYTES:
+                        yield frame(out)
+                        out, held = [], 0
+                yield frame(out)
 
     return read
 

@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 
 import numpy as np
@@ -205,6 +206,35 @@ def test_odd_pages_and_segments(spark, tmp_path):
     assert W.round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_of_many_members(spark, tmp_path, monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(W, "PART_BYTES", 7)
+    monkeypatch.setattr(W, "BATCH_BYTES", 100)
+    digest = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    texts = {1: "first", 2: "second é " * 50, 3: "", 4: "fourth"}
+    made = [[(r + "\r\n\r\n").encode() for r in W.records_of(str(i), "u", t, digest(t), "response", None, i, 60)] for i, t in texts.items()]
+    each = b"".join(gzip.compress(r) for page in made for r in page)  # a member a record
+    two = b"".join(gzip.compress(b"".join(b"".join(p) for p in half)) for half in (made[:2], made[2:])) + b"\0" * 8
+    plain = b"".join(r for page in made for r in page)
+    for name, content in (("each", each), ("two", two), ("plain", plain)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc.gz").write_bytes(content)
+        got = {r.page_id: bytes(r.payload).decode() for r in W.read_archives(spark, f"file://{tmp_path}/{name}", with_payload=True).collect()}
+        assert got == texts
+    with pytest.raises(ValueError):
+        list(W.members(each[:-20]))
+    assert b"".join(W.members(gzip.compress(b"abc" * 9) + gzip.compress(b"d"))) == b"abc" * 9 + b"d"
+
+
+def test_repeated_pages_have_one_response(spark):
+    rows = [(9, "u", "same"), (9, "u", "same"), (9, "a", "same"), (9, None, "same"), (9, None, "same"), (3, "u", "same"), (None, "u", "same"), (5, "u", "other")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = W.round_trip(pages.repartition(4)).toPandas()
+    assert len(got) == 8 and (got.record_type == "response").sum() == 2
+    assert set(got[got.record_type == "revisit"].refers_to) == {9}
+
+
 def test_broken_archives(spark):
     good = W.records_of("1", "u", "abc" * 99, "00" * 20, "response", None, 0, 40)
     raw = "".join(r + "\r\n\r\n" for r in good).encode()
