@@ -6,21 +6,26 @@ the shortest window are left out of the index. Backward search runs all windows
 occurrences are located by sampled suffix positions, and overlapping ones merge into removal spans.
 
 Null and empty texts have no words and no hits; items without words, and items with a null id, take no part. Repeated
-documents are handled row by row, repeated items count once. Test items are held in blocks of at most ``block_chars``
-characters, whose phrase tables are broadcast; more items mean more blocks, each searched in all documents.
+documents are handled row by row, repeated items count once. Test items come in blocks of at most ``block_chars``
+characters (or one item). Driver and workers hold the phrase table of one block at a time; with more than one, what is
+found for the blocks before is written with the documents. Empty tables give no rows, or no hits. A column of
+``documents`` that is named ``hits`` is replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anisomap.llm import subwords
+from anisomap.llm.common import written
 from anisomap.llm.fmindex import FMIndex
+from anisomap.storage import written_with
 
 #: Bytes of texts that are cut into words at once, and words of a shard's index.
 SHARD_BYTES, SHARD_WORDS = 1 << 20, 1 << 20
@@ -31,7 +36,8 @@ for _b in [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]:
 for _b in range(0x41, 0x5B):
     _WORD[_b] = _b + 32
 
-HITS = "n_words long, spans array<struct<first:long,last:long,start:long,end:long>>, items array<string>"
+SPAN = ("first", "last", "start", "end")
+HITS = f"struct<n_words:long,spans:array<struct<{','.join(f'{k}:long' for k in SPAN)}>>,items:array<string>>"
 
 
 def _joined(texts: list[str | None]) -> Iterator[tuple[range, np.ndarray, np.ndarray]]:
@@ -60,24 +66,21 @@ class Phrases:
     """Windows of test items as rows of word numbers, with the items of each."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = 10):
-        found: dict[bytes, int] = {}
-        rows, pairs = [], set()
-        for item, text in items:
-            h = word_hashes_of(text)
-            for k in range(max(1, len(h) - window + 1) if len(h) else 0):
-                w = h[k : k + window]
-                p = found.setdefault(w.tobytes(), len(rows))
-                if p == len(rows):
-                    rows.append(w)
-                pairs.add((p, item))
-        self.vocabulary = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.uint64)
-        self.lengths = np.array([len(r) for r in rows], np.int64)
-        self.rows = np.zeros((len(rows), window), np.int64)
-        for i, r in enumerate(rows):
-            self.rows[i, : len(r)] = np.searchsorted(self.vocabulary, r) + 1
-        of = sorted(pairs)
-        self.item_of = [x for _, x in of]
-        self.item_from = np.searchsorted(np.array([p for p, _ in of], np.int64), np.arange(len(rows) + 1))
+        hashes = [(item, h) for item, h in ((item, word_hashes_of(text)) for item, text in items) if len(h)]
+        names, own = np.unique(np.array([item for item, _ in hashes], object), return_inverse=True) if hashes else (np.zeros(0, object), np.zeros(0, int))
+        self.vocabulary = np.unique(np.concatenate([h for _, h in hashes])) if hashes else np.zeros(0, np.uint64)
+        rows, of = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
+        for (_, h), item in zip(hashes, own, strict=True):
+            number = (np.searchsorted(self.vocabulary, h) + 1).astype(np.int32)
+            short = np.pad(number, (0, max(0, window - len(number))))  # 0 is no word's number
+            rows.append(np.lib.stride_tricks.sliding_window_view(short, window))
+            of.append(np.full(len(rows[-1]), item))
+        rows, of = np.concatenate(rows), np.concatenate(of)
+        self.rows, at = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (rows, np.zeros(0, np.int64))
+        self.lengths = (self.rows > 0).sum(1)
+        pairs = np.unique(np.stack([at.reshape(-1), of]), axis=1)
+        self.item_of = names[pairs[1]].tolist()
+        self.item_from = np.searchsorted(pairs[0], np.arange(len(self.rows) + 1))
         self.shortest = int(self.lengths.min(initial=window))
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
@@ -143,12 +146,13 @@ class Phrases:
                 yield int(count[t]), spans.get(t, []), sorted(items.get(t, ()))
 
 
-def _phrase_blocks(benchmark: DataFrame, window: int, block_chars: int) -> list[Phrases]:
-    usable = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
+def _phrase_blocks(benchmark: DataFrame, window: int, block_chars: int) -> tuple[int, Callable[[int], Broadcast]]:
+    """The number of blocks of test items, and what makes the phrase table of one of them and hands it out."""
+    usable = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text").distinct()
     size = usable.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-int(size) // block_chars))
     own = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [Phrases([(r.item, r.text) for r in usable.where(own == b).collect()], window) for b in range(n)]
+    return n, lambda b: benchmark.sparkSession.sparkContext.broadcast(Phrases([(r.item, r.text) for r in usable.where(own == b).collect()], window))
 
 
 def _merge(found: list[list[tuple[int, int, int, int]]]) -> list[tuple[int, int, int, int]]:
@@ -162,20 +166,33 @@ def _merge(found: list[list[tuple[int, int, int, int]]]) -> list[tuple[int, int,
     return out
 
 
-def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 1 << 24) -> DataFrame:
-    """All columns of ``documents`` with ``hits``: n_words, merged spans, and the items that occur."""
-    context = documents.sparkSession.sparkContext
-    held = [context.broadcast(p) for p in _phrase_blocks(benchmark, window, block_chars)]
-
+def _scan(held: Broadcast):
     @F.pandas_udf(HITS)
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            texts = [t if isinstance(t, str) else None for t in texts]
-            rows = zip(*(list(p.value.scan(texts)) for p in held), strict=True)
-            out = [(r[0][0], [dict(zip(("first", "last", "start", "end"), s, strict=True)) for s in _merge([x[1] for x in r])], sorted({i for x in r for i in x[2]})) for r in rows]
+    def scan(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        for texts, before in batches:
+            out = []
+            found = held.value.scan([t if isinstance(t, str) else None for t in texts])
+            for (n, spans, items), old_spans, old_items in zip(found, before["spans"], before["items"], strict=True):
+                if old_spans is not None and len(old_spans):
+                    spans = _merge([spans, [tuple(s[k] for k in SPAN) for s in old_spans]])
+                    items = sorted({*items, *old_items})
+                out.append((n, [dict(zip(SPAN, s, strict=True)) for s in spans], items))
             yield pd.DataFrame(out, columns=["n_words", "spans", "items"])
 
-    return documents.withColumn("hits", scan(F.col("text")))
+    return scan
+
+
+def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 1 << 22) -> DataFrame:
+    """All columns of ``documents`` with ``hits``: n_words, merged spans, and the items that occur."""
+    n, phrases = _phrase_blocks(benchmark, window, block_chars)
+    found = documents.withColumn("hits", F.lit(None).cast(HITS))
+    for b in range(n):
+        held = phrases(b)
+        found = found.withColumn("hits", _scan(held)(F.col("text"), F.col("hits")))
+        if n > 1:
+            found = written(found, "hits")
+            held.destroy()
+    return found
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -192,21 +209,32 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
     )
 
 
-def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 1 << 22) -> DataFrame:
     """``documents`` with the removal spans cut out of ``text``; a line break stands where a span was.
 
     Texts without hits are as they were. Where parts on both sides of a cut join to a window again, they are cut again.
     """
-    context = documents.sparkSession.sparkContext
-    held = [context.broadcast(p) for p in _phrase_blocks(benchmark, window, 1 << 24)]
-
+    n, phrases = _phrase_blocks(benchmark, window, block_chars)
+    clean = documents.withColumn("text", _cut(phrases(0))(F.col("text"))) if n == 1 else documents
+    # With several blocks, a cut for one may join a window of another: until a round over all of them changes nothing.
+    changed = n > 1
+    while changed:
+        changed = 0
+        for b in range(n):
+            held = phrases(b)
+            now = clean.withColumn("_before", F.xxhash64("text")).withColumn("text", _cut(held)(F.col("text")))
+            now, (_, differ) = written_with(now, "cleaned", F.count(F.when(F.xxhash64("text") != F.col("_before"), 1)))
+            clean, changed = now.drop("_before"), changed + differ
+            held.destroy()
+    return clean
+
+
+def _cut(held: Broadcast):
     def cut(texts: list[str | None]) -> list[str | None]:
         out, open_ = list(texts), list(range(len(texts)))
         while open_:
-            rows = zip(*(list(p.value.scan([out[i] for i in open_])) for p in held), strict=True)
             again = []
-            for i, row in zip(open_, rows, strict=True):
-                spans = _merge([x[1] for x in row])
+            for i, (_, spans, _) in zip(open_, list(held.value.scan([out[i] for i in open_])), strict=True):
                 if spans:
                     raw, parts, at = out[i].encode("utf-8", "surrogatepass"), [], 0
                     for _, _, start, end in spans:
@@ -223,4 +251,4 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = 10) -
             yield pd.Series(cut([t if isinstance(t, str) else None for t in texts]), dtype="object")
 
     # Else a filter on the new text would be pushed below it, and every text would be cleaned twice.
-    return documents.withColumn("text", cleaned.asNondeterministic()(F.col("text")))
+    return cleaned.asNondeterministic()

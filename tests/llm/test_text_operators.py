@@ -79,6 +79,8 @@ def test_spans_are_cut_until_none_is_left(spark, odd):
     assert got[4] == "lost words stay" and got[3] is None and got[5] == ""
     assert "two" not in got[1].lower() and got[1].startswith("Before.") and got[1].endswith("after")
     assert D.contamination(D.remove_spans(docs, bench), bench).where("contaminated").count() == 0
+    many = {r.doc_id: r.text for r in D.remove_spans(docs, bench, block_chars=20).collect()}
+    assert many.keys() == got.keys() and D.contamination(D.remove_spans(docs, bench, block_chars=20), bench).where("contaminated").count() == 0
     blocks = D.find_hits(docs, bench, block_chars=20).select("doc_id", "hits.*").toPandas().sort_values("doc_id")
     one = D.find_hits(docs, bench).select("doc_id", "hits.*").toPandas().sort_values("doc_id")
     assert_same(blocks, one)
