@@ -39,6 +39,7 @@ def test_recall_and_scores(spark):
 
 def test_odd_vectors_blocks_and_few_candidates(spark, monkeypatch):
     monkeypatch.setattr(A, "BLOCK", 8)
+    monkeypatch.setattr(A, "LEAST_BLOCK", 8)
     monkeypatch.setattr(A, "QUERIES", 3)
     rows = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (8, [float("inf"), 0.0]), (2, [1.0, 0.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -47,11 +48,27 @@ def test_odd_vectors_blocks_and_few_candidates(spark, monkeypatch):
     assert A.nearest(v.limit(0), v).count() == 0 and A.nearest(v, v.limit(0)).count() == 0
     x = np.random.default_rng(0).normal(size=(90, 6))
     many = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
-    got = A.nearest(many, many.where("vec_id % 10 = 0"), k=5, depth=90).toPandas()
+    got = A.nearest(many, many.where("vec_id % 10 = 0"), k=5).toPandas()
     hits = sum(len(set(got[got.query_id == q].vec_id) & {i for i, _ in exact(x, np.arange(90), q, 5)}) for q in range(0, 90, 10))
     assert hits >= 43
 
 
+def test_neighbours_in_a_tight_group_of_near_copies(spark):
+    """Many more vectors share their codes than are asked for; near copies differ less than codes can tell."""
+    r = np.random.default_rng(7)
+    x = np.concatenate([r.normal(size=(9000, 16)), r.normal(size=16) + 1e-7 * r.normal(size=(6000, 16)), np.repeat(r.normal(size=(1, 16)), 40, 0)])
+    ids = r.permutation(len(x))
+    x, ids = x[np.argsort(ids)], np.arange(len(x))
+    v = spark.createDataFrame([(int(i), row.tolist()) for i, row in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(8)
+    got = A.nearest(v, v.where("vec_id % 100 = 0")).toPandas()
+    hits = total = 0
+    for q in range(0, len(x), 100):
+        own = got[got.query_id == q].sort_values("rank")
+        want = exact(x, ids, q, 10)
+        hits, total = hits + len({i for i, _ in want} & set(own.vec_id)), total + 10
+    assert hits / total >= 0.95
+
+
 def test_counts_are_those_of_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").toPandas()
     e, want = encoder(*public_ranks()), {}
