@@ -41,9 +41,14 @@ def distance(a: Column | str, b: Column | str) -> Column:
 
 
 def cosine(a: Column | str, b: Column | str, eps: float = EPS) -> Column:
-    """Cosine clipped to [-1, 1]; NULL where the product of the norms is at most ``eps``."""
+    """Cosine clipped to [-1, 1]; NULL where the product of the norms is at most ``eps``, NaN or infinite."""
     size = norm(a) * norm(b)
-    return F.when(size > eps, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / size)))
+    return F.when(finite(size) & (size > eps), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / size)))
+
+
+def finite(c: Column | str) -> Column:
+    """False for NaN, which Spark takes to be above all numbers, and for infinities; NULL for NULL."""
+    return F.abs(col(c)) < F.lit(float("inf"))
 
 
 def mean_vector(column: str, dimensions: int) -> Column:

@@ -51,16 +51,17 @@ def wormhole_mask(dissim: DataFrame, border: DataFrame, points: DataFrame, drift
     """(src, dst, keep): whether no way through the border's straight shortcuts is shorter than d, or d is below the threshold.
 
     Two min-plus steps: A(i, b2) = min over b1 of d(i, b1) + (1 - bound) |x_b1 - x_b2|, then the minimum over b2 of
-    A(i, b2) + d(j, b2). The border is a thin set, broadcast as far as Spark's size limit allows.
+    A(i, b2) + d(j, b2). Both start from the pairs that are there: only border points next to a pair's ends are met.
     """
     self_rows = border.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("d"))
     to_border = dissim.select("src", "dst", "d").where("src <> dst").join(border.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "d").unionByName(self_rows)
     at = points.join(border, "id", "left_semi").select("id", "x")
-    gaps = at.select(F.col("id").alias("b1"), F.col("x").alias("x1")).join(at.select(F.col("id").alias("b2"), F.col("x").alias("x2")), F.lit(True))
-    gaps = gaps.select("b1", "b2", ((1 - drift_bound) * V.distance("x1", "x2")).alias("gap"))
-    through = to_border.join(gaps, F.col("dst") == F.col("b1")).groupBy("src", "b2").agg(F.min(F.col("d") + F.col("gap")).alias("a"))
-    back = to_border.select(F.col("src").alias("j"), F.col("dst").alias("b2"), F.col("d").alias("back"))
-    shortest = through.join(back, "b2").groupBy("src", F.col("j").alias("dst")).agg(F.min(F.col("a") + F.col("back")).alias("way"))
+    back = to_border.select(F.col("src").alias("dst"), F.col("dst").alias("b2"), F.col("d").alias("back"))
+    wanted = dissim.select("src", "dst").where("src <> dst").join(back, "dst")
+    needed = wanted.select("src", "b2").distinct().join(at.select(F.col("id").alias("b2"), F.col("x").alias("x2")), "b2")
+    ahead = to_border.join(at.select(F.col("id").alias("dst"), F.col("x").alias("x1")), "dst").select("src", "x1", "d")
+    through = needed.join(ahead, "src").groupBy("src", "b2").agg(F.min(F.col("d") + (1 - drift_bound) * V.distance("x1", "x2")).alias("a"))
+    shortest = wanted.join(through, ["src", "b2"]).groupBy("src", "dst").agg(F.min(F.col("a") + F.col("back")).alias("way"))
     out = dissim.select("src", "dst", "d").join(shortest, ["src", "dst"], "left")
     return out.select("src", "dst", (F.col("way").isNull() | (F.col("way") > F.col("d")) | (F.col("d") < threshold)).alias("keep"))
 

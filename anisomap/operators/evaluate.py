@@ -54,10 +54,17 @@ def both_ways(dissim: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
 
 
 def with_rank(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Average ranks: counts per value are summed over values, of which there are fewer than rows where ties matter."""
-    values = df.groupBy(column).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = values.select(F.col(column).alias("_v"), (before + (F.col("_n") + 1) / 2).alias(name))
+    """Average ranks. Values are dealt over tasks by ranges; sums of the ranges before are added to those within one."""
+    from anisomap.storage import written
+
+    values = df.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    # Written with the number of its range, which a second run of the shuffle might give differently.
+    values = written(values.repartitionByRange("_v").withColumn("_range", F.spark_partition_id()), "values")
+    earlier = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = values.groupBy("_range").agg(F.sum("_n").alias("_all"))  # a row a task
+    ranges = ranges.select("_range", earlier(Window.orderBy("_range"), "_all").alias("_base"))
+    within = values.join(F.broadcast(ranges), "_range").withColumn("_before", earlier(Window.partitionBy("_range").orderBy("_v"), "_n"))
+    ranks = within.select("_v", (F.col("_base") + F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
     return df.join(ranks, F.col(column) == F.col("_v")).drop("_v")
 
 
@@ -134,10 +141,16 @@ def boundary_plan(labels: DataFrame, cluster_edges: DataFrame, knn: DataFrame) -
     return crossing.join(F.broadcast(cluster_edges.distinct()), ["src_label", "dst_label"]).select("src_label", "dst_label", F.col("src").alias("cell"), F.col("dst").alias("nbr"))
 
 
-def plan_hash(knn: DataFrame) -> DataFrame:
-    """One row: an order-free digest of a neighbour table, to see whether a stored plan still fits."""
-    row = F.xxhash64("src", "rank", "dst").cast("decimal(38,0)")
-    return knn.agg(F.sha2(F.concat_ws("|", F.count("*"), F.sum(row), F.bit_xor(F.xxhash64("src", "rank", "dst"))).cast("binary"), 256).alias("hash"))
+def plan_hash(labels: DataFrame, cluster_edges: DataFrame, knn: DataFrame) -> DataFrame:
+    """One row: an order-free digest of all that a plan is made from, to see whether a stored one still fits."""
+    parts = [
+        knn.select(F.lit("knn").alias("of"), F.xxhash64("src", "rank", "dst").alias("h")),
+        labels.select(F.lit("label").alias("of"), F.xxhash64("id", F.col("label").cast("string")).alias("h")),
+        cluster_edges.distinct().select(F.lit("edge").alias("of"), F.xxhash64(F.col("src_label").cast("string"), F.col("dst_label").cast("string")).alias("h")),
+    ]
+    rows = parts[0].union(parts[1]).union(parts[2])
+    each = rows.groupBy("of").agg(F.concat_ws("|", "of", F.count("*"), F.sum(F.col("h").cast("decimal(38,0)")), F.bit_xor("h")).alias("text"))
+    return each.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("text")), ";").cast("binary"), 256).alias("hash"))
 
 
 def boundary_cells(plan: DataFrame, embedding: DataFrame, velocity: DataFrame) -> DataFrame:
@@ -163,9 +176,9 @@ def cluster_coherence(labels: DataFrame, knn: DataFrame, velocity: DataFrame) ->
 
 
 def global_coherence(velocity: DataFrame, eps: float = V.EPS) -> DataFrame:
-    """One row: length of the mean unit velocity over those longer than eps."""
+    """One row: length of the mean unit velocity over those longer than eps; velocities with NaN take no part."""
     dimensions = len(velocity.select("v").first()[0])
-    unit = velocity.withColumn("r", V.norm("v")).where(F.col("r") > eps).select(V.scaled("v", 1 / F.col("r")).alias("u"))
+    unit = velocity.withColumn("r", V.norm("v")).where(V.finite("r") & (F.col("r") > eps)).select(V.scaled("v", 1 / F.col("r")).alias("u"))
     return unit.agg(F.count("*").alias("n"), V.mean_vector("u", dimensions).alias("m")).select("n", F.when(F.col("n") > 0, V.norm("m")).alias("gvcoh"))
 
 
@@ -201,10 +214,9 @@ REPRESENTATIVES = ("medoid", "centroid", "median")
 
 
 def gap_distance(embedding: DataFrame, groups: DataFrame, representative: str = "medoid", eps: float = V.EPS) -> DataFrame:
-    """One row: distance between the representatives of the groups before and after, and its ratio to the largest pairwise distance.
+    """One row: distance between the representatives of the groups before and after, and its ratio to the largest distance in the whole embedding.
 
-    The medoid needs all distances within a group, and the largest distance those of all selected cells: both are
-    compared in blocks, of which only sums and maxima leave.
+    The medoid needs all distances within a group; they are compared in blocks, of which only sums leave.
     """
     if representative not in REPRESENTATIVES:
         raise ValueError(f"representative is one of {', '.join(REPRESENTATIVES)}")
@@ -221,8 +233,8 @@ def gap_distance(embedding: DataFrame, groups: DataFrame, representative: str =
     else:
         rep = cells.groupBy("grp").agg(F.array(*[F.percentile(F.get("y", F.lit(i)), F.lit(0.5)) for i in range(dimensions)]).alias("y"))
     ends = rep.groupBy().agg(F.first(F.when(F.col("grp") == "before", F.col("y")), True).alias("a"), F.first(F.when(F.col("grp") == "after", F.col("y")), True).alias("b"))
-    most = _largest_distance(cells)
-    return ends.join(most).select(V.distance("a", "b").alias("gap_distance"), "max_distance", F.when(F.col("max_distance") > eps, V.distance("a", "b") / F.col("max_distance")).alias("normalized_gap"))
+    most = largest_distance(embedding)
+    return ends.join(most).select(V.distance("a", "b").alias("gap_distance"), "max_distance", (V.distance("a", "b") / F.greatest("max_distance", F.lit(eps))).alias("normalized_gap"))
 
 
 def _blocks(cells: DataFrame, work, schema: str) -> DataFrame:
@@ -242,14 +254,26 @@ def _distance_sums(cells: DataFrame) -> DataFrame:
     return cells.select("id", "grp").join(sums, "id")
 
 
-def _largest_distance(cells: DataFrame) -> DataFrame:
+def largest_distance(embedding: DataFrame) -> DataFrame:
+    """One row: the largest distance between two points, exactly.
+
+    The farthest point from the mean has some point at a distance m from it. Two points that are farther apart than m
+    are both at least m - r from the mean, where r is the largest such distance: only these are compared, in blocks.
+    """
     import numpy as np
 
+    dimensions = len(embedding.select("y").first()[0])
+    mean = embedding.agg(V.mean_vector("y", dimensions).alias("c"))
+    out = embedding.select("id", "y").join(F.broadcast(mean)).select("id", "y", V.distance("y", "c").alias("r"))
+    far = out.agg(F.max(F.struct("r", "id", "y")).alias("f")).select(F.col("f.y").alias("fy"), F.col("f.r").alias("fr"))
+    known = embedding.join(F.broadcast(far)).agg(F.max(V.distance("y", "fy")).alias("m"), F.max("fr").alias("fr"))
+    wide = out.join(F.broadcast(known)).where(F.col("r") >= (F.col("m") - F.col("fr")) * (1 - 1e-9)).select("id", F.col("y").alias("x"))
+
     def work(ids, x, others, y):
-        most = max(float(G._exact(row[1:], y[:, 1:]).max()) for row in x)
+        most = max(float(G._exact(row, y).max()) for row in x)
         return ids[:1], others[:1], np.array([most])
 
-    return _blocks(cells, work, "").agg(F.max("dist").alias("max_distance"))
+    return G._in_blocks(wide, work, G.BLOCK).agg(F.max("dist").alias("max_distance"))
 
 
 def velocity_scale(embedding: DataFrame, velocity: DataFrame, fraction: float = 0.05) -> DataFrame:

@@ -44,31 +44,53 @@ def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - y) ** 2).sum(-1))
 
 
+#: Point pairs whose differences a task holds at once.
+PAIRS = 1 << 15
+
+
+def _k_best(row: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k smallest distances of each row, ties to the smaller id."""
+    order = np.lexsort((ids, d, row))
+    return order[np.arange(len(order)) - np.searchsorted(row[order], row[order]) < k]
+
+
 def nearest_neighbors(points: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
     """knn(src, rank, dist, dst): the k nearest other points, ties to the smaller id. A point is never its own neighbour."""
 
     def found(ids, x, others, y):
         square = (y * y).sum(1)
-        keep = min(len(others), k + 16)  # the matrix product is rounded; exact distances decide among a few more
-        src, dst, dist = [], [], []
+        size = np.sqrt(square.max())
+        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         for at in range(0, len(ids), 512):
-            rough = square - 2 * x[at : at + 512] @ y.T
-            near = np.argpartition(rough, keep - 1, 1)[:, :keep]
-            d = _exact(x[at : at + 512, None, :], y[near])
-            own = others[near]
-            d[own == ids[at : at + 512, None]] = np.inf
-            order = np.lexsort((own, d))[:, :k]
-            src.append(np.repeat(ids[at : at + 512], order.shape[1]))
-            dst.append(np.take_along_axis(own, order, 1).ravel())
-            dist.append(np.take_along_axis(d, order, 1).ravel())
-        src, dst, dist = map(np.concatenate, (src, dst, dist))
-        ok = np.isfinite(dist)
-        return src[ok], dst[ok], dist[ok]
+            own = x[at : at + 512]
+            rough = square - 2 * own @ y.T
+            rough[ids[at : at + 512, None] == others] = np.inf
+            # The product is rounded: exact distances decide among all that can be within the k-th by its error.
+            error = 4 * (x.shape[1] + 4) * np.finfo(float).eps * size * (size + 2 * np.sqrt((own * own).sum(1)))
+            last = min(k, len(others)) - 1
+            bound = np.partition(rough, last, 1)[:, last] + 2 * error
+            row, col = np.nonzero((rough <= bound[:, None]) & np.isfinite(rough))
+            d = np.concatenate([np.zeros(0), *(_exact(own[row[i : i + PAIRS]], y[col[i : i + PAIRS]]) for i in range(0, len(row), PAIRS))])
+            best = _k_best(row, others[col], d, k)
+            for part, value in zip(out, (ids[at + row[best]], others[col[best]], d[best]), strict=True):
+                part.append(value)
+        return tuple(map(np.concatenate, out))
 
     place = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
     return _in_blocks(points, found, block).withColumn("rank", place).where(F.col("rank") <= k).select("src", "rank", "dst", "dist")
 
 
+def all_distances(points: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(src, dst, dist) of all pairs of different points, block by block."""
+
+    def found(ids, x, others, y):
+        d = np.concatenate([_exact(row, y) for row in x])
+        src, dst = np.repeat(ids, len(others)), np.tile(others, len(ids))
+        return src[src != dst], dst[src != dst], d[src != dst]
+
+    return _in_blocks(points, found, block)
+
+
 def radius_graph(points: DataFrame, radius: float, block: int = BLOCK) -> DataFrame:
     """edges(src, dst, d) between all points at most ``radius`` apart."""
 
@@ -182,16 +204,23 @@ def average_vectors(vectors: DataFrame, edges: DataFrame, include_self: bool = T
 
 def velocity_directed_graph(
     points: DataFrame, velocity: DataFrame, k: int = 30, k_finsler: int = 0, alpha: float = 1.0, formula: str = "exponential",
-    average: bool = True, symmetric: bool = True, cos_clip: float | None = None,
+    average: bool = True, symmetric: bool = True, cos_clip: float | None = None, velocity_neighbors: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Directed edges and the velocities that were used, smoothed over the Euclidean neighbours if ``average``."""
+    """Directed edges and the velocities that were used, smoothed over the (``velocity_neighbors`` nearest) neighbours if ``average``.
+
+    With ``k_finsler``, the targets that are nearest in the velocity's lengths join the support, which is then made
+    symmetric again if ``symmetric``.
+    """
     support = knn_edges(nearest_neighbors(points, k))
     if symmetric:
         support = symmetrize(support)
-    used = average_vectors(velocity, support) if average else velocity
+    used = average_vectors(velocity, support, k=velocity_neighbors) if average else velocity
     if k_finsler:
         extra = velocity_finsler_knn(points, used, k_finsler, alpha, formula, cos_clip)
-        support = support.select("src", "dst").unionByName(extra.select("src", "dst")).distinct()
+        extra = extra.select("src", "dst")
+        if symmetric:
+            extra = extra.unionByName(extra.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        support = support.select("src", "dst").unionByName(extra).distinct()
     return velocity_edges(points, used, support, alpha, formula, cos_clip), used
 
 
@@ -268,34 +297,109 @@ def connect_components(points: DataFrame, graph: DataFrame, block: int = BLOCK,
     raise RuntimeError("the graph could not be connected")
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component) by mutual reachability: colours of largest ids spread forward, then are confirmed backward."""
-    from anisomap.storage import written
-
-    left, rest, done = nodes.select("id"), edges.select("src", "dst"), None
-    while not left.isEmpty():
-        colour = left.select("id", F.col("id").alias("c"))
-        while True:
-            spread = rest.join(colour.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "c")
-            new = written(colour.unionByName(spread).groupBy("id").agg(F.min("c").alias("c")), "colour")
-            same = new.join(colour.withColumnRenamed("c", "old"), "id").where("c <> old").isEmpty()
-            colour = new
-            if same:
-                break
-        inside = rest.join(colour.withColumnRenamed("id", "src"), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("c2")), "dst").where("c = c2").select("src", "dst", "c")
-        back = colour.where("id = c")
-        while True:
-            more = inside.join(back.select(F.col("id").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("id"), "c")
-            new = written(back.unionByName(more).distinct(), "back")
-            same = new.count() == back.count()
-            back = new
-            if same:
-                break
-        found = back.select("id", F.col("c").alias("component"))
-        done = found if done is None else done.unionByName(found)
-        left = written(left.join(found, "id", "left_anti"), "left")
-        rest = written(rest.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti"), "rest")
-    return done if done is not None else nodes.select("id", F.col("id").alias("component"))
+#: Edges up to which strong components are found by one task's depth-first search.
+LOCAL_EDGES = 5_000_000
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(id, component) by mutual reachability; component is the smallest id.
+
+    Nodes without an edge in or out are components of their own and are taken off first. What is left is searched by
+    one task if it has at most ``local_edges`` edges; else in rounds, in which the smallest ids spread forward, and
+    those that they reach backward in the same colour are done. Both give the same.
+    """
+    from anisomap.storage import drop, written, written_with
+
+    ship(nodes.sparkSession)
+    rest, (n, *_) = written_with(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
+    found = []
+    while n:
+        last, before = rest, n
+        inner = rest.select(F.col("src").alias("dst")).distinct(), rest.select(F.col("dst").alias("src")).distinct()
+        rest, (n, *_) = written_with(rest.join(inner[0], "dst", "left_semi").join(inner[1], "src", "left_semi").select("src", "dst"), "edges")
+        drop(last)
+        if n <= local_edges:
+            found.append(written(rest.repartition(1).mapInPandas(_strong_local, "id long, component long"), "strong") if n else None)
+            break
+        if n > before / 2:  # little is left to take off
+            done = written(_strong_round(rest), "strong")
+            found.append(done)
+            gone = done.select(F.col("id").alias("src"))
+            rest, (n, *_) = written_with(rest.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"), "edges")
+    own = nodes.select("id")
+    for done in filter(None, found):
+        own = own.join(done.withColumnRenamed("component", "_c"), "id", "left").select("id", *([F.coalesce("component", "_c").alias("component")] if "component" in own.columns else [F.col("_c").alias("component")]))
+    if "component" not in own.columns:
+        return own.select("id", F.col("id").alias("component"))
+    return own.select("id", F.coalesce("component", "id").alias("component"))
+
+
+def _strong_round(rest: DataFrame) -> DataFrame:
+    """(id, component) of the components of those nodes whose colour, the smallest id that reaches them, is their own."""
+    from anisomap.storage import drop, written_with
+
+    both = rest.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    colour, (_, total) = written_with(both.select("id", F.col("id").alias("c")), "colour", F.sum(F.col("id").cast("decimal(38,0)")))
+    while True:
+        spread = rest.join(colour.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "c")
+        last, old = colour, total
+        colour, (_, total) = written_with(colour.unionByName(spread).groupBy("id").agg(F.min("c").alias("c")), "colour", F.sum(F.col("c").cast("decimal(38,0)")))
+        drop(last)
+        if total == old:
+            break
+    ends = colour.select(F.col("id").alias("src"), "c"), colour.select(F.col("id").alias("dst"), F.col("c").alias("c2"))
+    inside = rest.join(ends[0], "src").join(ends[1], "dst").where("c = c2").select("src", "dst", "c")
+    back, (count, *_) = written_with(colour.where("id = c"), "back")
+    while True:
+        more = inside.join(back.select(F.col("id").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("id"), "c")
+        last, old = back, count
+        back, (count, *_) = written_with(back.unionByName(more).distinct(), "back")
+        drop(last)
+        if count == old:
+            return back.select("id", F.col("c").alias("component"))
+
+
+def _strong_local(batches):
+    """Strong components of all edges of a task, by depth-first search without recursion."""
+    parts = [d for d in batches if len(d)]
+    if not parts:
+        return
+    e = pd.concat(parts)
+    ids, code = np.unique(np.concatenate([e["src"], e["dst"]]), return_inverse=True)
+    src, dst = code[: len(e)], code[len(e) :]
+    order = np.argsort(src, kind="stable")
+    dst, start = dst[order].tolist(), np.searchsorted(src[order], np.arange(len(ids) + 1)).tolist()
+    index, low, at, part = [-1] * len(ids), [0] * len(ids), start[:-1], [-1] * len(ids)
+    stack: list[int] = []
+    seen = 0
+    for root in range(len(ids)):
+        if index[root] >= 0:
+            continue
+        way = [root]
+        while way:
+            v = way[-1]
+            if index[v] < 0:
+                index[v] = low[v] = seen
+                seen += 1
+                stack.append(v)
+            while at[v] < start[v + 1]:
+                u = dst[at[v]]
+                if index[u] < 0:
+                    way.append(u)
+                    break
+                if part[u] < 0:
+                    low[v] = min(low[v], low[u])
+                at[v] += 1
+            else:
+                way.pop()
+                if low[v] == index[v]:
+                    own = [stack.pop()]
+                    while own[-1] != v:
+                        own.append(stack.pop())
+                    least = min(own)
+                    for u in own:
+                        part[u] = least
+    yield pd.DataFrame({"id": ids, "component": ids[np.array(part)]})
 
 
 def obstacle_column(obstacles: list[dict[str, float]]) -> Column:
@@ -315,6 +419,105 @@ def inside_any_obstacle(x: Column, y: Column, obstacles: list[dict[str, float]],
     return F.exists(obstacle_column(obstacles), lambda o: ellipse_level(x, y, o) <= (1 + margin) ** 2)
 
 
+def nearest_obstacle_geometry(x: Column, y: Column, obstacles: list[dict[str, float]]) -> Column:
+    """struct(distance, nx, ny): how far outside a point is of the nearest ellipse, in its radii, and the unit normal there.
+
+    The first of equally near ellipses counts; ellipses around whose very centre the point is have no normal and are
+    left out. NULL without any.
+    """
+
+    def one(o: Column, number: Column) -> Column:
+        angle = F.radians(o["angle_deg"])
+        dx, dy = x - o["cx"], y - o["cy"]
+        along, across = dx * F.cos(angle) + dy * F.sin(angle), dy * F.cos(angle) - dx * F.sin(angle)
+        gx, gy = 2 * along / (o["rx"] * o["rx"]), 2 * across / (o["ry"] * o["ry"])
+        size = F.sqrt(gx * gx + gy * gy)
+        out = F.greatest(F.sqrt(ellipse_level(x, y, o)) - 1, F.lit(0.0))
+        nx, ny = (gx * F.cos(angle) - gy * F.sin(angle)) / size, (gx * F.sin(angle) + gy * F.cos(angle)) / size
+        return F.when(size > V.EPS, F.struct(out.alias("distance"), number.alias("number"), nx.alias("nx"), ny.alias("ny")))
+
+    best = F.array_min(F.filter(F.transform(obstacle_column(obstacles), one), lambda g: g.isNotNull()))
+    return F.when(best.isNotNull(), F.struct(best["distance"].alias("distance"), best["nx"].alias("nx"), best["ny"].alias("ny")))
+
+
+def _clear_of_ellipses(obstacles: list[dict[str, float]], samples: int, margin: float = 0.0) -> Callable:
+    """Whether ways (a, b) between planar points, as arrays, keep out of all ellipses at their sample points."""
+    steps = np.linspace(0.05, 0.95, samples)
+
+    def clear(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        at = a[:, None, :] + steps[:, None] * (b - a)[:, None, :]
+        ok = np.ones(len(a), bool)
+        for o in obstacles:
+            angle = np.radians(o["angle_deg"])
+            dx, dy = at[..., 0] - o["cx"], at[..., 1] - o["cy"]
+            along, across = dx * np.cos(angle) + dy * np.sin(angle), dy * np.cos(angle) - dx * np.sin(angle)
+            ok &= ((along / o["rx"]) ** 2 + (across / o["ry"]) ** 2 > (1 + margin) ** 2).all(1)
+        return ok
+
+    return clear
+
+
+def _clear_in_corridor(segments: list[tuple[float, float, float, float]], width: float, samples: int) -> Callable:
+    """Whether ways (a, b) between planar points, as arrays, stay within ``width`` of the segments at their sample points."""
+    steps = np.linspace(0, 1, samples)
+
+    def clear(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        at = a[:, None, :] + steps[:, None] * (b - a)[:, None, :]
+        near = np.zeros(at.shape[:2], bool)
+        for x0, y0, x1, y1 in segments:
+            dx, dy = x1 - x0, y1 - y0
+            size = dx * dx + dy * dy
+            t = np.clip(((at[..., 0] - x0) * dx + (at[..., 1] - y0) * dy) / size, 0, 1) if size else 0.0
+            near |= (at[..., 0] - x0 - t * dx) ** 2 + (at[..., 1] - y0 - t * dy) ** 2 <= width * width
+        return near.all(1)
+
+    return clear
+
+
+def link_visible(points: DataFrame, graph: DataFrame, clear: Callable, base: str = "largest", block: int = BLOCK, rounds: int = 256) -> DataFrame:
+    """The graph with the nearest clear pair between one component and any other, again and again until it is connected.
+
+    ``base``: the component that others are linked to, the largest (of equal ones that of the smaller id) or the one of
+    the smallest id. If no pair is clear, the graph stays in parts. A block of points against a block gives one pair.
+    """
+    from anisomap.storage import written
+
+    for _ in range(rounds):
+        graph = written(graph, "graph")
+        parts = written(components(points, graph), "parts")
+        sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
+        order = [F.desc("n"), "component"] if base == "largest" else ["component"]
+        first = sizes.orderBy(*order).limit(1).first()
+        if first is None or first["n"] == parts.count():
+            return graph
+        tagged = points.select("id", "x").join(parts, "id")
+        inner, outer = (tagged.where(c).select("id", "x") for c in (F.col("component") == first["component"], F.col("component") != first["component"]))
+
+        def found(ids, x, others, y):
+            best = (np.inf, 0, 0)
+            for i, row in sorted(zip(ids, x, strict=True), key=lambda r: r[0]):
+                d = _exact(row, y)
+                order = np.argsort(d, kind="stable")
+                for at in range(0, len(order), 256):
+                    near = order[at : at + 256]
+                    if d[near[0]] >= best[0]:
+                        break
+                    ok = near[clear(np.repeat(row[None], len(near), 0), y[near])]
+                    if len(ok):
+                        if d[ok[0]] < best[0]:
+                            best = (float(d[ok[0]]), i, others[ok[0]])
+                        break
+            keep = slice(0, int(np.isfinite(best[0])))
+            return np.array([best[1]], np.int64)[keep], np.array([best[2]], np.int64)[keep], np.array([best[0]])[keep]
+
+        link = _in_blocks(outer, found, block, queries=inner).orderBy("dist", "src", "dst").limit(1).select("src", "dst", F.col("dist").alias("d"))
+        link = written(link, "link")
+        if link.isEmpty():
+            return graph
+        graph = graph.unionByName(link).unionByName(reverse(link))
+    raise RuntimeError("the graph could not be connected")
+
+
 def visible_edges(points: DataFrame, edges: DataFrame, obstacles: list[dict[str, float]], samples: int = 15, margin: float = 0.0) -> DataFrame:
     """Edges none of whose sample points between 5 and 95 per cent of the way lies in an ellipse (planar points)."""
     e = with_vectors(edges, points)
@@ -324,15 +527,24 @@ def visible_edges(points: DataFrame, edges: DataFrame, obstacles: list[dict[str,
     return e.where(~blocked).select("src", "dst", "d")
 
 
-def obstacle_graph(points: DataFrame, obstacles: list[dict[str, float]], k: int = 10, wide: int | None = None) -> DataFrame:
-    """The k nearest visible neighbours among ``wide`` candidates, symmetrised."""
-    candidates = knn_edges(nearest_neighbors(points, wide or max(8 * k, k + 80)))
-    kept = neighbors_from_edges(visible_edges(points, candidates, obstacles), k)
-    return symmetrize(knn_edges(kept))
+def obstacle_graph(points: DataFrame, obstacles: list[dict[str, float]], k: int = 10, wide: int | None = None, samples: int = 15) -> DataFrame:
+    """The symmetric graph of the ``wide`` nearest neighbours without edges through ellipses; parts are linked by the nearest visible pairs.
+
+    Raises if some points cannot be linked.
+    """
+    candidates = symmetrize(knn_edges(nearest_neighbors(points, max(k, wide or max(8 * k, k + 80)))))
+    seen = visible_edges(points, candidates, obstacles, samples)
+    graph = link_visible(points, seen, _clear_of_ellipses(obstacles, samples))
+    if components(points, graph).select("component").distinct().count() > 1:
+        raise RuntimeError("some points cannot be linked around the obstacles; make these smaller or take more neighbours")
+    return graph
 
 
 def corridor_graph(points: DataFrame, segments: list[tuple[float, float, float, float]], width: float, k: int = 10, wide: int | None = None, samples: int = 25) -> DataFrame:
-    """The k nearest neighbours whose straight way stays within ``width`` of some segment (planar points)."""
+    """The k nearest neighbours whose straight way stays within ``width`` of some segment (planar points), linked by such ways.
+
+    Candidates are the ``wide`` nearest points; a point that finds fewer than max(4, k // 2) among them raises.
+    """
     tree = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), s, strict=True)]) for s in segments])
     e = with_vectors(knn_edges(nearest_neighbors(points, wide or max(8 * k, k + 80))), points)
     ax, ay, bx, by = (F.get(c, F.lit(i)) for c in ("a", "b") for i in (0, 1))
@@ -349,4 +561,11 @@ def corridor_graph(points: DataFrame, segments: list[tuple[float, float, float,
 
     steps = F.array(*[F.lit(float(t)) for t in np.linspace(0, 1, samples)])
     inside = F.forall(steps, lambda t: near(ax + t * (bx - ax), ay + t * (by - ay)))
-    return symmetrize(knn_edges(neighbors_from_edges(e.where(inside).select("src", "dst", "d"), k)))
+    from anisomap.storage import written
+
+    kept = written(neighbors_from_edges(e.where(inside).select("src", "dst", "d"), k), "corridor")
+    least = max(4, k // 2)
+    lone = points.select(F.col("id").alias("src")).join(kept.groupBy("src").agg(F.count("*").alias("n")), "src", "left").where(F.coalesce("n", F.lit(0)) < least)
+    if not lone.isEmpty():
+        raise RuntimeError(f"some points have fewer than {least} visible neighbours")
+    return link_visible(points, symmetrize(knn_edges(kept)), _clear_in_corridor(segments, width, samples), base="first")

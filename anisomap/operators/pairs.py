@@ -161,17 +161,28 @@ def cluster_pair_weights(pairs: DataFrame, labels: DataFrame, rho: float = 0.5)
     return pairs.join(a, "src").join(b, "dst").withColumn("w", F.col("w") * F.col("_a") * F.col("_b")).drop("_a", "_b").where("src <> dst")
 
 
-def distance_weights(pairs: DataFrame, power: float = 1.0, epsilon: float = 1e-3) -> DataFrame:
-    """w (d / median + epsilon)^-power with the median of positive d."""
-    median = pairs.agg(F.percentile(F.when(F.col("d") > 0, F.col("d")), F.lit(0.5)).alias("_m"))
+def _active() -> Column:
+    """Pairs that count: a weight that is not 0, a finite distance, different ends."""
+    d = F.col("d")
+    return (F.col("w") != 0) & d.isNotNull() & (F.abs(d) < F.lit(float("inf"))) & (F.col("src") != F.col("dst"))
+
+
+def distance_weights(pairs: DataFrame, power: float = 1.0, epsilon: float = 1e-6) -> DataFrame:
+    """w (d / median + epsilon)^-power of active pairs, with the median of their positive d; without any, w is left as it is."""
+    if power < 0 or epsilon < 0:
+        raise ValueError("power and epsilon are at least 0")
+    if power == 0:
+        return pairs
+    median = pairs.agg(F.percentile(F.when(_active() & (F.col("d") > 0), F.col("d")), F.lit(0.5)).alias("_m"))
     out = pairs.join(F.broadcast(median))
-    return out.withColumn("w", F.col("w") * F.pow(F.col("d") / F.col("_m") + epsilon, F.lit(-float(power)))).drop("_m")
+    factor = F.pow(F.col("d") / F.col("_m") + epsilon, F.lit(-float(power)))
+    return out.withColumn("w", F.when(_active() & F.col("_m").isNotNull(), F.col("w") * factor).otherwise(F.col("w"))).drop("_m")
 
 
 def normalized_weights(pairs: DataFrame) -> DataFrame:
-    """Weights divided by the mean of the active (non-zero) ones."""
-    mean = pairs.agg(F.avg(F.when(F.col("w") != 0, F.col("w"))).alias("_m"))
-    return pairs.join(F.broadcast(mean)).withColumn("w", F.col("w") / F.col("_m")).drop("_m")
+    """Weights of active pairs divided by their mean; left as they are without any, or if the mean is not above 0."""
+    mean = pairs.agg(F.avg(F.when(_active(), F.col("w"))).alias("_m"))
+    return pairs.join(F.broadcast(mean)).withColumn("w", F.when(_active() & (F.col("_m") > 0), F.col("w") / F.col("_m")).otherwise(F.col("w"))).drop("_m")
 
 
 def frontier_weights(pairs: DataFrame, boundary: DataFrame, factor: float, symmetric: bool = True) -> DataFrame:

@@ -163,7 +163,8 @@ _REP = {
 for _kind, _part in _REP.items():
     QUERIES[f"gap_distance_{_kind}"] = lambda s, d, k=_kind: E.gap_distance(embedding(s, d), E.gap_selection(labels(s, d), None, [3], [2], [4]), k).select(*[R(c).alias(c) for c in ("gap_distance", "max_distance", "normalized_gap")])
     ORACLES[f"gap_distance_{_kind}"] = sql(PTS, EMB, _GAP, _part, "ga AS (SELECT sqrt((b.y0 - a.y0) * (b.y0 - a.y0) + (b.y1 - a.y1) * (b.y1 - a.y1) + (b.y2 - a.y2) * (b.y2 - a.y2)) AS g FROM re a JOIN re b ON a.grp = 'before' AND b.grp = 'after')",
-        body="SELECT round(g, 6) AS gap_distance, round((SELECT max(r) FROM dd), 6) AS max_distance, round(g / (SELECT max(r) FROM dd), 6) AS normalized_gap FROM ga")
+        "mx AS (SELECT max(sqrt((b.y0 - a.y0) * (b.y0 - a.y0) + (b.y1 - a.y1) * (b.y1 - a.y1) + (b.y2 - a.y2) * (b.y2 - a.y2))) AS r FROM emb a, emb b)",
+        body="SELECT round(g, 6) AS gap_distance, round(r, 6) AS max_distance, round(g / greatest(r, 1e-12), 6) AS normalized_gap FROM ga, mx")
 
 
 @query("gap_selection", sql(PTS, TIME, """lt AS (SELECT tm.id, t, label FROM tm JOIN pts USING (id)), sp AS (SELECT min(t) AS lo, max(t) AS hi FROM lt WHERE label = 3)""",

@@ -31,7 +31,7 @@ def query(name: str, oracle: str | None = None):
 _K = "k AS (SELECT src, dst, dist AS d FROM knn)"
 _W = "w AS (SELECT src, dst, CASE WHEN (src + dst) % 7 = 0 THEN 0.0 ELSE 1.0 + (src % 3) END AS w FROM knn)"
 _ALLOWED = "p AS (SELECT k.src, k.dst, d, w FROM k JOIN w ON w.src = k.src AND w.dst = k.dst WHERE k.src <> k.dst AND w <> 0)"
-_SYM = """sy AS (SELECT coalesce(a.src, b.dst) AS src, coalesce(a.dst, b.src) AS dst, (coalesce(a.d, b.d) + coalesce(b.d, a.d)) / 2 AS s FROM k a FULL JOIN k b ON a.src = b.dst AND a.dst = b.src)"""
+_SYM = "sy AS (SELECT src, dst, avg(d) AS s FROM (SELECT src, dst, d FROM k UNION ALL SELECT dst, src, d FROM k) GROUP BY 1, 2)"
 _LOCAL = "lo AS (SELECT src, dst, d, w FROM (SELECT p.*, row_number() OVER (PARTITION BY p.src ORDER BY s, p.dst) AS r FROM p JOIN sy ON sy.src = p.src AND sy.dst = p.dst) WHERE r <= 3)"
 
 
@@ -115,12 +115,12 @@ def cluster_weights(s, d):
 _DM = "dm AS (SELECT quantile_cont(d, 0.5) AS m FROM k WHERE d > 0)"
 
 
-@query("distance_reweight", sql(PTS, KNN, _K, _DM, body="SELECT src, dst, round(pow(d / m + 0.001, -2), 6) AS w FROM k, dm"))
+@query("distance_reweight", sql(PTS, KNN, _K, _DM, body="SELECT src, dst, round(pow(d / m + 0.000001, -2), 6) AS w FROM k, dm"))
 def distance_reweight(s, d):
     return P.distance_weights(direct_pairs(s, d), 2.0).select("src", "dst", R("w").alias("w"))
 
 
-@query("normalized_weights", sql(PTS, KNN, _K, _DM, body="SELECT src, dst, round(pow(d / m + 0.001, -1) / avg(pow(d / m + 0.001, -1)) OVER (), 6) AS w FROM k, dm"))
+@query("normalized_weights", sql(PTS, KNN, _K, _DM, body="SELECT src, dst, round(pow(d / m + 0.000001, -1) / avg(pow(d / m + 0.000001, -1)) OVER (), 6) AS w FROM k, dm"))
 def normalized_weights(s, d):
     return P.normalized_weights(P.distance_weights(direct_pairs(s, d))).select("src", "dst", R("w").alias("w"))
 
@@ -137,7 +137,7 @@ def frontier_weights(s, d):
 
 
 @query("pair_weight_pipeline", sql(PTS, KNN, _K, _CW, _FRONT, "c AS (SELECT k.src, k.dst, k.d, a.w * b.w AS w FROM k JOIN cw a ON a.id = k.src JOIN cw b ON b.id = k.dst)", _DM,
-    "f AS (SELECT c.src, c.dst, c.w * pow(d / m + 0.001, -1) * CASE WHEN bs.src IS NOT NULL THEN 3.0 ELSE 1.0 END AS w FROM c LEFT JOIN bs ON bs.src = c.src AND bs.dst = c.dst, dm)",
+    "f AS (SELECT c.src, c.dst, c.w * pow(d / m + 0.000001, -1) * CASE WHEN bs.src IS NOT NULL THEN 3.0 ELSE 1.0 END AS w FROM c LEFT JOIN bs ON bs.src = c.src AND bs.dst = c.dst, dm)",
     body="SELECT src, dst, round(w / avg(w) OVER (), 6) AS w FROM f"))
 def pair_weight_pipeline(s, d):
     from anisomap.operators.evaluate import boundary_plan
@@ -232,7 +232,7 @@ bi(h, id, rho, ds, mean, lo, hi, mid) AS (SELECT 0, id, rho, ds, mean, 0.0::DOUB
   UNION ALL SELECT h + 1, id, rho, ds, mean, CASE WHEN v > w THEN lo ELSE mid END, CASE WHEN v > w THEN mid ELSE hi END,
     CASE WHEN v > w THEN (lo + mid) / 2 WHEN hi = 'infinity' THEN mid * 2 ELSE (mid + hi) / 2 END
     FROM (SELECT *, list_sum(list_transform(ds, lambda d: CASE WHEN d > rho THEN exp(-(d - rho) / mid) ELSE 1.0 END)) AS v, log2(10) AS w FROM bi) WHERE h < 64 AND abs(v - w) >= 1e-5),
-sc AS (SELECT id, arg_max(rho, h) AS rho, greatest(arg_max(mid, h), 0.001 * arg_max(mean, h)) AS sigma FROM bi GROUP BY 1)"""
+sc AS (SELECT id, arg_max(rho, h) AS rho, greatest(arg_max(mid, h), 0.000001 * arg_max(mean, h)) AS sigma FROM bi GROUP BY 1)"""
 _MEMBER = "me AS (SELECT src, dst, exp(-greatest(0, dist - (a.rho + b.rho) / 2) / (2 * a.sigma * b.sigma / (a.sigma + b.sigma))) AS p FROM knn JOIN sc a ON a.id = src JOIN sc b ON b.id = dst)"
 
 

@@ -51,33 +51,51 @@ def matches(spark: SparkSession, path: str, **wanted) -> bool:
         return False
 
 
+def newest_compatible(spark: SparkSession, pattern: str, n: int, dimensions: int) -> str | None:
+    """Of the saved embeddings that match a glob and have n rows of that many dimensions, the one changed last."""
+    for path in _by_age(spark, pattern):
+        try:
+            y = load_embedding(spark, path)
+            row = y.agg(F.count("*").alias("n"), F.min(F.size("y")).alias("lo"), F.max(F.size("y")).alias("hi")).first()
+        except Exception:  # not one of ours
+            continue
+        if tuple(row) == (n, dimensions, dimensions):
+            return path
+    return None
+
+
 def newest(spark: SparkSession, pattern: str) -> str | None:
     """The path that matches a glob and was changed last."""
+    return next(iter(_by_age(spark, pattern)), None)
+
+
+def _by_age(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob, those changed last first."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    return max(((s.getModificationTime(), s.getPath().toString()) for s in found or []), default=(0, None))[1]
+    return [p for _, p in sorted(((s.getModificationTime(), s.getPath().toString()) for s in found or []), reverse=True)]
 
 
-def save_plan(path: str, plan: DataFrame, knn: DataFrame, n_neighbors: int) -> None:
-    meta = plan_hash(knn).select("hash", F.lit(n_neighbors).alias("n_neighbors"), F.lit(knn.select("src").distinct().count()).alias("n_samples"))
+def save_plan(path: str, plan: DataFrame, labels: DataFrame, cluster_edges: DataFrame, knn: DataFrame, n_neighbors: int) -> None:
+    meta = plan_hash(labels, cluster_edges, knn).select("hash", F.lit(n_neighbors).alias("n_neighbors"), F.lit(knn.select("src").distinct().count()).alias("n_samples"))
     save_tables(path, plan=plan, plan_meta=meta)
 
 
-def load_or_compute_plan(spark: SparkSession, path: str, labels: DataFrame, cluster_edges: DataFrame, knn: DataFrame, n_neighbors: int, on_mismatch: str = "recompute") -> DataFrame:
-    """The stored plan if it was made from these neighbours; else an error, or a new one that is stored."""
+def load_or_compute_plan(spark: SparkSession, path: str, labels: DataFrame, cluster_edges: DataFrame, knn: DataFrame, n_neighbors: int, on_mismatch: str = "error") -> DataFrame:
+    """The stored plan if it was made from these labels, transitions and neighbours; else an error, or a new one that is stored."""
     if on_mismatch not in ("recompute", "error"):
         raise ValueError("on_mismatch is recompute or error")
     try:
         meta = spark.read.parquet(f"{path}/plan_meta").first()
     except Exception:  # nothing stored yet
         meta = None
-    if meta and (meta["hash"], meta["n_neighbors"]) == (plan_hash(knn).first()["hash"], n_neighbors):
+    if meta and (meta["hash"], meta["n_neighbors"]) == (plan_hash(labels, cluster_edges, knn).first()["hash"], n_neighbors):
         return spark.read.parquet(f"{path}/plan")
     if meta and on_mismatch == "error":
-        raise ValueError("the stored plan was made from other neighbours")
+        raise ValueError("the stored plan was made from other labels, transitions or neighbours")
     plan = boundary_plan(labels, cluster_edges, knn)
-    save_plan(path, plan, knn, n_neighbors)
+    save_plan(path, plan, labels, cluster_edges, knn, n_neighbors)
     return spark.read.parquet(f"{path}/plan")
 
 
