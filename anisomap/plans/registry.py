@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from anisomap.plans import evaluation, fitting, geometry, pairing, tables
+from anisomap.plans import evaluation, fitting, generators, geometry, pairing, tables
 
-QUERIES = {**geometry.QUERIES, **pairing.QUERIES, **evaluation.QUERIES, **tables.QUERIES, **fitting.QUERIES}
-ORACLES = {**geometry.ORACLES, **pairing.ORACLES, **evaluation.ORACLES, **tables.ORACLES, **fitting.ORACLES}
+QUERIES = {**geometry.QUERIES, **pairing.QUERIES, **evaluation.QUERIES, **tables.QUERIES, **fitting.QUERIES, **generators.QUERIES}
+ORACLES = {**geometry.ORACLES, **pairing.ORACLES, **evaluation.ORACLES, **tables.ORACLES, **fitting.ORACLES, **generators.ORACLES}

@@ -157,10 +157,3 @@ def projected_velocity(s, d):
 
     got = project_onto_components(velocity(s, d), [[0.6, 0.8, 0.0], [0.0, 0.0, 1.0]])
     return got.select("id", R(F.get("v", F.lit(0))).alias("p0"), R(F.get("v", F.lit(1))).alias("p1"))
-
-
-@query("spiral_points")
-def spiral_points(s, d):
-    from anisomap.sources.synthetic import spiral
-
-    return spiral(s, 200).select("id", *[R(F.get("x", F.lit(i))).alias(f"x{i}") for i in range(3)])

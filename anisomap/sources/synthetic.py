@@ -1,4 +1,5 @@
-"""Synthetic point sets, fields and segments. Random numbers come from hashes of row ids, so that they repeat."""
+"""Synthetic point sets, fields and segments. Random numbers come from integer hashes of row ids, so that they repeat,
+in other engines too. A field ``w`` is one of Randers metrics: a way u takes |u| + w.u, and currents run against it."""
 
 from __future__ import annotations
 
@@ -7,10 +8,31 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from anisomap.functions import vectors as V
+
+#: Multipliers of the hash, and the bits that are mixed in after each.
+MIX = ((1103515245, 15), (1597334677, 13), (1812433253, 16))
+
+# Fixed values of the archipelago: ellipses, the base current, and bumps (x, y, spread of x, spread of y, height).
+ISLANDS = [
+    {"cx": 4.25, "cy": 3.0, "rx": 0.72, "ry": 2.35, "angle_deg": 4.0},
+    {"cx": 6.9, "cy": 1.45, "rx": 0.88, "ry": 0.42, "angle_deg": -18.0},
+    {"cx": 7.8, "cy": 4.55, "rx": 0.94, "ry": 0.46, "angle_deg": 22.0},
+    {"cx": 9.45, "cy": 3.05, "rx": 0.58, "ry": 0.86, "angle_deg": -10.0},
+]
+BASE_CURRENT = (1.0, -0.08)
+LATERAL_BUMPS = [(5.5, 4.7, 1.8, 0.9, -0.32), (8.6, 1.25, 1.7, 0.75, 0.26)]
+SPEED_BUMPS = [(5.55, 3.0, 0.8, 1.2, -0.26), (8.6, 3.25, 0.75, 1.05, -0.22), (10.8, 1.2, 1.0, 0.8, 0.10)]
+
 
 def uniform(seed: int, c: Column | str = "id") -> Column:
-    """A number in [0, 1) from a row's id."""
-    return F.pmod(F.xxhash64(F.col(c) if isinstance(c, str) else c, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    """A number in [0, 1) from a row's id: three steps of multiplying and mixing, modulo 2^31."""
+    size = F.lit(1 << 31)
+    h = F.pmod((F.col(c) if isinstance(c, str) else c) + F.lit(seed % (1 << 31) * 7919).cast("long"), size)
+    for factor, bits in MIX:
+        h = F.pmod(h * F.lit(factor).cast("long") + 12345, size)
+        h = h.bitwiseXOR(F.shiftright(h, bits))
+    return h / F.lit(float(1 << 31))
 
 
 def normal(seed: int, c: Column | str = "id") -> Column:
@@ -18,7 +40,7 @@ def normal(seed: int, c: Column | str = "id") -> Column:
 
 
 def vortical_sea(spark: SparkSession, n: int = 2000, side: float = 10.0, frequency: float = 2.0, alpha: float = 0.8, seed: int = 0) -> DataFrame:
-    """(id, x, w): points in a square and the field (sin fx + cos fy, cos fx - sin fy), of length alpha at most."""
+    """(id, x, w): points in a square and the field (sin fx + cos fy, cos fx - sin fy), scaled to a length of alpha at most."""
     p = spark.range(n).select("id", (side * uniform(seed)).alias("a"), (side * uniform(seed + 7)).alias("b"))
     u, v = F.sin(frequency * F.col("a")) + F.cos(frequency * F.col("b")), F.cos(frequency * F.col("a")) - F.sin(frequency * F.col("b"))
     p = p.select("id", F.array("a", "b").alias("x"), u.alias("u"), v.alias("v"))
@@ -26,20 +48,81 @@ def vortical_sea(spark: SparkSession, n: int = 2000, side: float = 10.0, frequen
     return p.join(F.broadcast(most)).select("id", "x", F.array(F.col("u") / F.col("most") * alpha, F.col("v") / F.col("most") * alpha).alias("w"))
 
 
-def river(spark: SparkSession, n: int = 200, length: float = 10.0, width: float = 1.0, seed: int = 0) -> DataFrame:
-    """(id, x, w): the current is 1 in the middle and 0 at the banks."""
-    y = width * uniform(seed + 3)
-    return spark.range(n).select("id", F.array(length * uniform(seed), y).alias("x"), F.array(1 - F.abs(2 * y / width - 1), F.lit(0.0)).alias("w"))
+def river(spark: SparkSession, n: int = 200, length: float = 10.0, width: float = 1.0, alpha: float = 0.2, seed: int = 0) -> DataFrame:
+    """(id, x, w): the field runs along the river, alpha where it is strongest and 0 at the banks."""
+    p = spark.range(n).select("id", (length * uniform(seed)).alias("a"), (width * uniform(seed + 3)).alias("b"))
+    p = p.withColumn("u", 1 - F.abs(2 * F.col("b") / width - 1))
+    most = p.agg(F.max("u").alias("most"))
+    return p.join(F.broadcast(most)).select("id", F.array("a", "b").alias("x"), F.array(alpha * F.col("u") / F.col("most"), F.lit(0.0)).alias("w"))
+
+
+def bumps(x: Column, y: Column, heights: list[tuple[float, float, float, float, float]]) -> Column:
+    """Sum of Gaussian bumps."""
+    out = F.lit(0.0)
+    for cx, cy, sx, sy, height in heights:
+        dx, dy = (x - cx) / sx, (y - cy) / sy
+        out = out + height * F.exp(-0.5 * (dx * dx + dy * dy))
+    return out
 
 
-def archipelago(spark: SparkSession, n: int = 2000, width: float = 12.0, height: float = 6.0, obstacles: list[dict[str, float]] | None = None, seed: int = 0) -> DataFrame:
-    """(id, x): points of a box outside the ellipses."""
+def archipelago_current(points: DataFrame, obstacles: list[dict[str, float]]) -> DataFrame:
+    """(id, x, current): the base current bent by waves and bumps, turned along the nearest island, at a speed by place.
+
+    The speed rises with x from the points' least to their largest, and lies between 0.38 and 0.98.
+    """
+    from anisomap.operators.graph import nearest_obstacle_geometry
+
+    size = math.hypot(*BASE_CURRENT)
+    bx, by = (F.lit(c / size) for c in BASE_CURRENT)
+    x, y = F.get("x", F.lit(0)), F.get("x", F.lit(1))
+    east = bx + 0.10 * F.sin(0.8 * y - 0.25 * x)
+    north = by + 0.18 * F.sin(0.65 * x + 1.15 * y) + 0.12 * F.sin(1.4 * y) + bumps(x, y, LATERAL_BUMPS)
+    near = nearest_obstacle_geometry(x, y, obstacles) if obstacles else F.lit(None).cast("struct<distance:double,nx:double,ny:double>")
+    p = points.select("id", "x", east.alias("e"), north.alias("n"), near.alias("o"))
+    nx, ny = F.col("o.nx"), F.col("o.ny")
+    # How much an island counts: 1 at its shore, little from its size on.
+    weight, across = F.exp(-F.pow(F.col("o.distance") / 0.7, F.lit(2.0))), F.col("e") * nx + F.col("n") * ny
+    side = F.when(-ny * bx + nx * by < 0, -1.0).otherwise(1.0)
+    turned = lambda f, normal, tangent, base: f - weight * across * normal + 0.16 * weight * side * tangent + 0.1 * (1 - weight) * base
+    p = p.withColumn("te", F.coalesce(turned(F.col("e"), nx, -ny, bx), "e")).withColumn("tn", F.coalesce(turned(F.col("n"), ny, nx, by), "n"))
+    p = p.withColumn("r", F.sqrt(F.col("te") * F.col("te") + F.col("tn") * F.col("tn")))
+    ends = p.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
+    along = F.when(F.col("hi") - F.col("lo") > V.EPS, (x - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+    speed = F.greatest(F.lit(0.38), F.least(F.lit(0.98), 0.78 + 0.12 * along + bumps(x, y, SPEED_BUMPS)))
+    unit = lambda f, base: speed * F.when(F.col("r") > V.EPS, F.col(f) / F.col("r")).otherwise(base)
+    return p.join(F.broadcast(ends)).select("id", "x", F.array(unit("te", bx), unit("tn", by)).alias("current"))
+
+
+def water_points(spark: SparkSession, n: int, width: float, height: float, obstacles: list[dict[str, float]], seed: int = 0) -> DataFrame:
+    """(id, x): n points of a box outside the ellipses, one in each cell of a grid at most; cells are chosen by a hash."""
     from anisomap.operators.graph import inside_any_obstacle
 
-    p = spark.range(n).select("id", (width * uniform(seed)).alias("a"), (height * uniform(seed + 5)).alias("b"))
-    if obstacles:
-        p = p.where(~inside_any_obstacle(F.col("a"), F.col("b"), obstacles))
-    return p.select("id", F.array("a", "b").alias("x"))
+    cells = math.ceil(2.0 * n)
+    while True:
+        columns = math.ceil(math.sqrt(cells * width / height))
+        rows = math.ceil(cells / columns)
+        a = (F.col("id") % columns + uniform(seed)) * (width / columns)
+        b = (F.floor(F.col("id") / columns) + uniform(seed + 5)) * (height / rows)
+        p = spark.range(columns * rows).select("id", F.array(a, b).alias("x"), uniform(seed + 9).alias("h"))
+        if obstacles:
+            p = p.where(~inside_any_obstacle(F.get("x", F.lit(0)), F.get("x", F.lit(1)), obstacles))
+        if not n or p.count() >= n:
+            return p.orderBy("h", "id").limit(n).select("id", "x")
+        cells *= 2
+
+
+def archipelago(spark: SparkSession, n: int = 2000, width: float = 12.0, height: float = 6.0, obstacles: list[dict[str, float]] | None = None, alpha: float = 0.8, seed: int = 0) -> DataFrame:
+    """(id, x, w): points of a box outside the ellipses (by default ``ISLANDS``) and the field against their current, times alpha."""
+    obstacles = ISLANDS if obstacles is None else obstacles
+    p = archipelago_current(water_points(spark, n, width, height, obstacles, seed), obstacles)
+    return p.select("id", "x", V.scaled("current", F.lit(-float(alpha))).alias("w"))
+
+
+def archipelago_graph(points: DataFrame, k: int = 10, obstacles: list[dict[str, float]] | None = None) -> DataFrame:
+    """The support of the archipelago's ways: edges that pass all islands, linked where these part them."""
+    from anisomap.operators.graph import obstacle_graph
+
+    return obstacle_graph(points.select("id", "x"), ISLANDS if obstacles is None else obstacles, k)
 
 
 def swiss_roll(spark: SparkSession, n: int = 1000, alpha: float = 0.35, hole: tuple[float, float, float, float] | None = None, seed: int = 0) -> DataFrame:
@@ -113,12 +196,10 @@ def branching_tree(spark: SparkSession, n: int = 1000, corridor: float = 0.11, s
     return p.select("id", F.array(F.col("x0") + F.col("t") * dx - F.col("off") * dy / size, F.col("y0") + F.col("t") * dy + F.col("off") * dx / size).alias("x"), "branch")
 
 
-def current_distances(points: DataFrame, k: int = 10) -> DataFrame:
-    """(src, dst, d): all shortest paths where the field ``w`` is against the way (moving with the current is shorter)."""
-    from anisomap.functions import vectors as V
+def current_distances(points: DataFrame, k: int = 10, support: DataFrame | None = None) -> DataFrame:
+    """(src, dst, d): all shortest paths where an edge u takes |u| + w.u, on the neighbour graph or a given support."""
     from anisomap.operators.graph import field_edges, knn_edges, nearest_neighbors
     from anisomap.operators.paths import shortest_paths
 
-    against = points.select("id", V.scaled("w", F.lit(-1.0)).alias("w"))
-    edges = field_edges(points, against, knn_edges(nearest_neighbors(points.select("id", "x"), k)))
-    return shortest_paths(edges).select("src", "dst", F.col("dist").alias("d"))
+    support = knn_edges(nearest_neighbors(points.select("id", "x"), k)) if support is None else support
+    return shortest_paths(field_edges(points.select("id", "x"), points.select("id", "w"), support)).select("src", "dst", F.col("dist").alias("d"))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from anisomap.api import fit
+from anisomap.functions import vectors as V
 from anisomap.functions.metrics import ConvexMatsumoto, Matsumoto, Randers
 from anisomap.operators import dissimilarity as D
 from anisomap.operators import evaluate as E
@@ -251,14 +252,21 @@ def test_synthetic_sets(spark):
     sea = X.current_distances(X.river(spark, 40), 8)
     both = sea.alias("a").join(sea.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).where("a.d <> b.d")
     assert both.count() > 0
-    outside = X.archipelago(spark, 200, obstacles=[{"cx": 6, "cy": 3, "rx": 2, "ry": 1, "angle_deg": 20}])
-    assert 0 < outside.count() < 200
+    water = X.archipelago(spark, 60)
+    assert water.count() == 60 and water.where(G.inside_any_obstacle(F.get("x", F.lit(0)), F.get("x", F.lit(1)), X.ISLANDS)).count() == 0
+    r = water.select(V.norm("w").alias("r")).agg(F.min("r"), F.max("r")).first()
+    assert 0.38 * 0.8 - 1e-9 <= r[0] and r[1] <= 0.98 * 0.8 + 1e-9
+    d = X.current_distances(water, support=X.archipelago_graph(water, 3))
+    assert d.count() == 60 * 60 and d.where("d < 0").count() == 0
 
 
 def test_obstacles_and_corridors(spark):
     x = [[0, 0], [1, 0], [2, 0], [3, 0]]
     wall = [{"cx": 1.5, "cy": 0.0, "rx": 0.2, "ry": 1.0, "angle_deg": 0.0}]
-    kept = {(r.src, r.dst) for r in G.obstacle_graph(points(spark, x), wall, 2, 3).collect()}
-    assert kept == {(0, 1), (1, 0), (2, 3), (3, 2)}
-    tree = G.corridor_graph(points(spark, x), [(0.0, 0.0, 1.0, 0.0)], 0.1, 2, 3)
-    assert {(r.src, r.dst) for r in tree.collect()} == {(0, 1), (1, 0)}
+    with pytest.raises(RuntimeError):  # nothing sees past the wall
+        G.obstacle_graph(points(spark, x), wall, 2, 3)
+    low = [{"cx": 1.5, "cy": 0.9, "rx": 0.2, "ry": 0.5, "angle_deg": 0.0}]
+    kept = {(r.src, r.dst) for r in G.obstacle_graph(points(spark, x), low, 1, 1).collect()}
+    assert kept == {(0, 1), (1, 0), (1, 2), (2, 1), (2, 3), (3, 2)}
+    with pytest.raises(RuntimeError):  # too few neighbours
+        G.corridor_graph(points(spark, x), [(0.0, 0.0, 1.0, 0.0)], 0.1, 2, 3)
