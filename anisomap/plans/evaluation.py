@@ -8,7 +8,7 @@ from anisomap.functions import metrics as M
 from anisomap.functions import vectors as V
 from anisomap.operators import evaluate as E
 from anisomap.operators import graph as G
-from anisomap.plans.inputs import EDGE, EMB, KNN, PTS, TIME, VEL, cluster_edges, direct_pairs, embedding, knn, labels, points, sql, times, velocity
+from anisomap.plans.inputs import EDGE, EMB, KNN, LANDMARKS, PTS, TIME, VEL, cluster_edges, direct_pairs, embedding, knn, labels, landmarks, points, sql, times, velocity
 
 R = V.rounded
 QUERIES: dict = {}
@@ -42,17 +42,17 @@ def stretch_summary(s, d):
     return row.select("n", *[R(c).alias(c) for c in ("mean", "std", *E.QUANTILES, "min", "max")])
 
 
-_KE = """ke AS (SELECT src, dst, dist FROM (SELECT a.id AS src, b.id AS dst, sqrt((b.y0 - a.y0) * (b.y0 - a.y0) + (b.y1 - a.y1) * (b.y1 - a.y1) + (b.y2 - a.y2) * (b.y2 - a.y2)) AS dist,
+_KE = LANDMARKS + """, ke AS (SELECT src, dst, dist FROM (SELECT a.id AS src, b.id AS dst, sqrt((b.y0 - a.y0) * (b.y0 - a.y0) + (b.y1 - a.y1) * (b.y1 - a.y1) + (b.y2 - a.y2) * (b.y2 - a.y2)) AS dist,
   row_number() OVER (PARTITION BY a.id ORDER BY sqrt((b.y0 - a.y0) * (b.y0 - a.y0) + (b.y1 - a.y1) * (b.y1 - a.y1) + (b.y2 - a.y2) * (b.y2 - a.y2)), b.id) AS k FROM emb a JOIN emb b ON a.id <> b.id) WHERE k <= 10),
 ge AS (SELECT src, dst, max(d) AS d FROM (SELECT src, dst, dist AS d FROM ke UNION ALL SELECT dst, src, dist FROM ke) GROUP BY 1, 2 HAVING max(d) > 0),
 gm AS (SELECT src, dst, d + 0.5 * (b.y2 - a.y2) AS d FROM ge JOIN emb a ON a.id = src JOIN emb b ON b.id = dst),
-bf(h, src, v, dist) AS (SELECT 0, id, id, 0.0::DOUBLE FROM pts WHERE id < 20 UNION ALL SELECT h + 1, src, v, min(dist) FROM (SELECT h, src, v, dist FROM bf UNION ALL SELECT bf.h, bf.src, gm.dst, bf.dist + gm.d FROM bf JOIN gm ON bf.v = gm.src) WHERE h < 24 GROUP BY h, src, v)"""
+bf(h, src, v, dist) AS (SELECT 0, id, id, 0.0::DOUBLE FROM lk UNION ALL SELECT h + 1, src, v, min(dist) FROM (SELECT h, src, v, dist FROM bf UNION ALL SELECT bf.h, bf.src, gm.dst, bf.dist + gm.d FROM bf JOIN gm ON bf.v = gm.src) WHERE h < 24 GROUP BY h, src, v)"""
 
 
-@query("geodesic_stress", sql(PTS, EMB, KNN, _KE, "m AS (SELECT k.dist AS d, bf.dist AS e FROM knn k LEFT JOIN bf ON bf.h = 24 AND bf.src = k.src AND bf.v = k.dst WHERE k.src < 20)",
+@query("geodesic_stress", sql(PTS, EMB, KNN, _KE, "m AS (SELECT k.dist AS d, bf.dist AS e FROM knn k LEFT JOIN bf ON bf.h = 24 AND bf.src = k.src AND bf.v = k.dst WHERE k.src IN (SELECT id FROM lk))",
     body="SELECT count(e) AS n_pairs, count(*) FILTER (e IS NULL) AS n_unreachable, round(sum((e - d) * (e - d)), 6) AS raw, round(sum(d * d) FILTER (e IS NOT NULL), 6) AS denom FROM m", recursive=True))
 def geodesic_stress(s, d):
-    row = E.evaluate_distances(direct_pairs(s, d).where("src < 20"), embedding(s, d), M.Randers(0.5), "geodesic")
+    row = E.evaluate_distances(direct_pairs(s, d).join(landmarks(s, d).withColumnRenamed("id", "src"), "src", "left_semi"), embedding(s, d), M.Randers(0.5), "geodesic")
     return row.select("n_pairs", "n_unreachable", R("raw").alias("raw"), R("denom").alias("denom"))
 
 
@@ -189,7 +189,29 @@ def corner_pair(s, d):
     return E.corner_pair(embedding(s, d).withColumnRenamed("y", "x"))
 
 
-@query("evaluation_row")
+_ROW = f"""pv2 AS MATERIALIZED (SELECT pts.id, coalesce(v0, 0) AS v0, coalesce(v1, 0) AS v1, coalesce(v2, 0) AS v2 FROM pts LEFT JOIN pv USING (id)), pn AS (SELECT *, sqrt(v0 * v0 + v1 * v1 + v2 * v2) AS nv FROM pv2),
+cbr AS (SELECT avg(score) AS v FROM (SELECT a.label, b.label, src, avg({_COS}) AS score FROM e JOIN pn ON pn.id = e.src JOIN pts a ON a.id = src JOIN pts b ON b.id = dst WHERE b.label = (a.label + 1) % 10 GROUP BY a.label, b.label, src)),
+icr AS (SELECT avg(score) AS v FROM (SELECT src, avg(CASE WHEN x.nv * y.nv > 1e-12 THEN greatest(-1.0, least(1.0, (x.v0 * y.v0 + x.v1 * y.v1 + x.v2 * y.v2) / (x.nv * y.nv))) END) AS score FROM knn JOIN pn x ON x.id = src JOIN pn y ON y.id = dst JOIN pts a ON a.id = src JOIN pts b ON b.id = dst WHERE a.label = b.label GROUP BY src)),
+gvr AS (SELECT sqrt(pow(avg(v0 / nv), 2) + pow(avg(v1 / nv), 2) + pow(avg(v2 / nv), 2)) AS v FROM pn WHERE nv > 1e-12),
+dt AS (SELECT {_COS} AS x, src, dst FROM (SELECT e.*, v0, v1, v2, sqrt(v0 * v0 + v1 * v1 + v2 * v2) AS nv FROM e JOIN vel ON vel.id = e.src)), em AS (SELECT {_COS} AS y, src, dst FROM e JOIN pn ON pn.id = e.src),
+alr AS (SELECT x, y FROM dt JOIN em USING (src, dst) WHERE x IS NOT NULL AND y IS NOT NULL), rka AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM alr),
+sp AS (SELECT corr(rx, ry) AS v, avg((sign(x) = sign(y))::INT) FILTER (abs(x) > 1e-12 AND abs(y) > 1e-12) AS w FROM rka)"""
+
+
+@query("evaluation_row", sql(PTS, EMB, KNN, EDGE, VEL, _TRANS, _MEAN, _ROW, body="SELECT 'first three' AS name, round(cbr.v, 6) AS cbdir, round(icr.v, 6) AS icvcoh, round(gvr.v, 6) AS gvcoh, round(sp.v, 6) AS spearman_cos, round(sp.w, 6) AS sign_correctness FROM cbr, icr, gvr, sp"))
 def evaluation_row(s, d):
     space = embedding(s, d).select("id", F.col("y").alias("x"))
-    return E.evaluation_row("first three", knn(s, d).select("src", "dst"), space, velocity(s, d), embedding(s, d), transitions(s, d), labels(s, d), cluster_edges(s), knn(s, d))
+    row = E.evaluation_row("first three", knn(s, d).select("src", "dst"), space, velocity(s, d), embedding(s, d), transitions(s, d), labels(s, d), cluster_edges(s), knn(s, d))
+    return row.select("name", *[R(c).alias(c) for c in row.columns if c != "name"])
+
+
+@query("gap_scopes", sql(PTS, EMB, _GAP, _REP["medoid"], "ga AS (SELECT sqrt((b.y0 - a.y0) * (b.y0 - a.y0) + (b.y1 - a.y1) * (b.y1 - a.y1) + (b.y2 - a.y2) * (b.y2 - a.y2)) AS g FROM re a JOIN re b ON a.grp = 'before' AND b.grp = 'after')",
+    "mx AS (SELECT max(sqrt((b.y0 - a.y0) * (b.y0 - a.y0) + (b.y1 - a.y1) * (b.y1 - a.y1) + (b.y2 - a.y2) * (b.y2 - a.y2))) AS r FROM emb a, emb b)",
+    "mg AS (SELECT max(sqrt((b.y0 - a.y0) * (b.y0 - a.y0) + (b.y1 - a.y1) * (b.y1 - a.y1) + (b.y2 - a.y2) * (b.y2 - a.y2))) AS r FROM emb a, emb b WHERE a.label IN (2, 3, 4) AND b.label IN (2, 3, 4))",
+    body="SELECT 'full' AS scope, round(g, 6) AS gap_distance, round(r, 6) AS max_distance, round(g / r, 6) AS normalized_gap FROM ga, mx UNION ALL SELECT 'gap', round(g, 6), round(r, 6), round(g / r, 6) FROM ga, mg"))
+def gap_scopes(s, d):
+    """The gap in the whole embedding, and in that of the cells around it alone."""
+    groups = E.gap_selection(labels(s, d), None, [3], [2], [4])
+    near = embedding(s, d).join(groups.select("id"), "id", "left_semi")
+    rows = [E.gap_distance(y, groups).select(F.lit(scope).alias("scope"), *[R(c).alias(c) for c in ("gap_distance", "max_distance", "normalized_gap")]) for scope, y in (("full", embedding(s, d)), ("gap", near))]
+    return rows[0].unionByName(rows[1])

@@ -9,7 +9,7 @@ from anisomap.functions import vectors as V
 from anisomap.operators import dissimilarity as D
 from anisomap.operators import graph as G
 from anisomap.operators import paths as H
-from anisomap.plans.inputs import EDGE, EMB, EVENTS, GSYM, KNN, PTS, TIME, TRADE, VEL, border, embedding, event_transitions, graph, knn, points, sql, times, trade, velocity
+from anisomap.plans.inputs import EDGE, EMB, EVENTS, GSYM, KNN, LANDMARKS, PTS, TARGETS, TIME, TRADE, VEL, border, cluster_edges, embedding, event_transitions, graph, knn, labels, landmarks, points, sql, times, trade, velocity
 
 R = V.rounded
 QUERIES: dict = {}
@@ -149,42 +149,42 @@ def softmin_relax(s, d):
     return G.softmin(knn(s, d), ["src"], "dist", 10.0).select("src", R("softmin").alias("softmin"))
 
 
-_BF = """bf(h, src, v, dist) AS (SELECT 0, vec_id, vec_id, 0.0::DOUBLE FROM embeddings WHERE vec_id < {n}
+_BF = LANDMARKS + """, bf(h, src, v, dist) AS (SELECT 0, id, id, 0.0::DOUBLE FROM lk
   UNION ALL SELECT h + 1, src, v, min(dist) FROM (SELECT h, src, v, dist FROM bf UNION ALL SELECT bf.h, bf.src, g.dst, bf.dist + g.d FROM bf JOIN g ON bf.v = g.src) WHERE h < {h} GROUP BY h, src, v)"""
 
 
-@query("sssp_hops", sql(PTS, KNN, GSYM, _BF.format(n=20, h=3), body="SELECT src, v AS dst, round(dist, 6) AS dist FROM bf WHERE h = 3", recursive=True))
+@query("sssp_hops", sql(PTS, KNN, GSYM, _BF.format(h=3), body="SELECT src, v AS dst, round(dist, 6) AS dist FROM bf WHERE h = 3", recursive=True))
 def sssp_hops(s, d):
-    return H.bellman_ford(graph(s, d), s.range(20), hops=3).select("src", "dst", R("dist").alias("dist"))
+    return H.bellman_ford(graph(s, d), landmarks(s, d), hops=3).select("src", "dst", R("dist").alias("dist"))
 
 
-@query("shortest_paths", sql(PTS, KNN, GSYM, _BF.format(n=20, h=12), body="SELECT src, v AS dst, round(dist, 6) AS dist FROM bf WHERE h = 12", recursive=True))
+@query("shortest_paths", sql(PTS, KNN, GSYM, _BF.format(h=24), body="SELECT src, v AS dst, round(dist, 6) AS dist FROM bf WHERE h = 24", recursive=True))
 def shortest_paths(s, d):
-    return H.shortest_paths(graph(s, d), s.range(20)).select("src", "dst", R("dist").alias("dist"))
+    return H.shortest_paths(graph(s, d), landmarks(s, d)).select("src", "dst", R("dist").alias("dist"))
 
 
 @query("shortest_paths_iterative", ORACLES["shortest_paths"])
 def shortest_paths_iterative(s, d):
-    return H.shortest_paths(graph(s, d), s.range(20), strategy="iterative").select("src", "dst", R("dist").alias("dist"))
+    return H.shortest_paths(graph(s, d), landmarks(s, d), strategy="iterative").select("src", "dst", R("dist").alias("dist"))
 
 
-@query("path_lengths", sql(PTS, KNN, GSYM, _BF.format(n=5, h=12), body="SELECT src, v AS dst, round(dist, 6) + 0.0 AS dist FROM bf WHERE h = 12 AND src <> v AND v % 10 = 0", recursive=True))
+@query("path_lengths", sql(PTS, KNN, GSYM, _BF.format(h=24), body="SELECT src, v AS dst, round(dist, 6) + 0.0 AS dist FROM bf WHERE h = 24 AND src <> v", recursive=True))
 def path_lengths(s, d):
     """Lengths of extracted paths, summed over their edges."""
     g = graph(s, d).persist()
-    sp = H.shortest_paths(g, s.range(5)).persist()
-    pairs = sp.where("src <> dst and dst % 10 = 0").select("src", "dst")
+    sp = H.shortest_paths(g, landmarks(s, d)).persist()
+    pairs = sp.where("src <> dst").select("src", "dst")
     edges = H.path_table(sp, pairs)
     return edges.join(g.withColumnsRenamed({"src": "tail", "dst": "head"}), ["tail", "head"]).groupBy("src", "dst").agg(R(F.sum("d")).alias("dist"))
 
 
-@query("soft_bellman_ford", sql(PTS, KNN, GSYM, """s0 AS (SELECT vec_id AS src, vec_id AS v, 0.0::DOUBLE AS dist FROM embeddings WHERE vec_id < 10),
+@query("soft_bellman_ford", sql(PTS, KNN, GSYM, LANDMARKS, """s0 AS (SELECT id AS src, id AS v, 0.0::DOUBLE AS dist FROM lk),
 c1 AS (SELECT src, v, dist FROM s0 UNION ALL SELECT s0.src, g.dst, dist + d FROM s0 JOIN g ON v = g.src), m1 AS (SELECT src, v, min(dist) AS m FROM c1 GROUP BY 1, 2),
 s1 AS (SELECT src, v, CASE WHEN src = v THEN 0 ELSE min(m) - ln(sum(exp(-10 * (dist - m)))) / 10 END AS dist FROM c1 JOIN m1 USING (src, v) GROUP BY 1, 2),
 c2 AS (SELECT src, v, dist FROM s1 UNION ALL SELECT s1.src, g.dst, dist + d FROM s1 JOIN g ON v = g.src), m2 AS (SELECT src, v, min(dist) AS m FROM c2 GROUP BY 1, 2)""",
     body="SELECT src, v AS dst, round(CASE WHEN src = v THEN 0 ELSE min(m) - ln(sum(exp(-10 * (dist - m)))) / 10 END, 6) + 0.0 AS dist FROM c2 JOIN m2 USING (src, v) GROUP BY 1, 2"))
 def soft_bellman_ford(s, d):
-    return H.soft_bellman_ford(graph(s, d), s.range(10), 10.0, 2).select("src", "dst", R("dist").alias("dist"))
+    return H.soft_bellman_ford(graph(s, d), landmarks(s, d), 10.0, 2).select("src", "dst", R("dist").alias("dist"))
 
 
 @query("components", sql("pts AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings)", "r0 AS (SELECT a.id AS s, b.id AS t FROM pts a JOIN pts b ON a.id <> b.id AND list_distance(a.x, b.x) <= 0.95)",
@@ -248,8 +248,11 @@ def inside_obstacle(s, d):
     return embedding(s, d).select("id", G.inside_any_obstacle(x, y, _OBSTACLES).alias("inside"))
 
 
-@query("visible_edges", sql(PTS, EMB, KNN, EDGE, _OB, "st AS (SELECT 0.05 + 0.9 * unnest(range(15)) / 14 AS t)", f"""blk AS (SELECT src, dst, bool_or({_IN.format(x="(a.y0 + t * u0)", y="(a.y1 + t * u1)")}) AS b FROM e JOIN emb a ON a.id = src, st, ob GROUP BY 1, 2)""",
-    body="SELECT src, dst, round(dist, 6) AS d FROM knn JOIN blk USING (src, dst) WHERE NOT b"))
+_SEEN = " AND ".join(f"""len(list_filter(range(15), lambda t: pow(((a.y0 + (0.05 + 0.9 * t / 14) * u0 - {o['cx']}) * cos(radians({o['angle_deg']})) + (a.y1 + (0.05 + 0.9 * t / 14) * u1 - {o['cy']}) * sin(radians({o['angle_deg']}))) / {o['rx']}, 2)
+  + pow(((a.y1 + (0.05 + 0.9 * t / 14) * u1 - {o['cy']}) * cos(radians({o['angle_deg']})) - (a.y0 + (0.05 + 0.9 * t / 14) * u0 - {o['cx']}) * sin(radians({o['angle_deg']}))) / {o['ry']}, 2) <= 1)) = 0""" for o in _OBSTACLES)
+
+
+@query("visible_edges", sql(PTS, EMB, KNN, EDGE, body=f"SELECT src, dst, round(dist, 6) AS d FROM e JOIN emb a ON a.id = src WHERE {_SEEN}"))
 def visible_edges(s, d):
     planar = embedding(s, d).select("id", F.col("y").alias("x"))
     return G.visible_edges(planar, G.knn_edges(knn(s, d)), _OBSTACLES).select("src", "dst", R("d").alias("d"))
@@ -271,3 +274,77 @@ def trade_asymmetry(s, d):
     t = trade(s, d)
     b = t.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("d").alias("back"))
     return t.join(b, ["src", "dst"]).select("src", "dst", F.round("rev", 2).alias("rev"), R("d").alias("d"), R(asymmetry_score(F.col("d"), F.col("back"))).alias("score"))
+
+
+_VD = """sv AS (SELECT l.id, avg(v0) AS v0, avg(v1) AS v1, avg(v2) AS v2 FROM (SELECT src AS id, dst AS o FROM ge UNION ALL SELECT id, id FROM pts) l JOIN vel ON vel.id = l.o GROUP BY 1),
+gv AS MATERIALIZED (SELECT src, dst, r * exp(-CASE WHEN r * nv > 1e-12 THEN greatest(-1.0, least(1.0, q / (r * nv))) ELSE 0 END) AS d FROM (SELECT src, dst, ge.d AS r, sqrt(v0 * v0 + v1 * v1 + v2 * v2) AS nv,
+   (b.y0 - a.y0) * v0 + (b.y1 - a.y1) * v1 + (b.y2 - a.y2) * v2 AS q FROM ge JOIN emb a ON a.id = src JOIN emb b ON b.id = dst JOIN sv ON sv.id = src))"""
+#: Neighbours in the embedding, both ways.
+_GE = """ke AS (SELECT src, dst, dist FROM (SELECT a.id AS src, b.id AS dst, sqrt((b.y0 - a.y0) * (b.y0 - a.y0) + (b.y1 - a.y1) * (b.y1 - a.y1) + (b.y2 - a.y2) * (b.y2 - a.y2)) AS dist,
+  row_number() OVER (PARTITION BY a.id ORDER BY sqrt((b.y0 - a.y0) * (b.y0 - a.y0) + (b.y1 - a.y1) * (b.y1 - a.y1) + (b.y2 - a.y2) * (b.y2 - a.y2)), b.id) AS k FROM emb a JOIN emb b ON a.id <> b.id) WHERE k <= 10),
+ge AS MATERIALIZED (SELECT src, dst, max(d) AS d FROM (SELECT src, dst, dist AS d FROM ke UNION ALL SELECT dst, src, dist FROM ke) GROUP BY 1, 2 HAVING max(d) > 0)"""
+
+
+@query("velocity_distances", sql(PTS, EMB, VEL, _GE, _VD, _BF.format(h=24).replace("JOIN g ON bf.v = g.src", "JOIN gv g ON bf.v = g.src"), body="SELECT src, v AS dst, round(dist, 6) + 0.0 AS dist FROM bf WHERE h = 24", recursive=True))
+def velocity_distances(s, d):
+    """Shortest paths over edges that are shorter along the velocity, from the landmarks."""
+    g, _ = G.velocity_directed_graph(embedding(s, d).withColumnRenamed("y", "x"), velocity(s, d), k=10)
+    return H.shortest_paths(g, landmarks(s, d)).select("src", "dst", R("dist").alias("dist"))
+
+
+@query("metric_distances", sql(PTS, EMB, _GE, "gm AS MATERIALIZED (SELECT src, dst, d + 0.5 * (b.y2 - a.y2) AS d FROM ge JOIN emb a ON a.id = src JOIN emb b ON b.id = dst)", _BF.format(h=24).replace("JOIN g ON bf.v = g.src", "JOIN gm g ON bf.v = g.src"),
+    body="SELECT src, v AS dst, round(dist, 6) + 0.0 AS dist FROM bf WHERE h = 24", recursive=True))
+def metric_distances(s, d):
+    """Shortest paths over neighbour edges weighted by a metric, from the landmarks."""
+    p = embedding(s, d).withColumnRenamed("y", "x")
+    return H.shortest_paths(G.metric_graph(p, G.symmetric_knn_graph(p, 10), M.Randers(0.5)), landmarks(s, d)).select("src", "dst", R("dist").alias("dist"))
+
+
+@query("pruned_forest", sql(PTS, KNN, GSYM, TARGETS, _BF.format(h=24), "fin AS MATERIALIZED (SELECT src, v, dist FROM bf WHERE h = 24)", "pr AS MATERIALIZED (SELECT f.src, g.dst AS v, arg_min(g.src, f.dist + g.d) AS p FROM fin f JOIN g ON g.src = f.v WHERE g.dst <> f.src GROUP BY 1, 2)",
+    "up(src, v) AS (SELECT lk.id, tg.id FROM lk, tg WHERE lk.id <> tg.id UNION SELECT up.src, pr.p FROM up JOIN pr ON pr.src = up.src AND pr.v = up.v WHERE pr.p <> up.src)", body="SELECT DISTINCT pr.p AS tail, up.v AS head FROM up JOIN pr ON pr.src = up.src AND pr.v = up.v", recursive=True))
+def pruned_forest(s, d):
+    """Edges of the shortest paths from landmarks to other landmarks."""
+    sp = H.shortest_paths(graph(s, d), landmarks(s, d)).persist()
+    targets = landmarks(s, d, seed=8).select(F.col("id").alias("dst"))
+    return H.pruned_forest(sp, sp.join(targets, "dst", "left_semi").where("src <> dst").select("src", "dst"))
+
+
+@query("connected_graph")
+def connected_graph(s, d):
+    """The graph of the nearest neighbour of each point, with the links that connect it."""
+    one = G.symmetrize(G.knn_edges(knn(s, d).where("rank = 1")))
+    return G.connect_components(points(s, d).select("id", "x"), one).select("src", "dst", R("d").alias("d"))
+
+
+@query("wide_obstacle_graph", sql(PTS, EMB, _OB, f"wa AS MATERIALIZED (SELECT id, any_value(y0) AS y0, any_value(y1) AS y1 FROM emb, ob GROUP BY 1 HAVING NOT bool_or({_IN.format(x='y0', y='y1')}))",
+    "kw AS (SELECT src, dst, d FROM (SELECT a.id AS src, b.id AS dst, sqrt((b.y0 - a.y0) * (b.y0 - a.y0) + (b.y1 - a.y1) * (b.y1 - a.y1)) AS d, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((b.y0 - a.y0) * (b.y0 - a.y0) + (b.y1 - a.y1) * (b.y1 - a.y1)), b.id) AS k FROM wa a JOIN wa b ON a.id <> b.id) WHERE k <= 90)",
+    "sw AS (SELECT src, dst, max(d) AS d FROM (SELECT * FROM kw UNION ALL SELECT dst, src, d FROM kw) GROUP BY 1, 2)", "ew AS (SELECT src, dst, d, b.y0 - a.y0 AS u0, b.y1 - a.y1 AS u1 FROM sw JOIN wa a ON a.id = src JOIN wa b ON b.id = dst)",
+    body=f"SELECT src, dst, round(d, 6) AS d FROM ew e JOIN wa a ON a.id = src WHERE {_SEEN}"))
+def wide_obstacle_graph(s, d):
+    """Points outside the obstacles; their graph is connected without links, which SQL has not."""
+    x, y = F.get("x", F.lit(0)), F.get("x", F.lit(1))
+    water = embedding(s, d).select("id", F.slice("y", 1, 2).alias("x")).where(~G.inside_any_obstacle(x, y, _OBSTACLES))
+    return G.obstacle_graph(water, _OBSTACLES, 10).select("src", "dst", R("d").alias("d"))
+
+
+@query("nearest_obstacle", sql(PTS, EMB, _OB, "m AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY cx) AS k, radians(deg) AS g, rx, ry, (y0 - cx) * cos(radians(deg)) + (y1 - cy) * sin(radians(deg)) AS p, (y1 - cy) * cos(radians(deg)) - (y0 - cx) * sin(radians(deg)) AS q FROM emb, ob)",
+    "n AS (SELECT id, k, greatest(sqrt(pow(p / rx, 2) + pow(q / ry, 2)) - 1, 0) AS far, g, 2 * p / (rx * rx) AS gp, 2 * q / (ry * ry) AS gq FROM m)",
+    body="SELECT id, round(min(far), 6) + 0.0 AS distance, round(arg_min((gp * cos(g) - gq * sin(g)) / sqrt(gp * gp + gq * gq), (far, k)), 6) + 0.0 AS nx, round(arg_min((gp * sin(g) + gq * cos(g)) / sqrt(gp * gp + gq * gq), (far, k)), 6) + 0.0 AS ny FROM n GROUP BY 1"))
+def nearest_obstacle(s, d):
+    got = embedding(s, d).select("id", G.nearest_obstacle_geometry(F.get("y", F.lit(0)), F.get("y", F.lit(1)), _OBSTACLES).alias("o"))
+    return got.select("id", R("o.distance").alias("distance"), R("o.nx").alias("nx"), R("o.ny").alias("ny"))
+
+
+@query("soft_floyd_warshall")
+def soft_floyd_warshall(s, d):
+    """Soft shortest ways between event types, by their transitions."""
+    import numpy as np
+
+    t = event_transitions(s, d).where("src <> dst").orderBy("src", "dst").collect()
+    names = sorted({x for r in t for x in (r.src, r.dst)})
+    w = np.full((len(names),) * 2, np.inf)
+    np.fill_diagonal(w, 0)
+    for r in t:
+        w[names.index(r.src), names.index(r.dst)] = r.d
+    got = H.soft_floyd_warshall(w, 10.0)
+    return s.createDataFrame([(a, b, round(float(got[i, j]), 6) + 0.0) for i, a in enumerate(names) for j, b in enumerate(names)], "src string, dst string, dist double")

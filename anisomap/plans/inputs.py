@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,14 @@ def border(spark: SparkSession, d: str) -> DataFrame:
     return points(spark, d).where("id % 29 = 0").select("id")
 
 
+def landmarks(spark: SparkSession, d: str, share: float = 0.05, seed: int = 7) -> DataFrame:
+    """(id): the landmarks that a share of all points are, by the library's own choice."""
+    from anisomap.operators.pairs import select_landmarks
+
+    p = points(spark, d)
+    return select_landmarks(p, math.ceil(share * p.count()), seed)
+
+
 def cluster_edges(spark: SparkSession) -> DataFrame:
     return spark.range(10).select(F.col("id").cast("int").alias("src_label"), ((F.col("id") + 1) % 10).cast("int").alias("dst_label"))
 
@@ -103,5 +113,17 @@ TRADE = """rv AS (SELECT s_nationkey AS src, c_nationkey AS dst, sum(l_extendedp
 td AS (SELECT src, dst, rev, -ln(rev / sum(rev) OVER (PARTITION BY src)) AS d FROM rv)"""
 
 
+def hashed(seed: int, *columns: str) -> str:
+    """``hash_order`` of the pair operators."""
+    h = f"{seed}::BIGINT"
+    for c in columns:
+        h = f"((({h}) * 31 + {c}) % 2147483648) * 2654435761 % 4294967296"
+    return h
+
+
+LANDMARKS = f"lk AS (SELECT id FROM pts ORDER BY {hashed(7, 'id')}, id LIMIT (SELECT ceil(0.05 * count(*))::BIGINT FROM embeddings))"
+TARGETS = LANDMARKS.replace("lk AS", "tg AS").replace("7::BIGINT", "8::BIGINT")
+
+
 def sql(*parts: str, body: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' * recursive}{', '.join(parts)} {body}"

@@ -9,8 +9,7 @@ from anisomap.functions import vectors as V
 from anisomap.operators import fuzzy as U
 from anisomap.operators import objectives as O
 from anisomap.operators import pairs as P
-from anisomap.operators import paths as H
-from anisomap.plans.inputs import EDGE, EMB, KNN, PTS, cluster_edges, direct_pairs, embedding, graph, knn, labels, points, sql
+from anisomap.plans.inputs import EDGE, EMB, KNN, PTS, cluster_edges, direct_pairs, embedding, hashed, knn, labels, points, sql
 
 R = V.rounded
 QUERIES: dict = {}
@@ -35,14 +34,7 @@ _SYM = "sy AS (SELECT src, dst, avg(d) AS s FROM (SELECT src, dst, d FROM k UNIO
 _LOCAL = "lo AS (SELECT src, dst, d, w FROM (SELECT p.*, row_number() OVER (PARTITION BY p.src ORDER BY s, p.dst) AS r FROM p JOIN sy ON sy.src = p.src AND sy.dst = p.dst) WHERE r <= 3)"
 
 
-def _hash(seed: int, *columns: str) -> str:
-    h = f"{seed}::BIGINT"
-    for c in columns:
-        h = f"((({h}) * 31 + {c}) % 2147483648) * 2654435761 % 4294967296"
-    return h
-
-
-_MARKS = f"lm AS (SELECT id FROM pts ORDER BY {_hash(7, 'id')}, id LIMIT 50)"
+_MARKS = f"lm AS (SELECT id FROM pts ORDER BY {hashed(7, 'id')}, id LIMIT 50)"
 
 
 def dissim(s, d):
@@ -80,7 +72,7 @@ def landmark_pairs(s, d):
 
 
 @query("sampled_pairs", sql(PTS, KNN, _K, _W, _ALLOWED, body=f"""SELECT src, dst, round(d, 6) AS d, round(w * greatest(1.0, n / 4.0), 6) AS w FROM
-  (SELECT *, row_number() OVER (PARTITION BY src ORDER BY {_hash(3, 'src', 'dst')}, dst) AS r, count(*) OVER (PARTITION BY src) AS n FROM p) WHERE r <= 4"""))
+  (SELECT *, row_number() OVER (PARTITION BY src ORDER BY {hashed(3, 'src', 'dst')}, dst) AS r, count(*) OVER (PARTITION BY src) AS n FROM p) WHERE r <= 4"""))
 def sampled_pairs(s, d):
     return P.sample_targets(allowed(s, d), 4, seed=3).select("src", "dst", R("d").alias("d"), R("w").alias("w"))
 
@@ -203,17 +195,18 @@ def frozen_path_gradient(s, d):
     return g.select("id", *[R(F.get("g", F.lit(i))).alias(f"g{i}") for i in range(3)])
 
 
-def all_pairs(s, d, n=120):
-    """A dense asymmetric table over the first points, as majorization and Gram matrices need all pairs."""
-    a = points(s, d).where(F.col("id") < n).select(F.col("id").alias("src"), F.col("x").alias("a"))
-    b = points(s, d).where(F.col("id") < n).select(F.col("id").alias("dst"), F.col("x").alias("b"))
-    return a.join(F.broadcast(b), F.col("src") != F.col("dst")).select("src", "dst", (V.distance("a", "b") + 0.1 * F.get("b", F.lit(0)) - 0.1 * F.get("a", F.lit(0))).alias("d"))
+def all_pairs(s, d):
+    """A dense asymmetric table over all points, as majorization and Gram matrices need all pairs."""
+    from anisomap.operators.graph import all_distances, with_vectors
+
+    ends = with_vectors(all_distances(points(s, d)), points(s, d).select("id", F.slice("x", 1, 1).alias("x")))
+    return ends.select("src", "dst", (F.col("dist") + 0.1 * F.get("b", F.lit(0)) - 0.1 * F.get("a", F.lit(0))).alias("d"))
 
 
-_ALL = "q AS (SELECT a.id AS src, b.id AS dst, list_distance(a.x, b.x) + 0.1 * b.x[1] - 0.1 * a.x[1] AS d FROM pts a JOIN pts b ON a.id <> b.id WHERE a.id < 120 AND b.id < 120)"
+_ALL = "q AS (SELECT a.id AS src, b.id AS dst, list_distance(a.x, b.x) + 0.1 * b.x[1] - 0.1 * a.x[1] AS d FROM pts a JOIN pts b ON a.id <> b.id)"
 
 
-@query("centered_gram", sql(PTS, _ALL, "z AS (SELECT a.src, a.dst, pow((a.d + b.d) / 2, 2) AS q FROM q a JOIN q b ON a.src = b.dst AND a.dst = b.src UNION ALL SELECT id, id, 0.0 FROM pts WHERE id < 120)",
+@query("centered_gram", sql(PTS, _ALL, "z AS (SELECT a.src, a.dst, pow((a.d + b.d) / 2, 2) AS q FROM q a JOIN q b ON a.src = b.dst AND a.dst = b.src UNION ALL SELECT id, id, 0.0 FROM pts)",
     "rm AS (SELECT src, avg(q) AS m FROM z GROUP BY 1)", body="SELECT z.src, z.dst, round(-0.5 * (q - a.m - b.m + (SELECT avg(m) FROM rm)), 6) + 0.0 AS g FROM z JOIN rm a ON a.src = z.src JOIN rm b ON b.src = z.dst"))
 def centered_gram(s, d):
     return O.centered_gram(all_pairs(s, d)).select("src", "dst", R("g").alias("g"))
@@ -221,9 +214,9 @@ def centered_gram(s, d):
 
 @query("smacof_uniform_step", sql(PTS, EMB, _ALL, """v AS (SELECT a.src, (a.d + b.d) / 2 / sqrt((x.y0 - y.y0) * (x.y0 - y.y0) + (x.y1 - y.y1) * (x.y1 - y.y1) + (x.y2 - y.y2) * (x.y2 - y.y2)) AS b, x.y0 - y.y0 AS u0, x.y1 - y.y1 AS u1, x.y2 - y.y2 AS u2, a.d - b.d AS sk
   FROM q a JOIN q b ON a.src = b.dst AND a.dst = b.src JOIN emb x ON x.id = a.src JOIN emb y ON y.id = a.dst), rr AS (SELECT src AS id, sum(b * u0) AS r0, sum(b * u1) AS r1, sum(b * u2) - 0.5 * 0.5 * sum(sk) AS r2 FROM v GROUP BY 1)""",
-    body="SELECT id, round((r0 - avg(r0) OVER ()) / 120, 6) + 0.0 AS y0, round((r1 - avg(r1) OVER ()) / 120, 6) + 0.0 AS y1, round((r2 - avg(r2) OVER ()) / (120 * 1.25), 6) + 0.0 AS y2 FROM rr"))
+    body="SELECT id, round((r0 - avg(r0) OVER ()) / (SELECT count(*) FROM pts), 6) + 0.0 AS y0, round((r1 - avg(r1) OVER ()) / (SELECT count(*) FROM pts), 6) + 0.0 AS y1, round((r2 - avg(r2) OVER ()) / ((SELECT count(*) FROM pts) * 1.25), 6) + 0.0 AS y2 FROM rr"))
 def smacof_uniform_step(s, d):
-    y = O.smacof_uniform_step(all_pairs(s, d), embedding(s, d).where("id < 120"), 0.5)
+    y = O.smacof_uniform_step(all_pairs(s, d), embedding(s, d), 0.5)
     return y.select("id", *[R(F.get("y", F.lit(i))).alias(f"y{i}") for i in range(3)])
 
 
@@ -257,12 +250,23 @@ def epochs_per_sample(s, d):
     return U.epochs_per_sample(p, 2).select("src", "dst", R("every").alias("every"))
 
 
-@query("farthest_landmarks")
+def _farthest_sql(n: int = 5) -> str:
+    parts = [f"f1 AS (SELECT id FROM pts ORDER BY {hashed(1, 'id')}, id LIMIT 1)"]
+    for i in range(2, n + 1):
+        chosen = " UNION ALL ".join(f"SELECT id FROM f{j}" for j in range(1, i))
+        parts.append(f"f{i} AS (SELECT dst AS id FROM sq WHERE src IN ({chosen}) AND dst NOT IN ({chosen}) GROUP BY dst ORDER BY min(s) DESC, dst LIMIT 1)")
+    every = " UNION ALL ".join(f"SELECT id FROM f{j}" for j in range(1, n + 1))
+    return sql(PTS, _ALL, "sq AS MATERIALIZED (SELECT src, dst, avg(d) AS s FROM (SELECT src, dst, d FROM q UNION ALL SELECT dst, src, d FROM q) GROUP BY 1, 2)", *parts, body=every)
+
+
+@query("farthest_landmarks", _farthest_sql())
 def farthest_landmarks(s, d):
     return P.farthest_points(points(s, d), all_pairs(s, d), 5, seed=1)
 
 
-@query("pruned_forest")
-def pruned_forest(s, d):
-    sp = H.shortest_paths(graph(s, d), s.range(5)).persist()
-    return H.pruned_forest(sp, sp.where("dst % 10 = 0").select("src", "dst"))
+@query("prepared_pairs", sql(PTS, KNN, _K, _W, _ALLOWED, body="SELECT src, dst, round(d, 6) AS d, w::DOUBLE AS w FROM p"))
+def prepared_pairs(s, d):
+    """Allowed pairs that passed the check of what a fit is given."""
+    p = allowed(s, d)
+    P.validate_pairs(p)
+    return p.select("src", "dst", R("d").alias("d"), "w")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from anisomap.functions import campaign as C
 from anisomap.functions import vectors as V
 from anisomap.operators import initializers as I
-from anisomap.plans.inputs import EMB, KNN, PTS, VEL, direct_pairs, embedding, points, sql, table, times, velocity
+from anisomap.plans.inputs import EMB, KNN, PTS, VEL, direct_pairs, embedding, knn, points, sql, table, times, velocity
 from anisomap.sources import store as S
+from anisomap.storage import scratch
 
 R = V.rounded
 QUERIES: dict = {}
@@ -146,9 +147,42 @@ def lifted_by_time(s, d):
     return I.lift_by_time(embedding(s, d), t, 2.0).select("id", R(F.element_at("y", -1)).alias("z"))
 
 
-@query("aligned_embedding", sql(PTS, EMB, body="SELECT id, round(y0, 6) + 0.0 AS y0 FROM emb WHERE id % 5 = 0"))
+@query("aligned_embedding", sql(PTS, EMB, body="SELECT id, round(y0, 6) + 0.0 AS y0 FROM emb"))
 def aligned_embedding(s, d):
-    return S.align(points(s, d).where("id % 5 = 0"), embedding(s, d)).select("id", R(F.get("y", F.lit(0))).alias("y0"))
+    return S.align(points(s, d), embedding(s, d)).select("id", R(F.get("y", F.lit(0))).alias("y0"))
+
+
+@query("saved_embedding", sql(PTS, EMB, body="SELECT id, round(y0, 6) + 0.0 AS y0, round(y1, 6) + 0.0 AS y1, round(y2, 6) + 0.0 AS y2 FROM emb"))
+def saved_embedding(s, d):
+    """Saved, found again by its shape among others, and loaded for the wanted ids."""
+    at, y = scratch(s, "saved"), embedding(s, d)
+    S.save_embedding(f"{at}/e_3d", y, 0.5, 0.25, {"seed": 42})
+    S.save_embedding(f"{at}/e_1d", y.select("id", F.slice("y", 1, 1).alias("y")), 0.5)
+    found = S.newest_compatible(s, f"{at}/e_*", y.count(), 3)
+    got = S.load_embedding(s, found, points(s, d).select("id"))
+    return got.select("id", *[R(F.get("y", F.lit(i))).alias(f"y{i}") for i in range(3)])
+
+
+@query("sniffed_embedding", sql(PTS, body="SELECT id, len(x) AS n, round(x[64], 6) + 0.0 AS last FROM pts"))
+def sniffed_embedding(s, d):
+    return S.sniff_embedding(table(s, d, "embeddings")).select("id", F.size("y").cast("long").alias("n"), R(F.element_at("y", -1)).alias("last"))
+
+
+@query("matrix_market", sql(PTS, KNN, body="SELECT src AS i, dst AS j, round(dist, 6) AS value FROM knn"))
+def matrix_market(s, d):
+    at, n = scratch(s, "matrix"), points(s, d).count()
+    S.write_matrix_market(knn(s, d).select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("dist").alias("value")), at, n, n)
+    return S.read_matrix_market(s, at).select("i", "j", R("value").alias("value"))
+
+
+@query("evaluation_context", sql(PTS, KNN, body="SELECT (SELECT count(*) FROM pts) AS n_points, count(*) AS n_pairs, round(sum(dist), 4) AS total FROM knn"))
+def evaluation_context(s, d):
+    """The tables that evaluations share, stored once and read back."""
+    at = scratch(s, "context")
+    S.save_tables(at, points=points(s, d), knn=knn(s, d))
+    got = S.load_tables(s, at, "points", "knn")
+    n = got["points"].agg(F.count("*").alias("n_points"))
+    return got["knn"].agg(F.count("*").alias("n_pairs"), R(F.sum("dist"), 4).alias("total")).join(F.broadcast(n))
 
 
 @query("projected_velocity", sql(PTS, EMB, VEL, body="SELECT id, round(0.6 * v0 + 0.8 * v1, 6) + 0.0 AS p0, round(v2, 6) + 0.0 AS p1 FROM vel"))
