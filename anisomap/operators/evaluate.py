@@ -27,6 +27,31 @@ def embedding_distances(embedding: DataFrame, metric: Metric, pairs: DataFrame,
     return pairs.join(sp.select("src", "dst", F.col("dist").alias("e")), ["src", "dst"], "left")
 
 
+def full_geodesic_stress(dissim: DataFrame, embedding: DataFrame, metric: Metric, k: int = 10) -> DataFrame:
+    """One row (n_pairs, n_unreachable, raw, normalized): stress of all pairs on the connected neighbour graph; infinite if one is unreachable."""
+    points = embedding.select("id", F.col("y").alias("x"))
+    return _path_stress(dissim, G.metric_graph(points, G.symmetric_knn_graph(points, k, connected=True), metric), True)
+
+
+def support_stress(dissim: DataFrame, embedding: DataFrame, support: DataFrame | None = None, k: int = 10) -> DataFrame:
+    """``full_geodesic_stress`` by straight lengths, both ways alike, over a given support or the embedding's own neighbours."""
+    points = embedding.select("id", F.col("y").alias("x"))
+    support = G.symmetric_knn_graph(points, k, connected=True) if support is None else support
+    lengths = G.with_vectors(support.select("src", "dst"), points).select("src", "dst", V.distance("a", "b").alias("d"))
+    return _path_stress(dissim, lengths, False)
+
+
+def _path_stress(dissim: DataFrame, edges: DataFrame, directed: bool) -> DataFrame:
+    pairs = dissim.where("src <> dst").select("src", "dst", "d")
+    sp = shortest_paths(edges, pairs.select(F.col("src").alias("id")), directed)
+    measured = pairs.join(sp.select("src", "dst", F.col("dist").alias("e")), ["src", "dst"], "left")
+    gap = F.col("e") - F.col("d")
+    sums = measured.agg(F.count("*").alias("n_pairs"), F.count_if(F.col("e").isNull()).alias("n_unreachable"), F.sum(gap * gap).alias("raw"), F.sum(F.col("d") * F.col("d")).alias("denom"))
+    lost = F.col("n_unreachable") > 0
+    inf = F.lit(float("inf"))
+    return sums.select("n_pairs", "n_unreachable", F.when(lost, inf).otherwise(F.col("raw")).alias("raw"), F.when(lost, inf).otherwise(F.sqrt(F.try_divide("raw", "denom"))).alias("normalized"))
+
+
 def stretch_summary(measured: DataFrame, eps: float = 1e-12) -> DataFrame:
     """One row over e / d for d > eps: n, mean, population deviation, quantiles, extremes."""
     r = measured.where(F.col("e").isNotNull() & (F.col("d") > eps)).select((F.col("e") / F.col("d")).alias("r"))

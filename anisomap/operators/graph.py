@@ -142,6 +142,12 @@ def metric_graph(points: DataFrame, support: DataFrame, metric: Metric) -> DataF
 FORMULAS = {"exp": "exponential", "exponential": "exponential", "randers": "randers", "matsumoto": "matsumoto"}
 
 
+def geodesic_plot_graph(embedding: DataFrame, metric: Metric, k: int = 5, support: DataFrame | None = None) -> DataFrame:
+    """The directed graph on which paths in an embedding are drawn: its neighbours (or a given support), weighted by the metric."""
+    points = embedding.select("id", F.col("y").alias("x"))
+    return metric_graph(points, symmetric_knn_graph(points, k) if support is None else support, metric)
+
+
 def velocity_length(length: Column, cos: Column, alpha: float, formula: str = "exponential", cos_clip: float | None = None) -> Column:
     """Length of an edge that is shorter along the velocity of its source; undefined cosines count as 0."""
     formula = FORMULAS.get(formula.lower())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anisomap.functions import vectors as V
@@ -71,6 +71,86 @@ def rotate_velocity_down(embedding: DataFrame, velocity: DataFrame) -> tuple[Dat
     return linear_map(embedding, r), linear_map(velocity, r, "v")
 
 
+#: Names of starts, and what they stand for.
+INIT_KINDS = {
+    "umap": "umap",
+    "umap_2d": "umap",
+    "umap2d": "umap",
+    "smacof": "smacof",
+    "randers_smacof": "smacof",
+    "smacof_randers": "smacof",
+    "path_frozen": "path_frozen",
+    "frozen_paths": "path_frozen",
+}
+
+
+def init_kind(name: object) -> str:
+    if not isinstance(name, str):
+        raise TypeError("a start is named by text")
+    key = name.lower().replace("-", "_")
+    if key not in INIT_KINDS:
+        raise ValueError(f"unknown start {name!r}; known are {', '.join(sorted(set(INIT_KINDS.values())))}")
+    return INIT_KINDS[key]
+
+
+def named_init(name: str, ids: DataFrame, dimensions: int, umap: DataFrame, sources: dict[str, str]) -> DataFrame:
+    """(id, y): the start of a name, for the wanted ids and dimensions: a given UMAP embedding, or a saved one of its kind.
+
+    Raises if there is no such embedding, or if it lacks a wanted id.
+    """
+    from anisomap.sources.store import align, load_embedding
+
+    kind = init_kind(name)
+    if kind != "umap" and kind not in sources:
+        raise FileNotFoundError(f"no embedding of kind {kind!r} was saved")
+    found = align(ids, umap) if kind == "umap" else load_embedding(ids.sparkSession, sources[kind], ids)
+    return adapt_dimension(found.select("id", "y"), dimensions)
+
+
+def diagonal_view(points: DataFrame, angle: float = 45.0, noise: float = 0.0, seed: int = 42) -> DataFrame:
+    """(id, y): the plane of a turned first axis, at the diagonal's length, and the third axis; centred, with noise by the ids."""
+    from anisomap.sources.synthetic import normal
+
+    a = np.radians(angle)
+    turned = (F.get("x", F.lit(0)) * float(np.cos(a)) - F.get("x", F.lit(1)) * float(np.sin(a))) * float(np.sqrt(2))
+    y = points.select("id", F.array(turned, F.get("x", F.lit(2))).alias("y"))
+
+    def centred(e: DataFrame) -> DataFrame:
+        return e.join(F.broadcast(e.agg(V.mean_vector("y", 2).alias("m")))).select("id", V.sub("y", "m").alias("y"))
+
+    y = centred(y)
+    return centred(y.select("id", V.add("y", F.array(noise * normal(seed), noise * normal(seed + 2))).alias("y"))) if noise else y
+
+
+def flattened(points: DataFrame) -> DataFrame:
+    """(id, y): points with a further coordinate 0."""
+    return points.select("id", F.concat("x", F.array(F.lit(0.0))).alias("y"))
+
+
+#: Fixed values of the branching tree's start: factors of main and secondary branches, and how much they fall.
+MAIN_FACTOR, SECOND_FACTOR = (0.82, 0.24), (0.46, 0.26)
+
+
+def contracted(
+    points: DataFrame, secondary: Column, main: tuple[float, float] = MAIN_FACTOR, second: tuple[float, float] = SECOND_FACTOR, noise: float = 0.0, least: float = 0.12, seed: int = 0
+) -> DataFrame:
+    """(id, y): points drawn to the origin: (factor, its fall from the origin to the farthest point) for main and secondary ones.
+
+    Noise by the ids grows from 0.45 times ``noise`` at the origin to 1.35 times at the farthest point.
+    """
+    from anisomap.sources.synthetic import normal
+
+    dimensions = len(points.select("x").first()[0])
+    p = points.withColumn("_s", secondary).withColumn("_r", V.norm("x"))
+    p = p.join(F.broadcast(p.agg(F.max("_r").alias("_most")))).withColumn("_q", F.when(F.col("_most") > 0, F.col("_r") / F.col("_most")).otherwise(F.col("_r")))
+    factor = F.greatest(F.lit(least), F.when(F.col("_s"), second[0] - second[1] * F.col("_q")).otherwise(main[0] - main[1] * F.col("_q")))
+    y = V.scaled("x", factor)
+    if noise:
+        size = noise * (0.45 + 0.9 * F.col("_q"))
+        y = V.add(y, F.array(*[size * normal(seed + 2 * i) for i in range(dimensions)]))
+    return p.select("id", y.alias("y"))
+
+
 def adapt_dimension(embedding: DataFrame, dimensions: int) -> DataFrame:
     """Cut, or filled up with zeros."""
     return embedding.withColumn("y", F.slice(F.concat("y", F.array_repeat(F.lit(0.0), dimensions)), 1, dimensions))

@@ -6,6 +6,7 @@ per evaluation would cost more than the evaluation. Beyond that every evaluation
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -36,8 +37,10 @@ class Result:
         return spark.createDataFrame(pd.DataFrame({"id": self.ids, "y": self.y.tolist()}), "id long, y array<double>")
 
     def history_frame(self, spark: SparkSession) -> DataFrame:
-        rows = pd.DataFrame(self.history or [{"step": 0, "stress": self.stress}])
-        return spark.createDataFrame(rows[["step", "stress"]], "step long, stress double")
+        """(step, stress), and the full stresses where they were taken."""
+        rows = [(h["step"], float(h["stress"]), h.get("full_stress")) for h in self.history or [{"step": 0, "stress": self.stress}]]
+        out = spark.createDataFrame(rows, "step long, stress double, full_stress double")
+        return out if any(r[2] is not None for r in rows) else out.drop("full_stress")
 
 
 def lbfgs(fun: Callable, x0: np.ndarray, max_iter: int = 300, gtol: float = 1e-6, memory: int = 10, seen: Callable | None = None) -> tuple[np.ndarray, float, int]:
@@ -162,7 +165,7 @@ def smacof_randers(
     """Majorization for Randers lengths; of ``n_init`` starts the one with the least stress is kept.
 
     ``version``: ``corrected``, or ``legacy`` with its own last-axis factor and stopping tolerance. ``solver``:
-    ``closed`` (equal weights, projected), ``cg``, ``gmres`` (conjugate gradients as well, since the system is symmetric) or ``pinv``.
+    ``closed`` (equal weights, projected), ``cg``, ``gmres`` (restarted) or ``pinv``.
     """
     Randers(alpha)
     if version not in ("corrected", "legacy") or solver not in ("closed", "cg", "gmres", "pinv"):
@@ -204,7 +207,8 @@ def _smacof(d, w, x, alpha, max_iter, eps, solver, project, check, version):
         elif solver == "pinv":
             new = pinv @ r
         else:
-            new = np.stack([_conjugate(degree, r[:, j] - r[:, j].mean(), x[:, j] - x[:, j].mean()) for j in range(r.shape[1])], 1)
+            solve = _gmres if solver == "gmres" else _conjugate
+            new = np.stack([solve(degree, r[:, j] - r[:, j].mean(), x[:, j] - x[:, j].mean()) for j in range(r.shape[1])], 1)
         new[:, -1] /= 1 + last if alpha else 1.0
         now = value(new)
         rise = 1e-10 * max(1.0, abs(s)) if version == "corrected" else 0.1
@@ -233,6 +237,34 @@ def _conjugate(a: np.ndarray, b: np.ndarray, x: np.ndarray, tol: float = 1e-10)
     return x
 
 
+def _gmres(a: np.ndarray, b: np.ndarray, x: np.ndarray, tol: float = 1e-10, restart: int = 40, turns: int = 20) -> np.ndarray:
+    """Least residual over Krylov spaces: an orthonormal basis by Gram-Schmidt, done twice, and a small least-squares problem a turn."""
+    size = max(1.0, float(np.linalg.norm(b)))
+    for _ in range(turns):
+        r = b - a @ x
+        beta = float(np.linalg.norm(r))
+        if beta <= tol * size:
+            break
+        steps = min(restart, len(b))
+        basis, h = np.zeros((steps + 1, len(b))), np.zeros((steps + 1, steps))
+        basis[0], used = r / beta, steps
+        for j in range(steps):
+            w = a @ basis[j]
+            for _ in range(2):
+                part = basis[: j + 1] @ w
+                h[: j + 1, j] += part
+                w = w - part @ basis[: j + 1]
+            h[j + 1, j] = np.linalg.norm(w)
+            if h[j + 1, j] <= 1e-14 * size:
+                used = j + 1
+                break
+            basis[j + 1] = w / h[j + 1, j]
+        target = np.zeros(used + 1)
+        target[0] = beta
+        x = x + np.linalg.lstsq(h[: used + 1, :used], target, rcond=None)[0] @ basis[:used]
+    return x
+
+
 def knn_support(x: np.ndarray, k: int, connected: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(tail, head) of the symmetric k-nearest-neighbour graph of a small embedding, linked up by closest pairs."""
     n, k = len(x), min(k, len(x) - 1)
@@ -302,9 +334,13 @@ def path_frozen(
     n_local_pairs: int | None = None, local_pair_mode: str = "direct", n_landmark: int = 0, random_landmark_fraction: float = 1.0, resample: bool = True,
     targets_per_landmark: int | None = None, local_weight: float = 1.0, local_global_reweighting: str = "count", direct_stress_weight: float = 0.0,
     direct_stress_mode: str = "mds", direct_stress_margin: float = 0.5, outer_step_size: float = 1.0, weights: DataFrame | None = None,
-    init: np.ndarray | None = None, seed: int = 0,
+    init: np.ndarray | None = None, seed: int = 0, full_stress: bool = False,
 ) -> Result:
-    """Alternates between freezing shortest paths on the embedding's graph and fitting the lengths of those paths."""
+    """Alternates between freezing shortest paths on the embedding's graph and fitting the lengths of those paths.
+
+    The history has the seconds of optimization so far. With ``full_stress`` it also has the stress of all pairs on the
+    connected graph, at the steps that ``log_every`` gives and the last; their time does not count.
+    """
     if local_pair_mode not in ("direct", "geodesic") or direct_stress_mode not in ("none", "mds", "hinge"):
         raise ValueError("unknown mode")
     base, everything = P.allowed_pairs(dissim, weights), None
@@ -314,8 +350,9 @@ def path_frozen(
     if direct_stress_weight and direct_stress_mode != "none":
         everything = collect_pairs(base)[1]
     history, last, stochastic = [], None, bool(targets_per_landmark) or bool(n_landmark and resample)
-    groups = None
+    groups, spent = None, 0.0
     for outer in range(outer_iter):
+        began = time.monotonic()
         if groups is None or stochastic:
             turn = seed + (outer if resample else 0)
             got = P.build_pairs(dissim, weights, n_local_pairs, n_landmark, targets_per_landmark, local_global_reweighting, local_weight, random_landmark_fraction, turn).toPandas()
@@ -338,8 +375,15 @@ def path_frozen(
 
         best, s, _ = lbfgs(objective, x, inner_iter)
         x = x + outer_step_size * (best - x)
-        history.append({"step": outer + 1, "stress": s})
-        if not stochastic and last is not None and abs(1 - s / last) < eps:
+        done = not stochastic and last is not None and abs(1 - s / last) < eps
+        spent += time.monotonic() - began
+        history.append({"step": outer + 1, "stress": s, "elapsed": spent})
+        if full_stress and (done or outer + 1 == outer_iter or outer % log_every(outer_iter) == 0):
+            from anisomap.operators.evaluate import full_geodesic_stress
+
+            y = Result(ids, x, s).frame(dissim.sparkSession)
+            history[-1]["full_stress"] = full_geodesic_stress(base, y, metric, graph_neighbors).first()["normalized"]
+        if done:
             break
         last = s
     return Result(ids, x, history[-1]["stress"] if history else float("nan"), history, x0)

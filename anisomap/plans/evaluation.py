@@ -8,7 +8,7 @@ from anisomap.functions import metrics as M
 from anisomap.functions import vectors as V
 from anisomap.operators import evaluate as E
 from anisomap.operators import graph as G
-from anisomap.plans.inputs import EDGE, EMB, KNN, LANDMARKS, PTS, TIME, VEL, cluster_edges, direct_pairs, embedding, knn, labels, landmarks, points, sql, times, velocity
+from anisomap.plans.inputs import EDGE, EMB, GSYM, KNN, LANDMARKS, PTS, TIME, VEL, cluster_edges, direct_pairs, embedding, graph, knn, labels, landmarks, points, sql, times, velocity
 
 R = V.rounded
 QUERIES: dict = {}
@@ -215,3 +215,22 @@ def gap_scopes(s, d):
     near = embedding(s, d).join(groups.select("id"), "id", "left_semi")
     rows = [E.gap_distance(y, groups).select(F.lit(scope).alias("scope"), *[R(c).alias(c) for c in ("gap_distance", "max_distance", "normalized_gap")]) for scope, y in (("full", embedding(s, d)), ("gap", near))]
     return rows[0].unionByName(rows[1])
+
+
+@query("fixed_support_stress", sql(PTS, EMB, KNN, GSYM, LANDMARKS, "ev AS MATERIALIZED (SELECT src, dst, sqrt((b.y0 - a.y0) * (b.y0 - a.y0) + (b.y1 - a.y1) * (b.y1 - a.y1) + (b.y2 - a.y2) * (b.y2 - a.y2)) AS d FROM g JOIN emb a ON a.id = src JOIN emb b ON b.id = dst)",
+    "bf(h, src, v, dist) AS (SELECT 0, id, id, 0.0::DOUBLE FROM lk UNION ALL SELECT h + 1, src, v, min(dist) FROM (SELECT h, src, v, dist FROM bf UNION ALL SELECT bf.h, bf.src, ev.dst, bf.dist + ev.d FROM bf JOIN ev ON bf.v = ev.src) WHERE h < 40 GROUP BY h, src, v)",
+    "m AS (SELECT k.dist AS d, bf.dist AS e FROM knn k JOIN lk ON lk.id = k.src LEFT JOIN bf ON bf.h = 40 AND bf.src = k.src AND bf.v = k.dst)",
+    body="SELECT count(*) AS n_pairs, count(*) FILTER (e IS NULL) AS n_unreachable, round(sum((e - d) * (e - d)), 6) AS raw, round(sqrt(sum((e - d) * (e - d)) / sum(d * d)), 6) AS normalized FROM m", recursive=True))
+def fixed_support_stress(s, d):
+    """Stress of landmarks' neighbours by ways in the embedding over the neighbours in the data."""
+    pairs = direct_pairs(s, d).join(landmarks(s, d).withColumnRenamed("id", "src"), "src", "left_semi")
+    row = E.support_stress(pairs, embedding(s, d), graph(s, d))
+    return row.select("n_pairs", "n_unreachable", R("raw").alias("raw"), R("normalized").alias("normalized"))
+
+
+@query("rebuilt_support_stress")
+def rebuilt_support_stress(s, d):
+    """The same over the embedding's own connected neighbours."""
+    pairs = direct_pairs(s, d).join(landmarks(s, d).withColumnRenamed("id", "src"), "src", "left_semi")
+    row = E.support_stress(pairs, embedding(s, d))
+    return row.select("n_pairs", "n_unreachable", R("raw").alias("raw"), R("normalized").alias("normalized"))

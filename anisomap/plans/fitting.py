@@ -111,5 +111,35 @@ def hole_map(s, d):
     return row.select("n_pairs", "normalized", "median")
 
 
+def time_map(s, d):
+    """From a neighbour graph and times to an embedding: edges along time are shorter, lengths are scaled by density."""
+    from anisomap.operators import dissimilarity as D
+    from anisomap.operators import evaluate as E
+    from anisomap.operators import graph as G
+    from anisomap.plans.inputs import knn, times
+    from anisomap.storage import written
+
+    edges = D.temporally_asymmetric(G.symmetrize(G.knn_edges(knn(s, d))), times(s, d), 0.2).select("src", "dst", "d")
+    scaled = D.density_scaled(edges, 0.5, "symmetric").select("src", "dst", "d")
+    dissim = written(H.shortest_paths(scaled).where("src <> dst").select("src", "dst", F.col("dist").alias("d")), "dissim")
+    metric = Randers(0.3)
+    got = fit(dissim, metric, "gradient_descent", max_iter=30, seed=1)
+    return E.evaluate_distances(dissim.withColumn("w", F.lit(1.0)), got.frame(s), metric).select("n_pairs", "normalized", "median")
+
+
+def sea_map(s, d):
+    """From an archipelago and its current to an embedding of the ways between its points."""
+    from anisomap.operators import evaluate as E
+    from anisomap.sources import synthetic as X
+    from anisomap.storage import written
+
+    p = X.archipelago(ship(s), 250)
+    dissim = written(X.current_distances(p, support=X.archipelago_graph(p, 4)).where("src <> dst"), "dissim")
+    got = fit(dissim, Randers(0.5), "smacof_randers", n_init=2, max_iter=60)
+    return E.evaluate_distances(dissim.withColumn("w", F.lit(1.0)), got.frame(s), Randers(0.5)).select("n_pairs", "normalized", "median")
+
+
 _register("velocity_map", velocity_map)
+_register("time_map", time_map)
+_register("sea_map", sea_map)
 _register("hole_map", hole_map)

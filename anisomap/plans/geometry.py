@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from anisomap.functions import metrics as M
@@ -348,3 +349,35 @@ def soft_floyd_warshall(s, d):
         w[names.index(r.src), names.index(r.dst)] = r.d
     got = H.soft_floyd_warshall(w, 10.0)
     return s.createDataFrame([(a, b, round(float(got[i, j]), 6) + 0.0) for i, a in enumerate(names) for j, b in enumerate(names)], "src string, dst string, dist double")
+
+
+@query("plot_graph", sql(PTS, EMB, _GE.replace("k <= 10", "k <= 5"), body="SELECT src, dst, round(d + 0.5 * (b.y2 - a.y2), 6) AS d FROM ge JOIN emb a ON a.id = src JOIN emb b ON b.id = dst"))
+def plot_graph(s, d):
+    return G.geodesic_plot_graph(embedding(s, d), M.Randers(0.5)).select("src", "dst", R("d").alias("d"))
+
+
+_REGISTRY = {"randers": (M.get_metric("randers", alpha=0.5), "1 + 0.5 * s"), "convexified-matsumoto": (M.get_metric("Convexified-Matsumoto", alpha=1.0), "CASE WHEN s * 2 <= 1 THEN 1 / (1 - s) ELSE 4 * s END"), "matsumoto": (M.get_metric(" matsumoto ", alpha=1.25), "CASE WHEN 1 - 1.25 * s > 0 THEN 1 / (1 - 1.25 * s) END")}
+
+
+@query("metric_registry", sql(PTS, EMB, KNN, EDGE, body=" UNION ALL ".join(f"SELECT '{k}' AS metric, src, dst, round(r * ({phi}), 6) + 0.0 AS len FROM e WHERE rank = 1 AND r > 1e-12" for k, (_, phi) in _REGISTRY.items())))
+def metric_registry(s, d):
+    """Lengths to the nearest neighbour by metrics that are taken by their names."""
+    e = G.with_vectors(knn(s, d).where("rank = 1"), embedding(s, d), "y")
+    each = [e.select(F.lit(k).alias("metric"), "src", "dst", R(m.length_col(V.sub("b", "a"))).alias("len")) for k, (m, _) in _REGISTRY.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query("randers_wrappers", sql(PTS, EMB, KNN, EDGE, body="SELECT src, dst, round(r + 0.5 * u2, 6) + 0.0 AS len FROM e WHERE rank = 1"))
+def randers_wrappers(s, d):
+    """The one-call Randers length, over Arrow batches."""
+    @F.pandas_udf("double")
+    def length(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([M.randers_length(x, y, 0.5) for x, y in zip(a, b, strict=True)])
+
+    return G.with_vectors(knn(s, d).where("rank = 1"), embedding(s, d), "y").select("src", "dst", R(length("a", "b")).alias("len"))
+
+
+@query("mode_aliases", "SELECT * FROM (VALUES ('kind', 'none', 'none'), ('kind', 'pseudotime', 'pseudotime'), ('kind', 'time', 'pseudotime'), ('kind', 'density', 'density'), ('scale', 'symmetric', 'symmetric'), ('scale', 'sym', 'symmetric'), ('scale', 'source', 'source'), ('scale', 'src', 'source')) v(of, alias, mode)")
+def mode_aliases(s, d):
+    rows = [("kind", k, D.normalize_kind(k)) for k in ("none", "pseudotime", "time", "density")] + [("scale", k, D.normalize_scale_mode(k)) for k in ("symmetric", "sym", "source", "src")]
+    return s.createDataFrame(rows, "of string, alias string, mode string")

@@ -191,3 +191,25 @@ def projected_velocity(s, d):
 
     got = project_onto_components(velocity(s, d), [[0.6, 0.8, 0.0], [0.0, 0.0, 1.0]])
     return got.select("id", R(F.get("v", F.lit(0))).alias("p0"), R(F.get("v", F.lit(1))).alias("p1"))
+
+
+@query("named_start", sql(PTS, EMB, body="SELECT id, round(y0, 6) + 0.0 AS y0, round(y1, 6) + 0.0 AS y1, round(y2, 6) + 0.0 AS y2, 0.0::DOUBLE AS y3 FROM emb"))
+def named_start(s, d):
+    at, y = scratch(s, "starts"), embedding(s, d)
+    S.save_embedding(f"{at}/smacof", y, 0.5)
+    got = I.named_init("Randers-SMACOF", points(s, d), 4, y, {"smacof": f"{at}/smacof"})
+    return got.select("id", *[R(F.get("y", F.lit(i))).alias(f"y{i}") for i in range(4)])
+
+
+@query("diagonal_start", sql(PTS, EMB, body="SELECT id, round((y0 - y1) - avg(y0 - y1) OVER (), 6) + 0.0 AS d0, round(y2 - avg(y2) OVER (), 6) + 0.0 AS d1 FROM emb"))
+def diagonal_start(s, d):
+    got = I.diagonal_view(embedding(s, d).withColumnRenamed("y", "x"))
+    return got.select("id", *[R(F.get("y", F.lit(i))).alias(f"d{i}") for i in range(2)])
+
+
+@query("contracted_start", sql(PTS, EMB, "r AS (SELECT *, sqrt(y0 * y0 + y1 * y1 + y2 * y2) AS r FROM emb)", "q AS (SELECT *, r / max(r) OVER () AS q FROM r)",
+    "f AS (SELECT *, greatest(0.12, CASE WHEN label % 2 = 1 THEN 0.6 - 0.3 * q ELSE 0.9 - 0.2 * q END) AS f FROM q)", body="SELECT id, round(f * y0, 6) + 0.0 AS y0, round(f * y1, 6) + 0.0 AS y1, round(f * y2, 6) + 0.0 AS y2, 0.0::DOUBLE AS y3 FROM f"))
+def contracted_start(s, d):
+    p = points(s, d).select("id", "label", F.slice("x", 1, 3).alias("x"))
+    flat = I.flattened(I.contracted(p, F.col("label") % 2 == 1, (0.9, 0.2), (0.6, 0.3)).withColumnRenamed("y", "x"))
+    return flat.select("id", *[R(F.get("y", F.lit(i))).alias(f"y{i}") for i in range(4)])

@@ -171,3 +171,50 @@ def test_nearest_obstacles(spark):
     got = [r.g for r in p.select("id", G.nearest_obstacle_geometry(F.col("x"), F.col("y"), two).alias("g")).orderBy("id").collect()]
     assert (got[0].distance, got[0].nx, got[0].ny) == pytest.approx((1.0, 1.0, 0.0))
     assert (got[1].distance, got[1].nx) == pytest.approx((1.0, 1.0)) and got[2].distance == pytest.approx(9.0)
+
+
+def test_gmres_solves_what_pinv_solves(spark):
+    from anisomap.operators.optimizers import _conjugate, _gmres
+
+    r = np.random.default_rng(8)
+    w = np.abs(r.normal(size=(70, 70)))
+    w = w + w.T
+    np.fill_diagonal(w, 0)
+    a, b = np.diag(w.sum(1)) - w, r.normal(size=70)
+    b -= b.mean()
+    want = np.linalg.pinv(a) @ b
+    for solve in (_gmres, _conjugate):
+        x = solve(a, b, np.zeros(70))
+        assert x - x.mean() == pytest.approx(want, abs=1e-8)
+    u = np.triu(r.normal(size=(60, 60)), 1) + 5 * np.eye(60)  # not symmetric
+    assert u @ _gmres(u, b[:60], np.zeros(60)) == pytest.approx(b[:60], abs=1e-8)
+
+
+def test_full_stress_in_histories(spark):
+    from anisomap.api import fit
+    from anisomap.functions.metrics import Randers
+    from anisomap.operators.evaluate import full_geodesic_stress
+
+    r = np.random.default_rng(9)
+    x = r.normal(size=(16, 2))
+    d = [(a, b, float(np.sqrt(((x[a] - x[b]) ** 2).sum()))) for a in range(16) for b in range(16) if a != b]
+    dissim = spark.createDataFrame(d, "src long, dst long, d double")
+    got = fit(dissim, Randers(0.2), "path_frozen", outer_iter=2, graph_neighbors=5, seed=1, full_stress=True)
+    h = got.history_frame(spark).orderBy("step").collect()
+    assert h[-1].full_stress == pytest.approx(full_geodesic_stress(dissim, got.frame(spark), Randers(0.2), 5).first().normalized)
+    assert "full_stress" not in fit(dissim, Randers(0.2), "path_frozen", outer_iter=1, graph_neighbors=5, seed=1).history_frame(spark).columns
+    apart = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [5.0, 0.0])], "id long, y array<double>")
+    lone = E.support_stress(spark.createDataFrame([(0, 2, 1.0)], "src long, dst long, d double"), apart, spark.createDataFrame([(0, 1)], "src long, dst long"))
+    assert lone.first().normalized == float("inf") and lone.first().n_unreachable == 1
+
+
+def test_names_of_starts(spark, tmp_path):
+    from anisomap.operators import initializers as I
+
+    y = spark.createDataFrame([(0, [0.0, 1.0]), (1, [1.0, 2.0])], "id long, y array<double>")
+    assert I.named_init("UMAP-2d", y, 1, y, {}).orderBy("id").collect()[1].y == [1.0]
+    for bad, error in (("isomap", ValueError), (3, TypeError), ("smacof", FileNotFoundError)):
+        with pytest.raises(error):
+            I.named_init(bad, y, 2, y, {})
+    noisy = I.diagonal_view(points_of(spark, np.eye(3)), noise=0.1)
+    assert noisy.agg(F.avg(F.get("y", F.lit(0)))).first()[0] == pytest.approx(0, abs=1e-12)
