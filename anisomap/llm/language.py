@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anisomap.llm import subwords
-from anisomap.llm.common import fold, whole_texts
+from anisomap.llm.common import fold, whole_texts, written
 
 SIZES, BITS = (2, 3, 4), 16
 #: Words of a segment that is labelled at once, and of context on either side.
@@ -219,22 +219,27 @@ def train_language(
 ) -> WordCRF:
     """Fit on a bounded sample: at most ``rows`` whole texts and ``chars`` characters, no text above ``longest``.
 
-    Every language is in it, with ``least`` texts if it has them (fewer if there are more than ``rows / least`` languages).
+    Every language is in it, with ``least`` texts if it has them (fewer if there are more than ``rows / least`` languages;
+    of more than ``rows`` languages those with the most texts).
     """
     usable = documents.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", modulus) != held_out))
     usable = usable.where(F.length("text") <= longest)
     # Ids are chosen first: they are small, and only the chosen rows' texts go to the driver.
-    ids = usable.select("doc_id", "lang").distinct()
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    # A language's ids are dealt over 32 groups, so that a common language is not one task's.
-    few = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(32))).orderBy(*order)
+    ids = written(usable.select("doc_id", "lang").distinct().withColumn("h", F.xxhash64("doc_id")), "ids")
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()
+    if not counts:
+        return WordCRF([])
+    # Of each language, the ids with the smallest hashes: below a bound that some four times as many as wanted are below.
+    low, span = -(1 << 63), 1 << 64
+    bounds = [(r.lang, low + int(span * min(1.0, 4 * least / r.n)) - 1) for r in counts]
+    bounds = F.broadcast(documents.sparkSession.createDataFrame(bounds, "lang string, bound long"))
     by: dict[str, list] = {}
-    for r in ids.withColumn("h", F.xxhash64("doc_id")).withColumn("r", F.row_number().over(few)).where(F.col("r") <= least).collect():
+    for r in ids.withColumn("lang", F.col("lang").cast("string")).join(bounds, "lang").where(F.col("h") <= F.col("bound")).collect():
         by.setdefault(r.lang, []).append((r.h, r.doc_id))
     each = max(1, min(least, rows // max(len(by), 1)))
     # The first texts of every language come before the others, so that no bound leaves a language out.
     chosen = dict.fromkeys((sorted(by[lang])[k][1], lang) for k in range(each) for lang in sorted(by) if k < len(by[lang]))
-    chosen |= dict.fromkeys((r.doc_id, r.lang) for r in ids.orderBy(*order, "lang").limit(rows).collect())
+    chosen |= dict.fromkeys((r.doc_id, r.lang) for r in ids.where(F.col("lang").isin(list(by))).orderBy("h", "doc_id", "lang").limit(rows).collect())
     got = whole_texts(usable, ["doc_id", "lang"], list(chosen)[: max(rows, len(by))], chars, longest)
     labels = [lang for _, lang in got]
     return WordCRF(sorted(set(labels))).fit(list(got.values()), labels)

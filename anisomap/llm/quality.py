@@ -182,11 +182,15 @@ class ByteConv:
 
 
 def train_quality(
-    documents: DataFrame, labels: DataFrame, rows: int = 4000, modulus: int = 5, held_out: int = 0, chars: int = 1 << 25, longest: int = 1 << 18
-) -> ByteConv:
-    """Fit on a bounded sample of labelled texts: at most ``rows`` whole texts and ``chars`` characters, none above ``longest``."""
+    documents: DataFrame, labels: DataFrame, rows: int = 4000, modulus: int = 5, held_out: int = 0, chars: int = 1 << 25, longest: int = 1 << 18,
+    needed: bool = True,
+) -> ByteConv | None:
+    """Fit on a bounded sample of labelled texts: at most ``rows`` whole texts and ``chars`` characters, none above ``longest``.
+
+    Without such texts the net is unfitted, or None if it is not ``needed``.
+    """
     texts, y = labelled_sample(documents, labels, "quality", rows, modulus, held_out, chars, longest)
-    return ByteConv().fit(texts, y)
+    return ByteConv().fit(texts, y) if texts or needed else None
 
 
 def scorer(model):

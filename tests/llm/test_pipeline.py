@@ -50,3 +50,12 @@ def test_language_stage_decides_on_scores(spark, monkeypatch):
     # A model that has learned nothing gives each of three languages a third.
     monkeypatch.setattr(P, "train_language", lambda d: WordCRF(["a", "b", "c"]))
     assert P.language_stage(spark, docs, "").count() == 0
+
+
+def test_stages_without_labels_or_counts_of_characters(spark, odd, tmp_path):
+    docs, at = odd.drop("score"), f"file://{tmp_path}"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([("1", "the cat sat on the mat with the other cats")], "item_id string, text string").write.parquet(f"{at}/benchmark.parquet")
+    assert P.quality_stage(spark, docs, at).count() == odd.count()
+    cleaned = P.decontamination_stage(spark, docs, at)
+    assert cleaned.columns == docs.columns and cleaned.where("text is null").count() == 0 and cleaned.where("text like '%the cat sat%'").count() == 0
