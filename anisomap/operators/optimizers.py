@@ -344,7 +344,7 @@ def path_frozen(
     if local_pair_mode not in ("direct", "geodesic") or direct_stress_mode not in ("none", "mds", "hinge"):
         raise ValueError("unknown mode")
     base, everything = P.allowed_pairs(dissim, weights), None
-    ids, _ = collect_pairs(base)
+    ids = np.sort(base.select(F.explode(F.array("src", "dst")).alias("id")).distinct().toPandas()["id"].to_numpy(np.int64))
     where = lambda p: O.PairArrays(np.searchsorted(ids, p["src"]), np.searchsorted(ids, p["dst"]), p["d"].to_numpy(float), p["w"].to_numpy(float))
     x0 = x = P.initial_embedding(ids, n_components, seed, init)
     if direct_stress_weight and direct_stress_mode != "none":

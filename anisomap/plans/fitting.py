@@ -13,6 +13,7 @@ from anisomap.operators import paths as H
 from anisomap.plans.inputs import event_transitions, graph, points, trade
 from anisomap.plans.pairing import all_pairs
 from anisomap.session import ship
+from anisomap.storage import written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,7 +25,8 @@ def _register(name, f):
 
 def geodesics(s, d):
     """Shortest paths between all points, over the whole neighbour graph."""
-    return H.shortest_paths(graph(s, d)).where("src <> dst").select("src", "dst", F.col("dist").alias("d"))
+    sp = H.shortest_paths(graph(s, d)).where("src <> dst").select("src", "dst", F.col("dist").alias("d"))
+    return written(sp, "geodesics")  # fits read it again and again
 
 
 def nations(s, d):
@@ -72,7 +74,6 @@ def velocity_map(s, d):
     from anisomap.operators import graph as G
     from anisomap.operators import pairs as P
     from anisomap.plans.inputs import cluster_edges, embedding, knn, labels, velocity
-    from anisomap.storage import written
 
     space, metric = embedding(s, d).withColumnRenamed("y", "x"), Randers(0.3)
     edges, used = G.velocity_directed_graph(space, velocity(s, d), k=10, alpha=0.5)
@@ -97,7 +98,6 @@ def hole_map(s, d):
     from anisomap.operators import evaluate as E
     from anisomap.operators import graph as G
     from anisomap.sources import synthetic as X
-    from anisomap.storage import written
 
     roll = written(X.swiss_roll(ship(s), 400, alpha=0.5, hole=(0.1, 0.9, 0.4, 0.6)), "roll")
     p = roll.where("not in_hole").select("id", "x", "w")
@@ -117,7 +117,6 @@ def time_map(s, d):
     from anisomap.operators import evaluate as E
     from anisomap.operators import graph as G
     from anisomap.plans.inputs import knn, times
-    from anisomap.storage import written
 
     edges = D.temporally_asymmetric(G.symmetrize(G.knn_edges(knn(s, d))), times(s, d), 0.2).select("src", "dst", "d")
     scaled = D.density_scaled(edges, 0.5, "symmetric").select("src", "dst", "d")
@@ -131,7 +130,6 @@ def sea_map(s, d):
     """From an archipelago and its current to an embedding of the ways between its points."""
     from anisomap.operators import evaluate as E
     from anisomap.sources import synthetic as X
-    from anisomap.storage import written
 
     p = X.archipelago(ship(s), 250)
     dissim = written(X.current_distances(p, support=X.archipelago_graph(p, 4)).where("src <> dst"), "dissim")
