@@ -66,10 +66,10 @@ def csv_append(s, d):
     return S.append_rows(a, table(s, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("kind")))
 
 
-@query("campaign_grid", "SELECT r_name AS a, n_name AS b, k FROM region, nation, (VALUES (5), (10)) t(k) WHERE n_nationkey < 4")
+@query("campaign_grid", "SELECT r_name AS a, n_name AS b, k FROM region, nation, (VALUES (5), (10)) t(k)")
 def campaign_grid(s, d):
     k = s.createDataFrame([(5,), (10,)], "k int")
-    return C.grid([table(s, d, "region").select(F.col("r_name").alias("a")), table(s, d, "nation").where("n_nationkey < 4").select(F.col("n_name").alias("b")), k])
+    return C.grid([table(s, d, "region").select(F.col("r_name").alias("a")), table(s, d, "nation").select(F.col("n_name").alias("b")), k])
 
 
 @query("iteration_tags", "SELECT p_partkey AS key, CASE WHEN p_partkey % 4 = 0 THEN -1 ELSE p_size END AS iteration, 'a' || CASE WHEN p_size % 2 = 0 THEN (p_size // 2)::VARCHAR ELSE replace((p_size / 2)::VARCHAR, '.', 'p') END AS tag, lpad(p_size::VARCHAR, 3, '0') AS code FROM part")
