@@ -49,3 +49,46 @@ SELECT source, lang, tokenizer_version, count(*)::BIGINT AS n_docs, sum(n)::BIGI
 """
 
 ORACLES: dict[str, str] = {"op10_warc": _OP10, "op3_decontamination": _OP3, "op7_minhash": _OP7, "token_counts_plain": _COUNTS}
+
+_OP12 = """
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, coalesce(quality = 1, false)::INT AS good, coalesce(toxic = 1, false)::INT AS bad,
+             (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::INT
+             + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS mask
+      FROM w LEFT JOIN l USING (doc_id)),
+h AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM m GROUP BY 1, 2),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+o(filter_order, bits) AS (SELECT '', 0 UNION ALL SELECT filter_order || f, bits + bit FROM o, f WHERE bits & bit = 0),
+s AS (SELECT filter_order, step, bit, (SELECT coalesce(sum(bit), 0)::INT FROM f WHERE contains(left(filter_order, step - 1), f.f)) AS before
+      FROM (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM o WHERE bits = 31) JOIN f ON f.f = filter_order[step]),
+r AS (SELECT part, filter_order, step, bit,
+             coalesce(sum(n) FILTER (mask & (bit | before) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS removed,
+             coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+             coalesce(sum(good) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS good_lost, coalesce(sum(bad) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS toxic_lost
+      FROM h, s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
+"""
+
+_OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format("coalesce(text, '')")} AS text FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+a AS (SELECT lang, source, term, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, 1 + ((1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v)::HUGEINT) AS p FROM a JOIN v USING (lang)),
+q AS (SELECT lang, term, 1 + ((1000000000::HUGEINT * (sum(n) + 5)) // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * any_value(v))::HUGEINT) AS q FROM a JOIN v USING (lang) GROUP BY 1, 2),
+pairs AS (SELECT x.lang, x.source, y.source AS item, coalesce(sum(abs(px.p - py.p)), 0)::BIGINT AS value
+          FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN p px ON px.lang = x.lang AND px.source = x.source
+          LEFT JOIN p py ON py.lang = y.lang AND py.source = y.source AND py.term = px.term GROUP BY 1, 2, 3),
+terms AS (SELECT lang, source, term AS item, (p - q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+both_parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM both_parts)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLES |= {"op12_filter_audit": _OP12, "op13_divergence": _OP13}

@@ -75,6 +75,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anisomap.llm.mixing import taken
+
+    return taken(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anisomap.llm.filteraudit import audit_filters
+
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anisomap.llm.divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
@@ -86,5 +104,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_language": op9_language,
     "op10_warc": op10_warc,
+    "op11_mixing": op11_mixing,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_divergence": op13_divergence,
     "token_counts_plain": token_counts_plain,
 }
