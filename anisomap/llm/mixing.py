@@ -140,9 +140,11 @@ def split_quotas(sources: DataFrame, shards: int, seed: int) -> DataFrame:
         room = upto(first + width // 2) - upto(first)
         start = F.struct(F.aggregate("visits", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), room.alias("m"), F.array().cast("array<long>").alias("left"))
 
-        def draw(a: Column, i: Column, level: int = level) -> Column:
+        chance = (F.lit(seed), F.lit(level), F.col("node"))
+
+        def draw(a: Column, i: Column) -> Column:
             k = F.element_at("visits", i + 1)
-            x = hypergeometric(a["n"], k, a["m"], _uniform(F.lit(seed), F.lit(level), F.col("node"), i))
+            x = hypergeometric(a["n"], k, a["m"], _uniform(*chance, i))  # noqa: B023  called at once
             return _let(x, lambda x: F.struct((a["n"] - k).alias("n"), (a["m"] - x).alias("m"), F.array_append(a["left"], x).alias("left")))
 
         left = F.aggregate(F.sequence(F.lit(0), F.size("visits") - 1), start, draw, lambda a: a["left"])
