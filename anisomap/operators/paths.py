@@ -1,53 +1,96 @@
 """Shortest paths over ``edges(src, dst, d)`` with non-negative weights; absent rows are unreachable.
 
-Two strategies. ``kernel``: edges of at most ``BROADCAST_EDGES`` are broadcast as compressed rows, and a heap search
-runs per source inside tasks. ``iterative``: rounds of joins and minima on DataFrames, for graphs of any size; every
-round is written to the shared folder.
+Two strategies. ``kernel``: edges of at most ``BROADCAST_EDGES`` are broadcast as compressed rows, and tasks search from
+one source after the other. ``iterative``: a frontier of changed rows meets the edges, bucket after bucket of distances, for
+graphs of any size; all state is in the shared folder.
+
+Both give the same: of ways of equal length the one of fewest edges counts, and of those the one whose last vertex
+before the end has the smallest id. So predecessors form trees, zero weights and ties included, and walks along them end.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anisomap.operators.graph import reverse
 from anisomap.session import ship
-from anisomap.storage import written
+from anisomap.storage import drop, written, written_with
 
-#: 16 bytes an edge: at most some 80 MB are broadcast.
+#: 24 bytes an edge: at most some 120 MB are broadcast.
 BROADCAST_EDGES = 5_000_000
+#: Edges of a walk after which it is held against the number of vertices.
+LONG = 64
 
 
 class Rows:
-    """A graph as compressed rows over its sorted ids."""
+    """A graph as edges sorted by tail and head, over its sorted ids; edges of the same ends must not repeat."""
 
     def __init__(self, src: np.ndarray, dst: np.ndarray, d: np.ndarray):
         self.ids = np.unique(np.concatenate([src, dst]))
         order = np.lexsort((dst, src))
-        self.heads = np.searchsorted(self.ids, dst[order])
-        self.weights = d[order].astype(np.float64)
-        self.begin = np.searchsorted(np.searchsorted(self.ids, src[order]), np.arange(len(self.ids) + 1))
-
-    def dijkstra(self, source: int) -> tuple[np.ndarray, np.ndarray]:
-        """(distance, predecessor) of every node; infinite and -1 where none is. Ties keep the first found."""
-        dist, pred = np.full(len(self.ids), np.inf), np.full(len(self.ids), -1)
-        begin, heads, weights = self.begin.tolist(), self.heads, self.weights
-        dist[source], heap, done = 0.0, [(0.0, source)], np.zeros(len(self.ids), bool)
-        while heap:
-            d, u = heapq.heappop(heap)
-            if done[u]:
-                continue
-            done[u] = True
-            for v, w in zip(heads[begin[u] : begin[u + 1]].tolist(), weights[begin[u] : begin[u + 1]].tolist(), strict=True):
-                if d + w < dist[v]:
-                    dist[v], pred[v] = d + w, u
-                    heapq.heappush(heap, (d + w, v))
-        return dist, pred
+        self.tail, self.head = np.searchsorted(self.ids, src[order]), np.searchsorted(self.ids, dst[order])
+        self.weight = d[order].astype(np.float64)
+        self.begin = np.searchsorted(self.tail, np.arange(len(self.ids) + 1))
+        self.width = 1.5 * float(self.weight.mean()) if len(self.weight) else 0.0
+
+    def _out_of(self, nodes: np.ndarray) -> np.ndarray:
+        """Edges out of nodes, as places."""
+        first, size = self.begin[nodes], self.begin[nodes + 1] - self.begin[nodes]
+        return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+    def distances(self, source: int) -> np.ndarray:
+        """Lengths of shortest ways; nodes that changed are expanded, those of the nearest bucket first."""
+        dist = np.full(len(self.ids), np.inf)
+        dist[source], near, far, end = 0.0, np.array([source]), [], self.width
+        while len(near):
+            while len(near):
+                e = self._out_of(near)
+                head, d = self.head[e], dist[self.tail[e]] + self.weight[e]
+                better = d < dist[head]
+                head = head[better]
+                np.minimum.at(dist, head, d[better])
+                head = np.unique(head)
+                inside = dist[head] < end
+                near = head[inside]
+                far.append(head[~inside])
+            far = np.unique(np.concatenate(far))
+            far = far[dist[far] >= end]
+            if len(far):
+                end = max(dist[far].min() + self.width, np.nextafter(dist[far].min(), np.inf))
+                near = far[dist[far] < end]
+            far = [far[dist[far] >= end]]
+        return dist
+
+    def search(self, source: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distance, edges, predecessor) of every node; infinite, -1 and -1 where there is no way."""
+        dist = self.distances(source)
+        reached = np.isfinite(dist)
+        tight = np.flatnonzero((dist[self.tail] + self.weight == dist[self.head]) & reached[self.head] & (self.head != source))
+        tail, head = self.tail[tight], self.head[tight]
+        hops, pred = np.full(len(dist), -1, np.int32), np.full(len(dist), -1)
+        hops[source] = 0
+        if len(head) == reached.sum() - 1:
+            # One way to every node: the walks back are counted by doubling their length.
+            pred[head] = tail
+            up, depth = np.where(pred < 0, np.arange(len(dist)), pred), (pred >= 0).astype(np.int32)
+            while (up[up] != up).any():
+                depth, up = depth + depth[up], up[up]
+            return dist, np.where(reached, depth, -1).astype(np.int32), pred
+        level = 0
+        while len(head):
+            on = hops[tail] == level
+            to, order = head[on], np.lexsort((tail[on], head[on]))
+            to, first = np.unique(to[order], return_index=True)
+            hops[to], pred[to] = level + 1, tail[on][order][first]
+            level += 1
+            left = hops[head] < 0
+            tail, head = tail[left], head[left]
+        return dist, hops, pred
 
 
 def collect_rows(edges: DataFrame) -> Rows:
@@ -56,19 +99,24 @@ def collect_rows(edges: DataFrame) -> Rows:
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame | None = None, directed: bool = True, strategy: str | None = None) -> DataFrame:
-    """sp(src, dst, dist, pred) from each source (default: all nodes); pred is NULL at the source itself."""
+    """sp(src, dst, dist, pred, hops) from each source (default: all nodes); pred is NULL at the source itself.
+
+    hops are the edges of the way. Edges with a null, NaN or infinite weight are none; of repeated ones the shortest counts.
+    """
     if strategy not in (None, "kernel", "iterative"):
         raise ValueError("strategy is kernel or iterative")
     ship(edges.sparkSession)
     edges = edges.select("src", "dst", "d").where("d is not null and not isnan(d) and d < double('infinity')")
     if not directed:
         edges = edges.unionByName(reverse(edges))
+    edges = edges.groupBy("src", "dst").agg(F.min("d").alias("d"))
+    edges, (n, least, most) = written_with(edges, "steps", F.min("d"), F.max("d"))
+    if n and least < 0:
+        raise ValueError("weights must not be negative")
     sources = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct() if sources is None else sources.select("id").distinct()
     if strategy is None:
-        strategy = "kernel" if edges.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES else "iterative"
-    if edges.where("d < 0").limit(1).count():
-        raise ValueError("weights must not be negative")
-    return _by_kernel(edges, sources) if strategy == "kernel" else bellman_ford(edges, sources)
+        strategy = "kernel" if n <= BROADCAST_EDGES else "iterative"
+    return _by_kernel(edges, sources) if strategy == "kernel" else _by_frontier(edges, sources, None, most)
 
 
 def _by_kernel(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -77,43 +125,96 @@ def _by_kernel(edges: DataFrame, sources: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = held.value
         for batch in batches:
-            for s in batch["id"]:
-                at = int(np.searchsorted(g.ids, s))
-                if at == len(g.ids) or g.ids[at] != s:
-                    yield pd.DataFrame({"src": [s], "dst": [s], "dist": [0.0], "pred": pd.array([None], "Int64")})
-                    continue
-                dist, pred = g.dijkstra(at)
-                ok = np.isfinite(dist)
-                before = pd.array(np.where(pred[ok] >= 0, g.ids[pred[ok]], 0), "Int64")
-                before[pred[ok] < 0] = None
-                yield pd.DataFrame({"src": s, "dst": g.ids[ok], "dist": dist[ok], "pred": before})
+            ids = batch["id"].to_numpy(np.int64)
+            known = np.isin(ids, g.ids)
+            for s in ids[~known]:
+                yield pd.DataFrame({"src": [s], "dst": [s], "dist": [0.0], "pred": pd.array([None], "Int64"), "hops": np.zeros(1, np.int32)})
+            for at in np.searchsorted(g.ids, ids[known]):
+                dist, hops, pred = g.search(at)
+                to = np.flatnonzero(hops >= 0)
+                before, none = pred[to], pred[to] < 0
+                yield pd.DataFrame({"src": g.ids[at], "dst": g.ids[to], "dist": dist[to], "pred": pd.arrays.IntegerArray(g.ids[np.where(none, 0, before)], none), "hops": hops[to]})
 
     spread = sources.repartition(sources.sparkSession.sparkContext.defaultParallelism)
-    return spread.mapInPandas(run, "src long, dst long, dist double, pred long")
+    return spread.mapInPandas(run, "src long, dst long, dist double, pred long, hops int")
 
 
 def bellman_ford(edges: DataFrame, sources: DataFrame, hops: int | None = None) -> DataFrame:
-    """sp(src, dst, dist, pred) of paths of at most ``hops`` edges, or of any number."""
+    """sp(src, dst, dist, pred, hops) of paths of at most ``hops`` edges, or of any number."""
+    steps = edges.groupBy("src", "dst").agg(F.min("d").alias("d"))
+    steps, (_, most) = written_with(steps, "steps", F.max("d"))
+    return _by_frontier(steps, sources.select("id").distinct(), hops, most)
+
+
+def _label() -> Column:
+    """What the least of counts: length, edges, id of the vertex before."""
+    return F.struct("dist", "hops", "pred")
+
+
+def _least(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("src", "dst").agg(F.min(_label()).alias("m")).select("src", "dst", "m.dist", "m.hops", "m.pred")
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _by_frontier(steps: DataFrame, sources: DataFrame, hops: int | None, width: float | None) -> DataFrame:
+    """Rows that changed meet the edges, until none is left; with no bound on hops, in buckets of distances of ``width``.
+
+    What a round changes is a table of its own: tables are merged when they outgrow the oldest one, so a row is written
+    again a logarithmic number of times. When a bucket has no changes left, its rows are final and set aside. Candidates
+    are held against the rows of their own keys only.
+    """
     none = F.lit(None).cast("long")
-    now = written(sources.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("dist"), none.alias("pred")), "paths")
-    steps = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), "d")
-    seen, turn = None, 0
-    while hops is None or turn < hops:
-        longer = now.join(steps, now["dst"] == steps["u"]).select("src", F.col("v").alias("dst"), (F.col("dist") + F.col("d")).alias("dist"), F.col("u").alias("pred"))
-        best = now.unionByName(longer).groupBy("src", "dst").agg(F.min(F.struct("dist", "pred")).alias("m"))
-        now = written(best.select("src", "dst", "m.dist", "m.pred"), "paths")
-        row = now.agg(F.count("*"), F.sum("dist")).first()
+    start = sources.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), none.alias("pred"))
+    frontier, (n,) = written_with(start, "paths")
+    done, live, sizes = [], [frontier], [n]
+    buckets = hops is None and bool(width)
+    end, turn = (width if buckets else float("inf")), 0
+    while n and (hops is None or turn < hops):
         turn += 1
-        if seen == tuple(row):
-            break
-        seen = tuple(row)
-    return now
+        longer = frontier.alias("f").join(steps.alias("s"), F.col("f.dst") == F.col("s.src"))
+        longer = longer.select("f.src", "s.dst", (F.col("f.dist") + F.col("s.d")).alias("dist"), (F.col("f.hops") + 1).alias("hops"), F.col("f.dst").alias("pred"))
+        found = written(_least(longer), "found")
+        known = _least(_all(done + live).join(found.select("src", "dst"), ["src", "dst"], "left_semi")).select("src", "dst", _label().alias("old"))
+        better = found.join(known, ["src", "dst"], "left").where(F.col("old").isNull() | (_label() < F.col("old"))).drop("old")
+        new, (count, n) = written_with(better, "paths", F.count_if(F.col("dist") < end))
+        drop(found)
+        frontier = new.where(F.col("dist") < end)
+        if len(live) > 1 and sum(sizes[1:]) > sizes[0]:
+            out, (size,) = written_with(_least(_all(live)), "paths")
+            for t in live:
+                drop(t)
+            live, sizes = [out], [size]
+        if count:
+            live, sizes = [*live, new], [*sizes, count]
+        if not n and buckets:
+            out = written(_least(_all(live)), "paths")
+            for t in live:
+                drop(t)
+            done.append(written(out.where(F.col("dist") < end), "done"))
+            rest, (size, least) = written_with(out.where(F.col("dist") >= end), "paths", F.min("dist"))
+            drop(out)
+            live, sizes, n = [rest], [size], size
+            if size:
+                end = max((least // width + 1) * width, float(np.nextafter(least, np.inf)))
+                frontier = rest.where(F.col("dist") < end)
+            if len(done) > 16:
+                merged = written(_all(done), "done")
+                for t in done:
+                    drop(t)
+                done = [merged]
+    return _all([*done, _least(_all(live))])
 
 
 def soft_bellman_ford(edges: DataFrame, sources: DataFrame, beta: float, rounds: int) -> DataFrame:
     """(src, dst, dist): synchronous rounds of soft minima over keeping and all incoming edges; a source's own is 0."""
     now = written(sources.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("dist")), "soft")
-    steps = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), "d")
+    steps = written(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), "d"), "steps")
     for _ in range(rounds):
         longer = now.join(steps, now["dst"] == steps["u"]).select("src", F.col("v").alias("dst"), (F.col("dist") + F.col("d")).alias("dist"))
         both = now.unionByName(longer)
@@ -158,12 +259,19 @@ def soft_floyd_warshall_pullback(kept: list[np.ndarray], grad: np.ndarray) -> np
 
 
 def path_table(sp: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(src, dst, hop, tail, head): edges of the paths of ``pairs(src, dst)``; hop 1 is the first edge."""
+    """(src, dst, hop, tail, head): edges of the paths of ``pairs(src, dst)``; hop 1 is the first edge.
+
+    Raises if predecessors of another origin than ``shortest_paths`` go round in circles.
+    """
     before = sp.where("pred is not null").select("src", F.col("dst").alias("head"), F.col("pred").alias("tail"))
     wanted = pairs.select("src", "dst").distinct()
     now = wanted.withColumn("at", F.col("dst"))
-    out, depth = None, 0
+    out, depth, most = None, 0, None
     while True:
+        if depth == LONG:
+            most = sp.groupBy("src").count().agg(F.max("count")).first()[0]
+        if most is not None and depth > most:
+            raise ValueError("the predecessors go round in circles")
         step = now.join(before, (now["src"] == before["src"]) & (now["at"] == before["head"])).select(now["src"], "dst", "tail", "head")
         step = written(step.withColumn("back", F.lit(depth)), "path")
         if step.isEmpty():
