@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from anisomap.functions.metrics import Metric, Randers
 from anisomap.operators import optimizers as opt
+from anisomap.operators.frozen import path_frozen
 
 
 def _smacof(dissim, metric, **options):
@@ -28,8 +29,8 @@ OPTIMIZERS: dict[str, Callable] = {
     "gd": opt.gradient_descent,
     "gradient_descent": opt.gradient_descent,
     "optimize_gradient_descent": opt.gradient_descent,
-    "path_frozen": opt.path_frozen,
-    "optimize_path_frozen": opt.path_frozen,
+    "path_frozen": path_frozen,
+    "optimize_path_frozen": path_frozen,
     "soft_bellman_ford": _soft("bellman_ford"),
     "relaxed_bellman_ford": _soft("bellman_ford"),
     "optimize_soft_bellman_ford": _soft("bellman_ford"),

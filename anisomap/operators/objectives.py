@@ -127,26 +127,6 @@ def direct_raw(x: np.ndarray, pairs: PairArrays, metric: Metric, margin: float |
     return float((pairs.w * gap * gap).sum()), g
 
 
-class FrozenPaths:
-    """Paths of pairs as positions in a list of distinct edges."""
-
-    def __init__(self, pairs: PairArrays, tail: np.ndarray, head: np.ndarray, pair_of: np.ndarray, edge_of: np.ndarray):
-        self.pairs, self.tail, self.head, self.pair_of, self.edge_of = pairs, tail, head, pair_of, edge_of
-
-    def raw(self, x: np.ndarray, metric: Metric) -> tuple[float, np.ndarray]:
-        u = x[self.head] - x[self.tail]
-        length = metric.length(u)
-        if not np.isfinite(length).all():
-            raise ValueError("a path has a forbidden edge")
-        gap = np.bincount(self.pair_of, length[self.edge_of], len(self.pairs)) - self.pairs.d
-        adjoint = np.bincount(self.edge_of, (2 * self.pairs.w * gap)[self.pair_of], len(self.tail))
-        pull = adjoint[:, None] * metric.grad(u)
-        g = np.zeros_like(x)
-        np.add.at(g, self.head, pull)
-        np.add.at(g, self.tail, -pull)
-        return float((self.pairs.w * gap * gap).sum()), g
-
-
 def normalize(raw: float, g: np.ndarray, denom: float) -> tuple[float, np.ndarray]:
     """sqrt(raw / denom) and its gradient."""
     if denom <= 0:

@@ -6,7 +6,6 @@ per evaluation would cost more than the evaluation. Beyond that every evaluation
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -19,7 +18,8 @@ from anisomap.functions.metrics import Metric, Randers
 from anisomap.operators import objectives as O
 from anisomap.operators import pairs as P
 from anisomap.operators.fuzzy import curve_parameters, directed_fuzzy_graph, epochs_per_sample, spectral_start
-from anisomap.operators.paths import Rows, soft_floyd_warshall, soft_floyd_warshall_pullback
+from anisomap.operators.paths import soft_floyd_warshall, soft_floyd_warshall_pullback
+from anisomap.operators.support import knn_support
 from anisomap.session import ship
 
 LOCAL_PAIRS = 2_000_000
@@ -265,130 +265,6 @@ def _gmres(a: np.ndarray, b: np.ndarray, x: np.ndarray, tol: float = 1e-10, rest
     return x
 
 
-def knn_support(x: np.ndarray, k: int, connected: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(tail, head) of the symmetric k-nearest-neighbour graph of a small embedding, linked up by closest pairs."""
-    n, k = len(x), min(k, len(x) - 1)
-    square = (x * x).sum(1)
-    near = []
-    for i in range(0, n, 1024):
-        d = square - 2 * x[i : i + 1024] @ x.T
-        d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
-        near.append(np.argpartition(d, k - 1, 1)[:, :k])
-    tail, head = np.repeat(np.arange(n), k), np.concatenate(near).ravel()
-    edges = np.unique(np.concatenate([tail * n + head, head * n + tail]))
-    tail, head = edges // n, edges % n
-    while connected:
-        part = _parts(n, tail, head)
-        if part.max(initial=0) == 0:
-            break
-        inside, outside = np.flatnonzero(part == 0), np.flatnonzero(part != 0)
-        d = square[inside, None] + square[outside] - 2 * x[inside] @ x[outside].T
-        a, b = np.unravel_index(d.argmin(), d.shape)
-        tail, head = np.append(tail, [inside[a], outside[b]]), np.append(head, [outside[b], inside[a]])
-    return tail, head
-
-
-def _parts(n: int, tail: np.ndarray, head: np.ndarray) -> np.ndarray:
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, tail, label[head])
-        new = new[new]
-        if (new == label).all():
-            return np.unique(label, return_inverse=True)[1]
-        label = new
-
-
-def freeze(x: np.ndarray, pairs: O.PairArrays, metric: Metric, k: int) -> O.FrozenPaths:
-    """Shortest paths of the active pairs on the embedding's own graph; raises if a pair is unreachable."""
-    tail, head = knn_support(x, k)
-    length = metric.length(x[head] - x[tail])
-    ok = np.isfinite(length)
-    g = Rows(tail[ok], head[ok], length[ok])
-    edges: dict[tuple[int, int], int] = {}
-    pair_of, edge_of = [], []
-    order = np.argsort(pairs.src, kind="stable")
-    for s, group in zip(*_groups(pairs.src[order], order), strict=True):
-        at = int(np.searchsorted(g.ids, s))
-        dist, pred = g.dijkstra(at)
-        for i in group:
-            v = int(np.searchsorted(g.ids, pairs.dst[i]))
-            if not np.isfinite(dist[v]):
-                raise ValueError("an active pair is unreachable")
-            while v != at:
-                u = int(pred[v])
-                pair_of.append(i)
-                edge_of.append(edges.setdefault((int(g.ids[u]), int(g.ids[v])), len(edges)))
-                v = u
-    e = np.array(list(edges), np.int64).reshape(-1, 2)
-    return O.FrozenPaths(pairs, e[:, 0], e[:, 1], np.array(pair_of, np.int64), np.array(edge_of, np.int64))
-
-
-def _groups(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    own, at = np.unique(keys, return_index=True)
-    return own, np.split(values, at[1:])
-
-
-def path_frozen(
-    dissim: DataFrame, metric: Metric, n_components: int = 2, graph_neighbors: int = 10, outer_iter: int = 20, inner_iter: int = 5, eps: float = 1e-4,
-    n_local_pairs: int | None = None, local_pair_mode: str = "direct", n_landmark: int = 0, random_landmark_fraction: float = 1.0, resample: bool = True,
-    targets_per_landmark: int | None = None, local_weight: float = 1.0, local_global_reweighting: str = "count", direct_stress_weight: float = 0.0,
-    direct_stress_mode: str = "mds", direct_stress_margin: float = 0.5, outer_step_size: float = 1.0, weights: DataFrame | None = None,
-    init: np.ndarray | None = None, seed: int = 0, full_stress: bool = False,
-) -> Result:
-    """Alternates between freezing shortest paths on the embedding's graph and fitting the lengths of those paths.
-
-    The history has the seconds of optimization so far. With ``full_stress`` it also has the stress of all pairs on the
-    connected graph, at the steps that ``log_every`` gives and the last; their time does not count.
-    """
-    if local_pair_mode not in ("direct", "geodesic") or direct_stress_mode not in ("none", "mds", "hinge"):
-        raise ValueError("unknown mode")
-    base, everything = P.allowed_pairs(dissim, weights), None
-    ids = np.sort(base.select(F.explode(F.array("src", "dst")).alias("id")).distinct().toPandas()["id"].to_numpy(np.int64))
-    where = lambda p: O.PairArrays(np.searchsorted(ids, p["src"]), np.searchsorted(ids, p["dst"]), p["d"].to_numpy(float), p["w"].to_numpy(float))
-    x0 = x = P.initial_embedding(ids, n_components, seed, init)
-    if direct_stress_weight and direct_stress_mode != "none":
-        everything = collect_pairs(base)[1]
-    history, last, stochastic = [], None, bool(targets_per_landmark) or bool(n_landmark and resample)
-    groups, spent = None, 0.0
-    for outer in range(outer_iter):
-        began = time.monotonic()
-        if groups is None or stochastic:
-            turn = seed + (outer if resample else 0)
-            got = P.build_pairs(dissim, weights, n_local_pairs, n_landmark, targets_per_landmark, local_global_reweighting, local_weight, random_landmark_fraction, turn).toPandas()
-            direct = (got["grp"] == "local") & (local_pair_mode == "direct")
-            groups = where(got[direct]), where(got[~direct])
-        local, rest = groups
-        frozen = freeze(x, rest, metric, graph_neighbors)
-        margin = direct_stress_margin if direct_stress_mode == "hinge" else None
-        denom = local.denom + rest.denom + (direct_stress_weight * everything.denom * (margin or 1) ** 2 if everything else 0)
-
-        def objective(y, frozen=frozen, local=local, margin=margin, denom=denom):
-            raw, g = frozen.raw(y, metric)
-            if len(local):
-                r2, g2 = O.direct_raw(y, local, metric)
-                raw, g = raw + r2, g + g2
-            if everything is not None:
-                r3, g3 = O.direct_raw(y, everything, metric, margin)
-                raw, g = raw + direct_stress_weight * r3, g + direct_stress_weight * g3
-            return O.normalize(raw, g, denom)
-
-        best, s, _ = lbfgs(objective, x, inner_iter)
-        x = x + outer_step_size * (best - x)
-        done = not stochastic and last is not None and abs(1 - s / last) < eps
-        spent += time.monotonic() - began
-        history.append({"step": outer + 1, "stress": s, "elapsed": spent})
-        if full_stress and (done or outer + 1 == outer_iter or outer % log_every(outer_iter) == 0):
-            from anisomap.operators.evaluate import full_geodesic_stress
-
-            y = Result(ids, x, s).frame(dissim.sparkSession)
-            history[-1]["full_stress"] = full_geodesic_stress(base, y, metric, graph_neighbors).first()["normalized"]
-        if done:
-            break
-        last = s
-    return Result(ids, x, history[-1]["stress"] if history else float("nan"), history, x0)
-
-
 def soft_relaxations(n: int, tail: np.ndarray, head: np.ndarray, cost: np.ndarray, beta: float, rounds: int, sources: np.ndarray, target: Callable | None = None):
     """Soft distances of a batch of sources, (sources, nodes); with ``target`` (distances to gradient) also the edges' gradient."""
     d = np.full((len(sources), n), np.inf)

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def hash_order(seed: int, *columns: str) -> Column:
+def hash_order(seed: int | Column, *columns: str) -> Column:
     """A number in [0, 2^32) by integer arithmetic that other engines can repeat."""
-    h = F.lit(seed % (1 << 31)).cast("long")
+    h = (F.lit(seed % (1 << 31)) if isinstance(seed, int) else F.pmod(seed, F.lit(1 << 31))).cast("long")
     for c in columns:
         h = F.pmod(F.pmod(h * 31 + F.col(c), F.lit(1 << 31)) * F.lit(2654435761), F.lit(1 << 32))
     return h
@@ -87,11 +87,11 @@ def landmark_pairs(pairs: DataFrame, landmarks: DataFrame, local: DataFrame | No
     return p if local is None else p.join(local.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
-def sample_targets(pairs: DataFrame, m: int, seed: int = 0) -> DataFrame:
-    """At most m targets of each source, weights scaled by available / m so that sums stay unbiased."""
-    counts = pairs.groupBy("src").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("src").orderBy(hash_order(seed, "src", "dst"), "dst"))
-    kept = pairs.withColumn("_r", place).where(F.col("_r") <= m).join(counts, "src")
+def sample_targets(pairs: DataFrame, m: int, seed: int | Column = 0, keys: tuple[str, ...] = ("src",)) -> DataFrame:
+    """At most m targets of each source (or of other keys), weights scaled by available / m so that sums stay unbiased."""
+    counts = pairs.groupBy(*keys).agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(hash_order(seed, "src", "dst"), "dst"))
+    kept = pairs.withColumn("_r", place).where(F.col("_r") <= m).join(counts, list(keys))
     return kept.withColumn("w", F.col("w") * F.greatest(F.lit(1.0), F.col("n") / F.lit(float(m)))).drop("_r", "n")
 
 
@@ -108,18 +108,21 @@ def pair_totals(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count("*").alias("n_pairs"), F.countDistinct("src").alias("n_sources"), F.sum("w").alias("mass"), F.sum(F.col("w") * F.col("d") * F.col("d")).alias("denom"))
 
 
-def group_factors(local: DataFrame, rest: DataFrame, mode: str = "count", local_weight: float = 1.0) -> tuple[float, float]:
-    """(factor of the others, factor of local pairs): both groups scaled up to the larger mass."""
+def balance(local: dict | None, rest: dict, mode: str = "count", local_weight: float = 1.0) -> tuple[float, float]:
+    """(factor of the others, factor of local pairs) from both groups' ``pair_totals``: scaled up to the larger mass."""
     if mode not in ("none", "count", "energy"):
         raise ValueError("mode is none, count or energy")
     column = "denom" if mode == "energy" else "mass"
-    a, b = (pair_totals(g).first() for g in (local, rest))
-    if not a["n_pairs"]:
+    if local is None or not local["n_pairs"]:
         return 1.0, 1.0
-    if mode == "none" or not b["n_pairs"] or not a[column] or not b[column]:
+    if mode == "none" or not rest["n_pairs"] or not local[column] or not rest[column]:
         return 1.0, float(local_weight)
-    most = max(a[column], b[column])
-    return most / b[column], local_weight * most / a[column]
+    most = max(local[column], rest[column])
+    return most / rest[column], local_weight * most / local[column]
+
+
+def group_factors(local: DataFrame, rest: DataFrame, mode: str = "count", local_weight: float = 1.0) -> tuple[float, float]:
+    return balance(*(pair_totals(g).first().asDict() for g in (local, rest)), mode, local_weight)
 
 
 def reweighted(local: DataFrame, rest: DataFrame, mode: str = "count", local_weight: float = 1.0) -> DataFrame:
@@ -147,6 +150,38 @@ def build_pairs(
     return reweighted(local, rest.select("src", "dst", "d", "w"), mode, local_weight)
 
 
+def build_turns(
+    pairs: DataFrame, dissim: DataFrame, nodes: DataFrame, turns: list[int], local: DataFrame | None = None, n_landmarks: int = 0, targets: int | None = None, random_fraction: float = 1.0
+) -> DataFrame:
+    """(turn, src, dst, d, w): what ``build_pairs`` takes besides local pairs, for many seeds in one scan of the pairs."""
+    if n_landmarks:
+        marks = [select_landmarks(nodes, n_landmarks, t, random_fraction, dissim).select(F.col("id").alias("src"), F.lit(t).cast("long").alias("turn")) for t in turns]
+        rest = pairs.join(merge_pairs(*marks), "src")
+    else:
+        rest = pairs.withColumn("turn", F.explode(F.array(*[F.lit(t).cast("long") for t in turns])))
+    if local is not None:
+        rest = rest.join(local.select("src", "dst"), ["src", "dst"], "left_anti")
+    if targets:
+        rest = sample_targets(rest, targets, F.col("turn"), ("turn", "src"))
+    return rest.select("turn", "src", "dst", "d", "w")
+
+
+def goals_of_turns(sampled: DataFrame, local: DataFrame | None, turns: list[int]) -> tuple[DataFrame, dict[int, dict]]:
+    """Sampled pairs, and local ones if given, as a table of one row (turn, src, goals) a source; and each turn's ``pair_totals`` of sampled ones."""
+    from anisomap.storage import written
+
+    goal = lambda own: F.struct("dst", "d", "w", F.lit(own).alias("own")).alias("goal")
+    rows = sampled.select("turn", "src", goal(False))
+    if local is not None:
+        each = F.explode(F.array(*[F.lit(t).cast("long") for t in turns])).alias("turn")
+        rows = rows.unionByName(local.select(each, "src", goal(True)))
+    goals = written(rows.groupBy("turn", "src").agg(F.sort_array(F.collect_list("goal")).alias("goals")).sortWithinPartitions("turn", "src"), "goals")
+    others = goals.withColumn("goals", F.filter("goals", lambda g: ~g["own"]))
+    total = lambda f: F.sum(F.aggregate("goals", F.lit(0.0), lambda a, g: a + f(g)))
+    sums = others.groupBy("turn").agg(F.sum(F.size("goals")).alias("n_pairs"), total(lambda g: g["w"]).alias("mass"), total(lambda g: g["w"] * g["d"] * g["d"]).alias("denom"))
+    return goals, {r["turn"]: r.asDict() for r in sums.collect()}
+
+
 def cluster_weights(labels: DataFrame, rho: float = 0.5) -> DataFrame:
     """(id, w): (median cluster size / size)^rho; a pair weighs the product of its ends."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
