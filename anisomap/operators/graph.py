@@ -6,6 +6,7 @@ of the other side, and a task holds two blocks. Only the k nearest of a block (o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -54,30 +55,86 @@ def _k_best(row: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> np.ndarr
     return order[np.arange(len(order)) - np.searchsorted(row[order], row[order]) < k]
 
 
-def nearest_neighbors(points: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
-    """knn(src, rank, dist, dst): the k nearest other points, ties to the smaller id. A point is never its own neighbour."""
+def _k_nearest(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(src, dst, dist): the k nearest of others (in order of id) to each query, by exact distances, ties to the smaller id."""
+    square = (y * y).sum(1)
+    size = np.sqrt(square.max())
+    out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+    for at in range(0, len(ids), 512):
+        own = x[at : at + 512]
+        rough = square - 2 * own @ y.T
+        rough[ids[at : at + 512, None] == others] = np.inf
+        # The product is rounded: exact distances decide among all that can be within the k-th by its error.
+        error = 4 * (x.shape[1] + 4) * np.finfo(float).eps * size * (size + 2 * np.sqrt((own * own).sum(1)))
+        last = min(k, len(others)) - 1
+        bound = np.partition(rough, last, 1)[:, last] + 2 * error
+        row, col = np.nonzero((rough <= bound[:, None]) & np.isfinite(rough))
+        d = np.concatenate([np.zeros(0), *(_exact(own[row[i : i + PAIRS]], y[col[i : i + PAIRS]]) for i in range(0, len(row), PAIRS))])
+        best = _k_best(row, others[col], d, k)
+        for part, value in zip(out, (ids[at + row[best]], others[col[best]], d[best]), strict=True):
+            part.append(value)
+    return tuple(map(np.concatenate, out))
+
+
+def _nearest_by_cover(points: DataFrame, k: int, kernel: Callable, pivots: int | None = None, block: int = BLOCK, stretch: float = 1.0) -> DataFrame:
+    """(src, dst, dist): the k least of ``kernel`` (as ``_k_nearest``), which is at least ``stretch`` times the distance of the first columns.
+
+    The own block gives each point a bound, and only blocks that the bound reaches are compared. Of equal points only
+    the k + 1 smallest ids can be neighbours of others, so a point that very many rows have is no quadratic work.
+    """
+    from anisomap.operators.cover import compared, cover, fresh, vectors
+    from anisomap.storage import written
+
+    extra = [c for c in points.columns if c not in ("id", "x")]
+    c = cover(points, pivots, block)
+    table = written(c.table, "cover")
+    candidates = table.select("id", "x", "block")
+    if c.blocks > len(c.pivots):
+        place = F.row_number().over(Window.partitionBy("x").orderBy("id"))
+        candidates = written(candidates.withColumn("_r", place).where(F.col("_r") <= k + 1).drop("_r"), "candidates")
+
+    def own(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("id")
+        src, dst, dist = kernel(q, b["id"].to_numpy(), vectors(b["x"])) if len(q) and len(b) else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        order = np.lexsort((dst, dist, src))
+        src, dst, dist = src[order], dst[order], dist[order]
+        low, high = (np.searchsorted(src, q["id"].to_numpy(), side) for side in ("left", "right"))
+        bound = np.where(high - low >= k, dist[np.minimum(low + k, len(dist)) - 1] if len(dist) else 0.0, np.inf) / stretch
+        lists = {"dst": [dst[a:b] for a, b in zip(low, high, strict=True)], "dist": [dist[a:b] for a, b in zip(low, high, strict=True)]}
+        return q.assign(bound=bound, **lists)
+
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
+    found = table.groupBy("block").cogroup(fresh(candidates).groupBy("block")).applyInPandas(own, f"{kind}, bound double, dst array<long>, dist array<double>")
+    found = written(found, "own")
+
+    def further(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(b):
+            return pd.DataFrame({"src": [], "dst": [], "dist": []})
+        b = b.sort_values("id")
+        src, dst, dist = kernel(q, b["id"].to_numpy(), vectors(b["x"]))
+        order = np.argsort(q["id"].to_numpy())
+        near = dist <= (q["bound"].to_numpy() * stretch * (1 + 1e-12))[order[np.searchsorted(q["id"].to_numpy()[order], src)]]
+        return pd.DataFrame({"src": src[near], "dst": dst[near], "dist": dist[near]})
+
+    first = found.select(F.col("id").alias("src"), F.explode(F.arrays_zip("dst", "dist")).alias("n")).select("src", "n.dst", "n.dist")
+    if c.blocks > 1:
+        asking = found.select("id", "x", *extra, "block", "bound")
+        first = first.unionByName(compared(asking, c, further, "src long, dst long, dist double", k + 1, False, candidates))
+    place = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
+    return first.withColumn("rank", place).where(F.col("rank") <= k)
 
-    def found(ids, x, others, y):
-        square = (y * y).sum(1)
-        size = np.sqrt(square.max())
-        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
-        for at in range(0, len(ids), 512):
-            own = x[at : at + 512]
-            rough = square - 2 * own @ y.T
-            rough[ids[at : at + 512, None] == others] = np.inf
-            # The product is rounded: exact distances decide among all that can be within the k-th by its error.
-            error = 4 * (x.shape[1] + 4) * np.finfo(float).eps * size * (size + 2 * np.sqrt((own * own).sum(1)))
-            last = min(k, len(others)) - 1
-            bound = np.partition(rough, last, 1)[:, last] + 2 * error
-            row, col = np.nonzero((rough <= bound[:, None]) & np.isfinite(rough))
-            d = np.concatenate([np.zeros(0), *(_exact(own[row[i : i + PAIRS]], y[col[i : i + PAIRS]]) for i in range(0, len(row), PAIRS))])
-            best = _k_best(row, others[col], d, k)
-            for part, value in zip(out, (ids[at + row[best]], others[col[best]], d[best]), strict=True):
-                part.append(value)
-        return tuple(map(np.concatenate, out))
 
+def nearest_neighbors(points: DataFrame, k: int = 10, block: int = BLOCK, pivots: int | None = None) -> DataFrame:
+    """knn(src, rank, dist, dst): the k nearest other points, ties to the smaller id. A point is never its own neighbour.
+
+    More than two blocks of points are compared by a cover of pivots, which leaves out blocks that hold no neighbour.
+    """
+    if pivots or points.count() > 2 * block:
+        kernel = lambda q, others, y: _k_nearest(q["id"].to_numpy(), np.stack(q["x"].to_numpy()), others, y, k)
+        return _nearest_by_cover(points.select("id", "x"), k, kernel, pivots, block).select("src", "rank", "dst", "dist")
     place = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
-    return _in_blocks(points, found, block).withColumn("rank", place).where(F.col("rank") <= k).select("src", "rank", "dst", "dist")
+    found = _in_blocks(points, lambda ids, x, others, y: _k_nearest(ids, x, others, y, k), block)
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("src", "rank", "dst", "dist")
 
 
 def all_distances(points: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -91,20 +148,36 @@ def all_distances(points: DataFrame, block: int = BLOCK) -> DataFrame:
     return _in_blocks(points, found, block)
 
 
-def radius_graph(points: DataFrame, radius: float, block: int = BLOCK) -> DataFrame:
-    """edges(src, dst, d) between all points at most ``radius`` apart."""
+def _within(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    square, out = (y * y).sum(1), [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+    size = np.sqrt(square.max())
+    for at in range(0, len(ids), 512):
+        own = x[at : at + 512]
+        own_square = (own * own).sum(1)
+        error = 4 * (x.shape[1] + 4) * np.finfo(float).eps * (size + np.sqrt(own_square)) ** 2
+        rough = own_square[:, None] + square - 2 * own @ y.T
+        row, col = np.nonzero((rough <= (radius * radius + error)[:, None]) & (ids[at : at + 512, None] != others))
+        d = np.concatenate([np.zeros(0), *(_exact(own[row[i : i + PAIRS]], y[col[i : i + PAIRS]]) for i in range(0, len(row), PAIRS))])
+        ok = d <= radius
+        for part, value in zip(out, (ids[at + row[ok]], others[col[ok]], d[ok]), strict=True):
+            part.append(value)
+    return tuple(map(np.concatenate, out))
 
-    def found(ids, x, others, y):
-        src, dst, dist = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for i, row in zip(ids, x, strict=True):
-            d = _exact(row, y)
-            ok = (d <= radius) & (others != i)
-            src.append(np.full(ok.sum(), i))
-            dst.append(others[ok])
-            dist.append(d[ok])
-        return np.concatenate(src), np.concatenate(dst), np.concatenate(dist)
 
-    return _in_blocks(points, found, block).select("src", "dst", F.col("dist").alias("d"))
+def radius_graph(points: DataFrame, radius: float, block: int = BLOCK, pivots: int | None = None) -> DataFrame:
+    """edges(src, dst, d) between all points at most ``radius`` apart; blocks that the radius does not reach are not compared."""
+    from anisomap.operators.cover import compared, cover, vectors
+
+    if not pivots and points.count() <= 2 * block:
+        return _in_blocks(points, lambda ids, x, others, y: _within(ids, x, others, y, radius), block).select("src", "dst", F.col("dist").alias("d"))
+
+    def work(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(b):
+            return pd.DataFrame({"src": [], "dst": [], "d": []})
+        return pd.DataFrame(dict(zip(("src", "dst", "d"), _within(q["id"].to_numpy(), vectors(q["x"]), b["id"].to_numpy(), vectors(b["x"]), radius), strict=True)))
+
+    c = cover(points.select("id", "x"), pivots, block)
+    return compared(c.table.withColumn("bound", F.lit(float(radius))), c, work, "src long, dst long, d double")
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -168,32 +241,43 @@ def velocity_edges(points: DataFrame, velocity: DataFrame, support: DataFrame, a
     return edges.select("src", "dst", velocity_length(V.norm(u), V.cosine("v", u), alpha, formula, cos_clip).alias("d"))
 
 
-def velocity_finsler_knn(points: DataFrame, velocity: DataFrame, k: int, alpha: float = 1.0, formula: str = "exponential", cos_clip: float | None = None, block: int = BLOCK) -> DataFrame:
-    """(src, dst, d): per source the k targets that are nearest in the velocity's lengths."""
-    v = points.select("id", "x").join(velocity.select(F.col("id").alias("of"), "v"), F.col("id") == F.col("of")).select("id", F.concat("x", "v").alias("x"))
+def velocity_finsler_knn(points: DataFrame, velocity: DataFrame, k: int, alpha: float = 1.0, formula: str = "exponential", cos_clip: float | None = None, block: int = BLOCK, pivots: int | None = None) -> DataFrame:
+    """(src, dst, d): per source the k targets that are nearest in the velocity's lengths.
+
+    Such a length is at least a fixed share of the straight one, so that a cover of pivots leaves blocks out here too.
+    """
     clip, kind = 1.0 if cos_clip is None else cos_clip, FORMULAS[formula.lower()]
     velocity_length(F.lit(1.0), F.lit(0.0), alpha, formula, cos_clip)
 
+    low = math.exp(-abs(alpha) * clip) if kind == "exponential" else 1 - abs(alpha) * clip if kind == "randers" else 1 / (1 + abs(alpha) * clip)
+
     def found(ids, x, others, y):
-        d = x.shape[1] // 2
-        src, dst, dist = [], [], []
-        for i, row in zip(ids, x, strict=True):
-            u = y[:, :d] - row[:d]
-            length = np.sqrt((u * u).sum(1))
-            size = length * np.sqrt((row[d:] ** 2).sum())
-            c = np.where(size > V.EPS, (u @ row[d:]) / np.maximum(size, V.EPS), 0)
+        d, out = y.shape[1], [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        step = max(1, (1 << 22) // max(1, y.size))
+        for at in range(0, len(ids), step):
+            own, v = x[at : at + step, None, :d], x[at : at + step, d:]
+            u = y[None] - own
+            length = np.sqrt((u * u).sum(2))
+            size = length * np.sqrt((v * v).sum(1))[:, None]
+            c = np.where(size > V.EPS, np.einsum("ijk,ik->ij", u, v) / np.maximum(size, V.EPS), 0)
             c = np.clip(np.clip(c, -1, 1), -clip, clip)
             w = length * np.exp(-alpha * c) if kind == "exponential" else length * (1 - alpha * c) if kind == "randers" else length / (1 + alpha * c)
-            w[others == i] = np.inf
-            order = np.lexsort((others, w))[:k]
-            order = order[np.isfinite(w[order])]
-            src.append(np.full(len(order), i))
-            dst.append(others[order])
-            dist.append(w[order])
-        return np.concatenate(src), np.concatenate(dst), np.concatenate(dist)
+            w[ids[at : at + step, None] == others] = np.inf
+            last = min(k, len(others)) - 1
+            row, col = np.nonzero((w <= np.partition(w, last, 1)[:, last : last + 1]) & np.isfinite(w))
+            best = _k_best(row, others[col], w[row, col], k)
+            for part, value in zip(out, (ids[at + row[best]], others[col[best]], w[row[best], col[best]]), strict=True):
+                part.append(value)
+        return tuple(map(np.concatenate, out))
 
+    if low > 0 and (pivots or points.count() > 2 * block):
+        kernel = lambda q, others, y: found(q["id"].to_numpy(), np.hstack([np.stack(q["x"].to_numpy()), np.stack(q["v"].to_numpy())]), others, y)
+        table = points.select("id", "x").join(velocity.select("id", "v"), "id")
+        return _nearest_by_cover(table, k, kernel, pivots, block, low).select("src", "dst", F.col("dist").alias("d"))
+    v = points.select("id", "x").join(velocity.select(F.col("id").alias("of"), "v"), F.col("id") == F.col("of")).select("id", F.concat("x", "v").alias("x"))
     place = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
-    return _in_blocks(v, found, block).withColumn("rank", place).where(F.col("rank") <= k).select("src", "dst", F.col("dist").alias("d"))
+    dims = lambda y: y[:, : y.shape[1] // 2]
+    return _in_blocks(v, lambda ids, x, others, y: found(ids, x, others, dims(y)), block).withColumn("rank", place).where(F.col("rank") <= k).select("src", "dst", F.col("dist").alias("d"))
 
 
 def average_vectors(vectors: DataFrame, edges: DataFrame, include_self: bool = True, k: int | None = None, name: str = "v", dimensions: int | None = None) -> DataFrame:
