@@ -25,6 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,10 +34,12 @@ from anisomap.llm.common import written
 
 #: A-Z to a-z, and all other ASCII characters that are no letters to spaces; bytes above 127 stay.
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-#: Terms a task holds before it hands partial counts on; terms of a block; cells of a matrix; sources of a tile.
-HELD, BLOCK, CELLS, TILE = 200_000, 8192, 1 << 20, 512
+#: Terms a task holds before it hands partial counts on (some 200 MB); terms of a block; cells of a matrix; sources of a tile.
+HELD, BLOCK, CELLS, TILE = 1_000_000, 8192, 1 << 20, 512
+#: Rows that a scan looks at together.
+ROWS = 1 << 15
 LEAST_DOCUMENTS, SMOOTH, SCALE, TOP = 30, 5, 1000, 50
-PARTIAL = "lang string, term string, source string, document string, docs long, n long"
+PARTIAL = "lang string, term string, source string, document long, docs long, n long"
 KEPT = "lang string, term string, source string, n long, first long"
 FOUND = "lang string, source string, part string, item string, value long"
 
@@ -44,18 +48,33 @@ def terms(raw: bytes) -> list[bytes]:
     return raw.translate(_TERMS).split()
 
 
-def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _text(values: list[bytes]) -> pa.Array:
+    try:
+        return pa.array(values, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:  # bytes that are no UTF-8
+        return pa.array([v.decode("utf-8", "replace") for v in values], pa.string())
+
+
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Document frequencies and counts of a task's documents; the term '' stands for a source as such."""
-    held: dict[tuple[str, str], tuple[str | None, Counter, Counter]] = {}
+    held: dict[tuple[str, str], tuple[int | None, Counter, Counter]] = {}
 
-    def out() -> Iterator[pd.DataFrame]:
+    def out() -> Iterator[pa.RecordBatch]:
         for (lang, source), (document, docs, n) in held.items():
-            yield pd.DataFrame({"lang": lang, "term": [t.decode("utf-8", "replace") for t in n], "source": source, "document": document, "docs": [docs[t] for t in n], "n": list(n.values())})
+            names = list(n)
+            for low in range(0, len(names), ROWS):
+                part = names[low : low + ROWS]
+                size = len(part)
+                columns = [
+                    pa.repeat(pa.scalar(lang), size), _text(part), pa.repeat(pa.scalar(source), size), pa.repeat(pa.scalar(document, pa.int64()), size),
+                    pa.array([docs[t] for t in part], pa.int64()), pa.array([n[t] for t in part], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "term", "source", "document", "docs", "n"])
         held.clear()
 
     size = 0
     for rows in batches:
-        for lang, source, document, raw in rows.itertuples(index=False, name=None):
+        for lang, source, document, raw in zip(*(rows.column(c).to_pylist() for c in ("lang", "source", "document", "raw")), strict=True):
             own = held.get((lang, source))
             if own is None:
                 own = held[lang, source] = (document, Counter(), Counter({b"": 0}))
@@ -79,34 +98,57 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _runs(rows: pa.Table, *keys: str) -> np.ndarray:
+    """Where runs of equal keys begin, for columns of text."""
+    new = np.ones(rows.num_rows, bool)
+    same = [pc.equal(c.slice(1), c.slice(0, len(c) - 1)) for c in (rows.column(k).combine_chunks() for k in keys)]
+    if rows.num_rows > 1:
+        new[1:] = ~np.logical_and.reduce([np.asarray(x.to_numpy(zero_copy_only=False), bool) for x in same])
+    return np.flatnonzero(new)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches as tables of ``ROWS`` rows or more, as far as there are so many."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= ROWS:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held)
+
+
 def _scan_terms(least: int):
     """Runs of (lang, term, source): their counts, if the runs of (lang, term) together have ``least`` documents."""
 
-    def emit(rows: pd.DataFrame) -> pd.DataFrame:
-        at = _changes(rows["lang"].to_numpy(object), rows["term"].to_numpy(object))
-        size = np.diff(np.append(at, len(rows)))
-        docs = np.repeat(np.add.reduceat(rows["docs"].to_numpy(), at), size)
-        first = np.zeros(len(rows), np.int64)
+    def emit(runs: pa.Table) -> Iterator[pa.RecordBatch]:
+        at = _runs(runs, "lang", "term")
+        size = np.diff(np.append(at, runs.num_rows))
+        docs = np.repeat(np.add.reduceat(runs.column("docs").to_numpy(), at), size)
+        first = np.zeros(runs.num_rows, np.int64)
         first[at] = 1
-        word = (rows["term"] != "").to_numpy()
-        return rows.assign(first=first * word)[(docs >= least) | ~word][["lang", "term", "source", "n", "first"]]
+        word = np.asarray(pc.not_equal(runs.column("term"), "").to_numpy(), bool)
+        got = runs.select(["lang", "term", "source", "n"]).append_column("first", pa.array(first * word))
+        yield from got.filter(pa.array((docs >= least) | ~word)).to_batches()
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for rows in batches:
-            if not len(rows):
-                continue
-            rows = rows[["lang", "term", "source", "docs", "n"]]
-            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
-            at = _changes(*(rows[c].to_numpy(object) for c in ("lang", "term", "source")))
-            runs = rows.iloc[at].reset_index(drop=True)
-            runs["docs"], runs["n"] = (np.add.reduceat(rows[c].to_numpy(), at) for c in ("docs", "n"))
-            last = _changes(runs["lang"].to_numpy(object), runs["term"].to_numpy(object))[-1]
-            held = runs.iloc[last:]
+        for rows in _gathered(batches):
+            rows = rows.select(["lang", "term", "source", "docs", "n"])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            at = _runs(rows, "lang", "term", "source")
+            sums = {c: pa.array(np.add.reduceat(rows.column(c).to_numpy(), at)) for c in ("docs", "n")}
+            runs = rows.select(["lang", "term", "source"]).take(pa.array(at))
+            for c, v in sums.items():
+                runs = runs.append_column(c, v)
+            last = _runs(runs, "lang", "term")[-1]
+            held = runs.slice(last)
             if last:
-                yield emit(runs.iloc[:last])
+                yield from emit(runs.slice(0, last))
         if held is not None:
-            yield emit(held)
+            yield from emit(held)
 
     return scan
 
@@ -114,9 +156,9 @@ def _scan_terms(least: int):
 def kept_counts(documents: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """(lang, term, source, n, first) of kept terms where they occur, and the term '' for every (lang, source); first is 1 once a term."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = documents.select(text("lang").alias("lang"), text("source").alias("source"), F.col("doc_id").cast("string").alias("document"), text("text").cast("binary").alias("raw"))
-    dealt = rows.mapInPandas(_partial, PARTIAL).repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "document")
-    return dealt.mapInPandas(_scan_terms(least), KEPT)
+    rows = documents.select(text("lang").alias("lang"), text("source").alias("source"), F.col("doc_id").try_cast("long").alias("document"), text("text").cast("binary").alias("raw"))
+    dealt = rows.mapInArrow(_partial, PARTIAL).repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "document")
+    return dealt.mapInArrow(_scan_terms(least), KEPT)
 
 
 def scaled(count: np.ndarray, whole: np.ndarray) -> np.ndarray:

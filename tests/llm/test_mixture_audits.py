@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,13 +212,15 @@ def test_scans_in_small_steps(monkeypatch):
     """Partial counts handed on early, runs over batches, chunks of a block, and tiles of sources give the same sums."""
     r = np.random.default_rng(2)
     rows = [("en", f"s{r.integers(7)}", " ".join("abcdefgh"[i] * 2 for i in r.integers(0, 8, 12))) for _ in range(120)]
-    frame = pd.DataFrame([(g, s, str(i), t.encode()) for i, (g, s, t) in enumerate(rows)], columns=["lang", "source", "document", "raw"])
+    frame = pd.DataFrame([(g, s, i, t.encode()) for i, (g, s, t) in enumerate(rows)], columns=["lang", "source", "document", "raw"])
+    batch = lambda rows: pa.RecordBatch.from_pandas(rows, preserve_index=False)
     monkeypatch.setattr(D, "HELD", 5)
+    monkeypatch.setattr(D, "ROWS", 7)
     monkeypatch.setattr(D, "CELLS", 30)
     monkeypatch.setattr(D, "TILE", 3)
-    partial = pd.concat(D._partial(iter([frame[:50], frame[50:]]))).sort_values(["lang", "term", "source", "document"])
+    partial = pa.Table.from_batches(D._partial(iter([batch(frame[:50]), batch(frame[50:])]))).to_pandas().sort_values(["lang", "term", "source", "document"])
     assert len(partial) > 60
-    kept = pd.concat(D._scan_terms(3)(iter([partial[i : i + 4] for i in range(0, len(partial), 4)])))
+    kept = pa.Table.from_batches(D._scan_terms(3)(iter([batch(partial[i : i + 4]) for i in range(0, len(partial), 4)]))).to_pandas()
     sums = kept.groupby("source", as_index=False).n.sum().assign(lang="en", kind=0, term="", v=int(kept["first"].sum()))
     body = kept[kept.term != ""].assign(kind=1, v=0)
     found = []
