@@ -358,33 +358,15 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
-def connect_components(points: DataFrame, graph: DataFrame, block: int = BLOCK, rounds: int = 64) -> DataFrame:
-    """The graph with the closest pair between each component and the others, until it is connected."""
+def connect_components(points: DataFrame, graph: DataFrame, block: int = BLOCK, pivots: int | None = None) -> DataFrame:
+    """The graph with the closest pairs that connect its components: a shortest tree over them."""
+    from anisomap.operators.linking import part_links
     from anisomap.storage import written
 
-    for _ in range(rounds):
-        graph = written(graph, "graph")
-        parts = written(components(points, graph), "parts")
-        if parts.select("component").distinct().count() < 2:
-            return graph
-        tagged = points.join(parts, "id").select("id", F.concat(F.array(F.col("component").cast("double")), F.col("x")).alias("x"))
-
-        def found(ids, x, others, y):
-            src, dst, dist = [], [], []
-            for i, row in zip(ids, x, strict=True):
-                d = _exact(row[1:], y[:, 1:])
-                d[y[:, 0] == row[0]] = np.inf
-                j = int(np.lexsort((others, d))[0])
-                if np.isfinite(d[j]):
-                    src.append(i)
-                    dst.append(others[j])
-                    dist.append(d[j])
-            return np.array(src, np.int64), np.array(dst, np.int64), np.array(dist)
-
-        pairs = _in_blocks(tagged, found, block).join(parts.withColumnRenamed("id", "src"), "src")
-        link = pairs.groupBy("component").agg(F.min(F.struct("dist", "src", "dst")).alias("m")).select("m.src", "m.dst", F.col("m.dist").alias("d"))
-        graph = symmetrize(graph.unionByName(link))
-    raise RuntimeError("the graph could not be connected")
+    graph = written(graph, "graph")
+    links, rounds, _ = part_links(points, graph, None, pivots, block)
+    # Equal points have links of length 0, which stay.
+    return symmetrize(graph).unionByName(links).unionByName(reverse(links)).distinct() if rounds else graph
 
 
 #: Edges up to which strong components are found by one task's depth-first search.
@@ -564,48 +546,18 @@ def _clear_in_corridor(segments: list[tuple[float, float, float, float]], width:
     return clear
 
 
-def link_visible(points: DataFrame, graph: DataFrame, clear: Callable, base: str = "largest", block: int = BLOCK, rounds: int = 256) -> DataFrame:
-    """The graph with the nearest clear pair between one component and any other, again and again until it is connected.
+def link_visible(points: DataFrame, graph: DataFrame, clear: Callable, block: int = BLOCK, pivots: int | None = None) -> tuple[DataFrame, int]:
+    """(the graph with the nearest clear pairs that connect its components, the number of components that are left).
 
-    ``base``: the component that others are linked to, the largest (of equal ones that of the smaller id) or the one of
-    the smallest id. If no pair is clear, the graph stays in parts. A block of points against a block gives one pair.
+    The links are a shortest tree over the components, whichever of them one begins with. Components without a clear
+    pair stay apart.
     """
+    from anisomap.operators.linking import part_links
     from anisomap.storage import written
 
-    for _ in range(rounds):
-        graph = written(graph, "graph")
-        parts = written(components(points, graph), "parts")
-        sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
-        order = [F.desc("n"), "component"] if base == "largest" else ["component"]
-        first = sizes.orderBy(*order).limit(1).first()
-        if first is None or first["n"] == parts.count():
-            return graph
-        tagged = points.select("id", "x").join(parts, "id")
-        inner, outer = (tagged.where(c).select("id", "x") for c in (F.col("component") == first["component"], F.col("component") != first["component"]))
-
-        def found(ids, x, others, y):
-            best = (np.inf, 0, 0)
-            for i, row in sorted(zip(ids, x, strict=True), key=lambda r: r[0]):
-                d = _exact(row, y)
-                order = np.argsort(d, kind="stable")
-                for at in range(0, len(order), 256):
-                    near = order[at : at + 256]
-                    if d[near[0]] >= best[0]:
-                        break
-                    ok = near[clear(np.repeat(row[None], len(near), 0), y[near])]
-                    if len(ok):
-                        if d[ok[0]] < best[0]:
-                            best = (float(d[ok[0]]), i, others[ok[0]])
-                        break
-            keep = slice(0, int(np.isfinite(best[0])))
-            return np.array([best[1]], np.int64)[keep], np.array([best[2]], np.int64)[keep], np.array([best[0]])[keep]
-
-        link = _in_blocks(outer, found, block, queries=inner).orderBy("dist", "src", "dst").limit(1).select("src", "dst", F.col("dist").alias("d"))
-        link = written(link, "link")
-        if link.isEmpty():
-            return graph
-        graph = graph.unionByName(link).unionByName(reverse(link))
-    raise RuntimeError("the graph could not be connected")
+    graph = written(graph, "graph")
+    links, rounds, parts = part_links(points, graph, clear, pivots, block)
+    return graph.unionByName(links).unionByName(reverse(links)).distinct() if rounds else graph, parts
 
 
 def visible_edges(points: DataFrame, edges: DataFrame, obstacles: list[dict[str, float]], samples: int = 15, margin: float = 0.0) -> DataFrame:
@@ -624,8 +576,8 @@ def obstacle_graph(points: DataFrame, obstacles: list[dict[str, float]], k: int
     """
     candidates = symmetrize(knn_edges(nearest_neighbors(points, max(k, wide or max(8 * k, k + 80)))))
     seen = visible_edges(points, candidates, obstacles, samples)
-    graph = link_visible(points, seen, _clear_of_ellipses(obstacles, samples))
-    if components(points, graph).select("component").distinct().count() > 1:
+    graph, parts = link_visible(points, seen, _clear_of_ellipses(obstacles, samples))
+    if parts > 1:
         raise RuntimeError("some points cannot be linked around the obstacles; make these smaller or take more neighbours")
     return graph
 
@@ -658,4 +610,4 @@ def corridor_graph(points: DataFrame, segments: list[tuple[float, float, float,
     lone = points.select(F.col("id").alias("src")).join(kept.groupBy("src").agg(F.count("*").alias("n")), "src", "left").where(F.coalesce("n", F.lit(0)) < least)
     if not lone.isEmpty():
         raise RuntimeError(f"some points have fewer than {least} visible neighbours")
-    return link_visible(points, symmetrize(knn_edges(kept)), _clear_in_corridor(segments, width, samples), base="first")
+    return link_visible(points, symmetrize(knn_edges(kept)), _clear_in_corridor(segments, width, samples))[0]
