@@ -11,8 +11,6 @@ from the shortest contexts to the longest. What is held in memory is bounded, an
 that are met most, at most ``HEAD``, and the words that reach ``word_share`` of all tokens are looked up; all rarer ones
 are joined in.
 
-``train`` makes a bounded tree on the driver, as an automaton for texts outside of Spark; scores of tables do not use it.
-
 Null and empty texts consist of the end. Without training texts every symbol is equally likely and the base score is
 0. Repeated rows are counted and scored as often as they stand there.
 """
@@ -32,9 +30,9 @@ from anisomap.llm.common import fold, written
 
 DEPTH = 5
 END, BLANK = 0x0A, 0x20
-BLOCK_BYTES, SEGMENT = 1 << 20, 512
-#: Columns of the automaton: the commonest bytes, and one for all others.
-COLUMNS = 96
+BLOCK_BYTES = 1 << 20
+#: Counts that a task holds before it hands them on.
+HELD = 1 << 21
 #: Grams that workers look up; all others are joined in.
 HEAD = 1 << 19
 
@@ -101,13 +99,6 @@ def _streams(texts: list[str | None]) -> Iterator[tuple[slice, Stream]]:
             since, size = i + 1, 0
 
 
-def _add(held: list[tuple[np.ndarray, np.ndarray]], keys: np.ndarray, counts: np.ndarray, most: int = 1 << 21) -> None:
-    """Append sorted keys with counts; parts are merged when they are many."""
-    held.append((keys, counts))
-    if len(held) > 1 and sum(len(k) for k, _ in held) > most:
-        held[:] = [_merged(held)]
-
-
 def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
     order = np.argsort(keys, kind="stable")
@@ -116,10 +107,35 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[new], np.add.reduceat(counts, new) if len(new) else counts
 
 
+class _Held:
+    """Sorted keys with counts of one kind. Beyond ``HELD`` they are merged; what is still more than half of that goes on."""
+
+    def __init__(self, kind: int):
+        self.kind, self.parts, self.size = kind, [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[pd.DataFrame]:
+        self.parts.append((keys, counts))
+        self.size += len(keys)
+        if self.size > HELD:
+            self.parts = [_merged(self.parts)]
+            self.size = len(self.parts[0][0])
+            if self.size > HELD // 2:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pd.DataFrame]:
+        keys, counts = _merged(self.parts) if self.parts else (np.zeros(0, np.int64), np.zeros((0, 2)))
+        self.parts, self.size = [], 0
+        for at in range(0, len(keys), 1 << 17):
+            k, c = keys[at : at + (1 << 17)], counts[at : at + (1 << 17)].astype(np.int64)
+            yield pd.DataFrame({"kind": np.full(len(k), self.kind, np.int32), "key": k.astype(np.int64), "n": c[:, 0], "m": c[:, 1]})
+
+
 def _counting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of a partition's words (kind 0) and grams (kind 1): in training texts (n), and in all (m, of grams)."""
-    words: list = []
-    grams: list = []
+    """Counts of a partition's words (kind 0) and grams (kind 1): in training texts (n), and in all (m, of grams).
+
+    A key may come more than once: what a task holds is bounded, whatever the texts are.
+    """
+    words, grams = _Held(0), _Held(1)
     ends = 0
     for d in batches:
         learned = d["train"].to_numpy(bool)
@@ -128,20 +144,16 @@ def _counting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             starts, stops, text = s.units()
             real = (stops > starts) & train[text]
             keys, n = np.unique(s.word_hashes(starts[real], stops[real]).view(np.int64), return_counts=True)
-            _add(words, keys, np.stack([n, n], 1))
+            yield from words.add(keys, np.stack([n, n], 1))
             own, at = s.grams(), np.repeat(train, s.after - s.first)
             for part, weight in ((own[at], 1), (own[~at], 0)):
                 keys, m = np.unique(part, return_counts=True)
-                _add(grams, keys, np.stack([m * weight, m], 1))
+                yield from grams.add(keys, np.stack([m * weight, m], 1))
             ends += int(train.sum())
     if ends:
-        _add(words, np.array([END_KEY]), np.array([[ends, ends]]))
-    for kind, held in ((0, words), (1, grams)):
-        if held:
-            keys, counts = _merged(held)
-            for at in range(0, len(keys), 1 << 17):
-                k, c = keys[at : at + (1 << 17)], counts[at : at + (1 << 17)].astype(np.int64)
-                yield pd.DataFrame({"kind": np.full(len(k), kind, np.int32), "key": k.astype(np.int64), "n": c[:, 0], "m": c[:, 1]})
+        yield from words.add(np.array([END_KEY]), np.array([[ends, ends]]))
+    yield from words.rest()
+    yield from grams.rest()
 
 
 def counted(documents: DataFrame, train: Column) -> tuple[DataFrame, DataFrame]:
@@ -173,158 +185,6 @@ def gram_logs(grams: DataFrame, divergence: float) -> DataFrame:
     return logs.select("key", "m", F.log10("p").alias("log"))
 
 
-class SuffixTree:
-    """Kept contexts by length, and sorted (context, symbol) entries with counts; ``automaton`` makes the tables."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], totals: list[tuple[np.ndarray, np.ndarray]], divergence: float, states: int):
-        symbols = levels[0]
-        total = int(symbols[1].sum())
-        common = symbols[0][np.argsort(-symbols[1], kind="stable")][: COLUMNS - 1].astype(np.int64)
-        self.column = np.full(256, COLUMNS - 1, np.int64)
-        self.column[common] = np.arange(len(common))
-        self.rare = 256 - len(common)
-        # The root: counts smoothed so that unseen bytes have a share.
-        self.root = np.bincount(self.column[symbols[0].astype(np.int64)], symbols[1], COLUMNS) + 0.5
-        self.root[: len(common)] += 0.5
-        self.root /= self.root.sum()
-        self.contexts = [np.zeros(1, np.uint64)]
-        self.logs = [np.log10(self.root)[None].astype(np.float32)]
-        if not total:
-            self.root[:] = (1.0 / 256)
-            self.root[COLUMNS - 1] = self.rare / 256
-            self.logs = [np.log10(self.root)[None].astype(np.float32)]
-        dense, gain = [self.root[None].astype(np.float32)], [np.full(1, np.inf)]
-        for k in range(1, len(levels)):
-            contexts, occurs = totals[k]
-            keys, counts = levels[k]
-            # A context needs its suffix and its prefix as states.
-            mask = np.uint64((1 << 8 * (k - 1)) - 1)
-            up = self._find(k - 1, contexts & mask)
-            kept = (up >= 0) & (self._find(k - 1, contexts >> np.uint64(8)) >= 0)
-            contexts, occurs, up = contexts[kept], occurs[kept], up[kept]
-            own = np.searchsorted(contexts, keys >> np.uint64(8))
-            ok = own < len(contexts)
-            ok[ok] = contexts[own[ok]] == keys[ok] >> np.uint64(8)
-            own, counts, column = own[ok], counts[ok], self.column[(keys[ok] & np.uint64(255)).astype(np.int64)]
-            mixed = np.zeros((len(contexts), COLUMNS), np.float32)
-            np.add.at(mixed.ravel(), own * COLUMNS + column, counts)
-            seen = np.bincount(own, counts, len(contexts))
-            # The more symbols a context has, and the more of its counts are of rare ones, the more its suffix weighs.
-            novel = np.bincount(own, minlength=len(contexts)) + (occurs - seen)
-            kl = np.empty(len(contexts))
-            for at in range(0, len(contexts), 1 << 14):
-                own_rows = slice(at, at + (1 << 14))
-                below = dense[k - 1][up[own_rows]]
-                mixed[own_rows] += novel[own_rows, None].astype(np.float32) * below
-                mixed[own_rows] /= (seen + novel)[own_rows, None].astype(np.float32)
-                kl[own_rows] = (mixed[own_rows] * np.log(mixed[own_rows] / below)).sum(1)
-                flat = kl[own_rows] < divergence
-                # Those that diverge too little take their suffix's distribution; longer ones may still stand on them.
-                mixed[own_rows][flat] = below[flat]
-            self.contexts.append(contexts)
-            dense.append(mixed)
-            gain.append(np.where(kl < divergence, 0, kl * occurs / max(total, 1)))
-            self.logs.append(np.log10(mixed).astype(np.float32))
-        del dense
-        self._prune(gain, states)
-
-    def _find(self, k: int, contexts: np.ndarray) -> np.ndarray:
-        own = self.contexts[k]
-        at = np.minimum(np.searchsorted(own, contexts), max(len(own) - 1, 0))
-        return np.where(own[at] == contexts, at, -1) if len(own) else np.full(len(contexts), -1)
-
-    def _prune(self, gain: list[np.ndarray], states: int) -> None:
-        """Drop contexts that neither diverge nor have longer ones on them; then, while there are too many, those of least gain."""
-        least = 0.0
-        while True:
-            needed = [np.zeros(len(c), bool) for c in self.contexts]
-            needed[0][0] = True
-            for k in range(len(self.contexts) - 1, 0, -1):
-                keep = needed[k] | (gain[k] > least)
-                needed[k] = keep
-                mask = np.uint64((1 << 8 * (k - 1)) - 1)
-                needed[k - 1][self._find(k - 1, self.contexts[k][keep] & mask)] = True
-                needed[k - 1][self._find(k - 1, self.contexts[k][keep] >> np.uint64(8))] = True
-            if sum(int(x.sum()) for x in needed) <= states:
-                break
-            positive = np.concatenate([g[g > least] for g in gain[1:]])
-            least = max(float(np.quantile(positive, 0.1)), least * 1.01) if len(positive) else np.inf
-        self.contexts = [c[x] for c, x in zip(self.contexts, needed, strict=True)]
-        self.logs = [t[x] for t, x in zip(self.logs, needed, strict=True)]
-
-    def automaton(self) -> tuple[np.ndarray, np.ndarray]:
-        """(next state, log10 probability), both by state times COLUMNS plus column of the symbol."""
-        base = np.cumsum([0, *(len(c) for c in self.contexts)])
-        step = np.zeros((base[-1], COLUMNS), np.int32)
-        for k, contexts in enumerate(self.contexts):
-            if k:
-                mask = np.uint64((1 << 8 * (k - 1)) - 1)
-                step[base[k] : base[k + 1]] = step[base[k - 1] + self._find(k - 1, contexts & mask)]
-            if k + 1 < len(self.contexts) and len(self.contexts[k + 1]):
-                longer = self.contexts[k + 1]
-                column = self.column[(longer & np.uint64(255)).astype(np.int64)]
-                named = column < COLUMNS - 1  # rare bytes share a column and lead to no context of their own
-                step[(base[k] + self._find(k, longer >> np.uint64(8)))[named], column[named]] = (base[k + 1] + np.arange(len(longer)))[named]
-        logs = np.concatenate(self.logs)
-        logs[:, COLUMNS - 1] -= np.float32(np.log10(self.rare))
-        return step.ravel(), logs.ravel()
-
-
-class Model:
-    """The tree, frequent words with their counts, and the totals of the training texts."""
-
-    def __init__(self, tree: SuffixTree, words: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, texts: int):
-        self.tree, self.words, self.counts = tree, words, counts
-        self.tokens, self.distinct, self.texts = tokens, distinct, texts
-        self._tables = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_tables": None}
-
-    def symbol_logs(self, s: Stream) -> np.ndarray:
-        """log10 probability of every symbol; segments start from the state that the bytes before them lead to."""
-        if self._tables is None:
-            self._tables = self.tree.automaton()
-        step, logs = self._tables
-        n = len(s.symbols)
-        rows = -(-n // SEGMENT)
-        columns = np.full(rows * SEGMENT, self.tree.column[END], np.int32)
-        columns[:n] = self.tree.column[s.symbols]
-        by_time = np.ascontiguousarray(columns.reshape(rows, SEGMENT).T)
-        before = np.concatenate([np.full((DEPTH, 1), columns[0], np.int32), by_time[SEGMENT - DEPTH :, :-1]], 1)
-        state, out = np.zeros(rows, np.int32), np.empty((SEGMENT, rows), np.float32)
-        for t in range(-DEPTH, SEGMENT):
-            at = state * np.int32(COLUMNS) + (before[t + DEPTH] if t < 0 else by_time[t])
-            state = step.take(at)
-            if t >= 0:
-                logs.take(at, out=out[t])
-        return out.T.reshape(-1)[:n].astype(np.float64)
-
-
-def train(documents: DataFrame, share: float = 1e-6, divergence: float = 0.002, word_share: float = 5e-7, states: int = 100_000) -> tuple[Model, DataFrame]:
-    """A bounded model of all texts of ``documents``, and the table (key, n) of all their words' counts."""
-    words, grams = counted(documents, F.lit(True))
-    w, g = words.agg(F.sum("n"), F.count("*")).first(), grams.agg(F.sum("n")).first()
-    tokens, distinct, symbols = w[0] or 0, w[1], g[0] or 0
-    texts = (words.where(F.col("key") == int(END_KEY)).first() or (0, 0))[1]
-    frequent = words.where(F.col("n") >= max(1.0, word_share * tokens)).toPandas().sort_values("key")
-    levels, totals = [], []
-    for k in range(DEPTH + 1):
-        own = grams.groupBy(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")) if k < DEPTH else grams
-        context = F.shiftright("key", 8)
-        if k:
-            large = own.groupBy(context.alias("context")).agg(F.sum("n").alias("all")).where(F.col("all") >= share * symbols)
-            large = large.toPandas().sort_values("context")
-            entries = own.where(F.col("n") >= max(1.0, share * symbols / 8)).toPandas().sort_values("key")
-            totals.append((large["context"].to_numpy(np.int64).view(np.uint64), large["all"].to_numpy(np.int64)))
-        else:
-            entries = own.toPandas().sort_values("key")
-            totals.append((np.zeros(1, np.uint64), np.array([symbols])))
-        levels.append((entries["key"].to_numpy(np.int64).view(np.uint64), entries["n"].to_numpy(np.int64)))
-    tree = SuffixTree(levels, totals, divergence, states)
-    return Model(tree, frequent["key"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64), int(tokens), int(distinct), int(texts)), words
-
-
 class Lookup:
     """What workers hold to score texts: words and grams that are met most, in order of their keys."""
 

@@ -36,7 +36,8 @@ PLAIN = {"words_v1": lambda raw: len(raw.split()), "bytes_v1": len}
 def count_tokens(documents: DataFrame, versions: dict[str, tuple[str, str] | None]) -> DataFrame:
     """Every row of ``documents`` once for each version, with tokenizer_version and n_tokens.
 
-    ``versions``: name to (path of ranks, pattern), or None for a plain version.
+    ``versions``: name to (path of ranks, pattern), or None for a plain version. Counts are those of the vocabulary's
+    .json file: its special token counts once, wherever it stands in a text.
     """
     names, sources = list(versions), list(versions.values())
 
@@ -48,7 +49,7 @@ def count_tokens(documents: DataFrame, versions: dict[str, tuple[str, str] | Non
             for t in texts:
                 t = t if isinstance(t, str) else ""
                 raw = t.encode("utf-8", "surrogatepass")
-                out.append([plain(raw) if plain else len(e.encode_ordinary(t)) for plain, e in each])
+                out.append([plain(raw) if plain else len(encode(e, t)) for plain, e in each])
             yield pd.Series(out, dtype="object")
 
     documents = documents.drop("n_tokens", "tokenizer_version")

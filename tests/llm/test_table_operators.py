@@ -80,6 +80,17 @@ def test_counts_are_those_of_brute_force(spark, small):
     assert got == want
 
 
+def test_special_tokens_count_as_the_tokenizer_counts_them(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["mixed <|endoftext|> text", "<|endoftext|><|endoftext|>", "a<|endoftext|>", "<|endoftext", None, ""]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in C.count_tokens(docs, {"byte_bpe_50k": public_ranks()}).collect()}
+    assert got == {i: len(t.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(texts)}
+
+
 def test_commits(spark, odd, tmp_path):
     versions = {"words_v1": None}
     first = C.count_tokens(odd.select("doc_id", "source", "lang", "text"), versions)

@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -189,23 +190,31 @@ def test_held_out_scores_are_better_than_the_base(spark):
 
 
 def test_tree_is_a_distribution_of_the_longest_suffix(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet").limit(200)
-    model, _ = S.train(docs, share=1e-4)
-    step, logs = model.tree.automaton()
-    p = 10.0 ** logs.reshape(-1, S.COLUMNS).astype(float)
-    p[:, -1] *= model.tree.rare
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
-    stream = S.Stream(["The cat and the end", None])
-    each = model.symbol_logs(stream)
-    base = np.cumsum([0, *(len(c) for c in model.tree.contexts)])
-    for at in np.flatnonzero(stream.own):
-        for k in range(S.DEPTH, -1, -1):
-            context = sum(int(stream.symbols[at - 1 - j]) << 8 * j for j in range(k))
-            row = model.tree._find(k, np.array([context], np.uint64))[0] if k else 0
-            if row >= 0:
-                break
-        column = model.tree.column[stream.symbols[at]]
-        assert each[at] == pytest.approx(logs.reshape(-1, S.COLUMNS)[base[k] + row, column], abs=1e-5)
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(40)
+    texts = [r.text for r in docs.collect()]
+    p, streams = brute_model(texts, [True] * len(texts))
+    _, grams = S.counted(docs, F.lit(True))
+    rows = S.gram_logs(grams, 0.002).collect()
+    seen = {s[at - S.DEPTH : at + 1] for s in streams for at in range(S.DEPTH, len(s))}
+    assert len(rows) == len(seen) and sum(r.m for r in rows) == sum(len(s) - S.DEPTH for s in streams)
+    for r in rows:
+        gram = int(r.key).to_bytes(8, "big", signed=True)[-S.DEPTH - 1 :]
+        assert gram in seen and r.log == pytest.approx(np.log10(p(gram[:-1])[gram[-1]]), rel=1e-9)
+        assert p(gram[:-1]).sum() == pytest.approx(1)
+
+
+def test_counting_is_bounded(spark, monkeypatch):
+    """Letters by chance have a gram at every place: what a task holds is handed on, and sums are the same."""
+    r = np.random.default_rng(0)
+    texts = ["".join(map(chr, r.integers(33, 127, 3000))) + " end" for _ in range(30)]
+    frames = [pd.DataFrame({"text": texts[i : i + 3], "train": [True, False, True]}) for i in range(0, 30, 3)]
+    count = lambda: pd.concat(S._counting(iter(frames))).groupby(["kind", "key"])[["n", "m"]].sum()
+    want = count()
+    monkeypatch.setattr(S, "HELD", 5000)
+    monkeypatch.setattr(S, "BLOCK_BYTES", 4000)
+    parts = list(S._counting(iter(frames)))
+    assert len(parts) > 10 and max(map(len, parts)) < 5000 + 2 * 4000
+    assert count().equals(want)
 
 
 def test_scores_of_odd_rows(spark, odd):
@@ -218,8 +227,8 @@ def test_scores_of_odd_rows(spark, odd):
     assert none.train_tokens == 0 and none.base_score == 0 and none.score < 0
 
 
-def brute_scores(texts, train, divergence=0.002):
-    """Scores by dictionaries of all contexts, whatever their share."""
+def brute_model(texts, train, divergence=0.002):
+    """Distributions after all contexts, by dictionaries, and the texts' bytes."""
     streams = [bytes([S.END] * S.DEPTH) + b" ".join(tokens(t)[:-1]) + b"\n" for t in texts]
     counts = {}
     for s, own in zip(streams, train, strict=True):
@@ -240,11 +249,16 @@ def brute_scores(texts, train, divergence=0.002):
                 known[context] = mixed if (mixed * np.log(mixed / below)).sum() >= divergence else below
         return known[context]
 
+    return p, streams
+
+
+def brute_scores(texts, train):
+    p, streams = brute_model(texts, train)
     return [sum(np.log10(p(s[at - S.DEPTH : at])[s[at]]) for at in range(S.DEPTH, len(s))) for s in streams]
 
 
 def test_all_contexts_and_bytes_count_at_any_size(spark, monkeypatch):
-    # More than COLUMNS bytes, and contexts that are a small part of the text.
+    # Many bytes, and contexts that are a small part of the text.
     rows = [(i, " ".join(f"w{(i * 7 + j) % 23}" for j in range(60))) for i in range(40)]
     rows += [(100 + i, "".join(chr(c) for c in range(0x3B1, 0x3C9)) + " Ж" + "".join(chr(c) for c in range(0x430, 0x450)) + " qu!z") for i in range(6)]
     rows += [(200, None), (201, ""), (None, "été 12"), (202, bytes(range(0x21, 0x7F)).decode())]
