@@ -574,6 +574,9 @@ def obstacle_graph(points: DataFrame, obstacles: list[dict[str, float]], k: int
 
     Raises if some points cannot be linked.
     """
+    from anisomap.storage import written
+
+    points = written(points.select("id", "x"), "points")
     candidates = symmetrize(knn_edges(nearest_neighbors(points, max(k, wide or max(8 * k, k + 80)))))
     seen = visible_edges(points, candidates, obstacles, samples)
     graph, parts = link_visible(points, seen, _clear_of_ellipses(obstacles, samples))
@@ -587,6 +590,9 @@ def corridor_graph(points: DataFrame, segments: list[tuple[float, float, float,
 
     Candidates are the ``wide`` nearest points; a point that finds fewer than max(4, k // 2) among them raises.
     """
+    from anisomap.storage import written
+
+    points = written(points.select("id", "x"), "points")
     tree = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), s, strict=True)]) for s in segments])
     e = with_vectors(knn_edges(nearest_neighbors(points, wide or max(8 * k, k + 80))), points)
     ax, ay, bx, by = (F.get(c, F.lit(i)) for c in ("a", "b") for i in (0, 1))
@@ -603,8 +609,6 @@ def corridor_graph(points: DataFrame, segments: list[tuple[float, float, float,
 
     steps = F.array(*[F.lit(float(t)) for t in np.linspace(0, 1, samples)])
     inside = F.forall(steps, lambda t: near(ax + t * (bx - ax), ay + t * (by - ay)))
-    from anisomap.storage import written
-
     kept = written(neighbors_from_edges(e.where(inside).select("src", "dst", "d"), k), "corridor")
     least = max(4, k // 2)
     lone = points.select(F.col("id").alias("src")).join(kept.groupBy("src").agg(F.count("*").alias("n")), "src", "left").where(F.coalesce("n", F.lit(0)) < least)

@@ -22,6 +22,8 @@ from anisomap.storage import drop, written, written_with
 LINK = "part long, other long, src long, dst long, d double"
 #: Rows whose pairs are looked at together, pairs that a predicate is asked about at once.
 ROWS, ASKED = 64, 2048
+#: Links of a round that the driver follows; more are followed in Spark, with the same roots.
+FEW = 200_000
 
 
 def closest(q: pd.DataFrame, b: pd.DataFrame, clear: Callable | None, bounds: np.ndarray | None = None) -> pd.DataFrame:
@@ -73,6 +75,25 @@ def _best(links: DataFrame) -> DataFrame:
     return links.groupBy("part").agg(F.min(key).alias("m")).select("part", "m.other", "m.src", "m.dst", "m.d")
 
 
+def _roots(links: DataFrame, n: int) -> DataFrame:
+    """(id, root): the smallest part that each part is joined with; a few links are followed on the driver."""
+    ends = links.select("part", "other")
+    if n > FEW:
+        return connected_components(ends)
+    got = ends.toPandas().to_numpy(np.int64)
+    ids, at = np.unique(got, return_inverse=True)
+    a, b = at.reshape(got.shape).T
+    root = np.arange(len(ids))
+    while True:
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        np.minimum.at(new, b, root[a])
+        new = new[new]
+        if (new == root).all():
+            return links.sparkSession.createDataFrame(pd.DataFrame({"id": ids, "root": ids[root]}), "id long, root long")
+        root = new
+
+
 def _inner(marks: pd.DataFrame, largest: int, clear: Callable | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """The closest pairs of a block's parts, but for the largest part, in the block and with the pivots."""
 
@@ -94,16 +115,17 @@ def part_links(points: DataFrame, graph: DataFrame, clear: Callable | None = Non
     """
     from anisomap.operators.graph import components
 
-    c = cover(points.select("id", "x"), pivots, block)
-    table = written(c.table, "cover")
     parts = written(components(points, graph).withColumnRenamed("component", "part"), "parts")
-    found, rounds = [], 0
+    found, rounds, c = [], 0, None
     while True:
-        tagged = written(table.join(parts, "id"), "tagged")
-        sizes = tagged.groupBy("part").agg(F.count("*").alias("n"))
+        sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
         row = sizes.agg(F.count("*").alias("parts"), F.max(F.struct("n", -F.col("part"))).alias("m")).first()
         if row["parts"] < 2:
             break
+        if c is None:
+            c = cover(points.select("id", "x"), pivots, block)
+            table = written(c.table, "cover")
+        tagged = written(table.join(parts, "id"), "tagged")
         rounds += 1
         largest = -row["m"][1]
         marks = tagged.join(F.broadcast(points.sparkSession.createDataFrame(pd.DataFrame({"id": c.ids}), "id long")), "id").select("id", "x", "part").toPandas()
@@ -116,8 +138,7 @@ def part_links(points: DataFrame, graph: DataFrame, clear: Callable | None = Non
         if not n:
             break
         found.append(links)
-        joined = connected_components(links.select("part", "other"))
-        new = parts.join(joined.select(F.col("id").alias("part"), "root"), "part", "left").select("id", F.coalesce("root", "part").alias("part"))
+        new = parts.join(_roots(links, n).select(F.col("id").alias("part"), "root"), "part", "left").select("id", F.coalesce("root", "part").alias("part"))
         parts, last = written(new, "parts"), parts
         drop(last)
         drop(tagged)

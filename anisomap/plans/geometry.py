@@ -315,7 +315,7 @@ def pruned_forest(s, d):
     "reach(id, o) AS (SELECT id, id FROM pts UNION SELECT reach.id, dst FROM reach JOIN e1 ON o = src)", "comp AS MATERIALIZED (SELECT id, min(o) AS c FROM reach GROUP BY 1)",
     "cp AS MATERIALIZED (SELECT u.c AS a, v.c AS b, min(list_distance(p.x, q.x)) AS d, arg_min({'s': p.id, 't': q.id}, list_distance(p.x, q.x)) AS e FROM comp u JOIN pts p ON p.id = u.id JOIN comp v ON v.c <> u.c JOIN pts q ON q.id = v.id GROUP BY 1, 2)",
     """prim(n, seen, src, dst, d) AS (SELECT 1, [min(c)], NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE FROM comp UNION ALL SELECT n + 1, list_append(seen, m.b), m.e.s, m.e.t, m.d FROM
-      (SELECT n, any_value(seen) AS seen, arg_min({'b': b, 'e': e, 'd': d}, d) AS m FROM prim JOIN cp ON list_contains(seen, a) AND NOT list_contains(seen, b) GROUP BY n))""",
+      (SELECT n, any_value(seen) AS seen, arg_min({'b': cp.b, 'e': cp.e, 'd': cp.d}, cp.d) AS m FROM prim JOIN cp ON list_contains(seen, a) AND NOT list_contains(seen, b) GROUP BY n))""",
     body="SELECT src, dst, round(d, 6) AS d FROM (SELECT * FROM e1 UNION SELECT src, dst, d FROM prim WHERE src IS NOT NULL UNION SELECT dst, src, d FROM prim WHERE src IS NOT NULL)", recursive=True))
 def connected_graph(s, d):
     """The graph of the nearest neighbour of each point, with the links that connect it."""

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from anisomap.operators import graph as G
+from anisomap.operators import linking
 from anisomap.operators.linking import closest, part_links
 from tests.test_cover import points_of
 from tests.test_operators import edges
@@ -36,7 +37,8 @@ def parted(n, parts, seed=0):
 
 
 @pytest.mark.parametrize("pivots, block", [(None, 4096), (12, 40)])
-def test_links_are_a_shortest_tree(spark, pivots, block):
+def test_links_are_a_shortest_tree(spark, monkeypatch, pivots, block):
+    monkeypatch.setattr(linking, "FEW", 0 if pivots else 1000)
     x, part, rows = parted(260, 25)
     links, rounds, left = part_links(points_of(spark, x), edges(spark, rows), None, pivots, block)
     assert pairs(links) == tree(x, part)[0] and left == 1 and rounds <= 5
