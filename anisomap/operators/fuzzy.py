@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from anisomap.operators.spectral import leading, upright
+
 
 def directed_knn(dissim: DataFrame, k: int) -> DataFrame:
     """knn(src, rank, dst, dist): the k smallest finite outgoing dissimilarities with non-zero weight."""
@@ -100,14 +102,29 @@ def epochs_per_sample(p: DataFrame, epochs: int | None = None) -> DataFrame:
 
 
 def spectral_start(n: int, src: np.ndarray, dst: np.ndarray, p: np.ndarray, dimensions: int, seed: int = 0) -> np.ndarray:
-    """Smallest non-trivial eigenvectors of the normalized Laplacian, scaled to 10 and jittered; for graphs of a few thousand points."""
-    a = np.zeros((n, n))
-    a[src, dst] = p
-    a = np.maximum(a, a.T)
-    root = 1 / np.sqrt(np.maximum(a.sum(1), 1e-12))
-    _, vectors = np.linalg.eigh(np.eye(n) - root[:, None] * a * root[None])
-    y = vectors[:, 1 : dimensions + 1]
-    most = np.abs(y).max()
+    """Smallest non-trivial eigenvectors of the normalized Laplacian, scaled to 10 and jittered.
+
+    They are the leading ones of the normalized adjacency, found by products with its edges: no n x n numbers are held.
+    """
+    low, high = np.minimum(src, dst).astype(np.int64), np.maximum(src, dst).astype(np.int64)
+    keys, at = np.unique(low * n + high, return_inverse=True)
+    weight = np.zeros(len(keys))
+    np.maximum.at(weight, at, p)
+    low, high = keys // n, keys % n
+    loop = low == high
+    total = np.bincount(low, weight, n) + np.bincount(high[~loop], weight[~loop], n)
+    root = 1 / np.sqrt(np.maximum(total, 1e-12))
+    weight = weight * root[low] * root[high]
+
+    def product(y: np.ndarray) -> np.ndarray:
+        out = y.copy()  # shifted by 1, so that all eigenvalues are at least 0
+        for j in range(y.shape[1]):
+            out[:, j] += np.bincount(low, weight * y[high, j], n) + np.bincount(high[~loop], (weight * y[low, j])[~loop], n)
+        return out
+
+    _, vectors = leading(product, n, dimensions + 1, seed)
+    y = upright(vectors[:, 1 : dimensions + 1])
+    most = np.abs(y).max(initial=0)
     return y * (10 / most if most > 0 else 1) + np.random.default_rng(seed).normal(0, 1e-4, y.shape)
 
 

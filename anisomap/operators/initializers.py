@@ -11,21 +11,34 @@ from anisomap.functions import vectors as V
 from anisomap.operators.graph import symmetric_knn_graph
 from anisomap.operators.objectives import centered_gram
 from anisomap.operators.paths import shortest_paths
+from anisomap.operators.spectral import leading, table_product, upright
+from anisomap.storage import drop, written
+
+
+#: Points whose Gram matrix is collected; beyond, products with it are jobs.
+LOCAL_POINTS = 2000
 
 
 def from_gram(gram: DataFrame, dimensions: int) -> DataFrame:
     """(id, y): leading eigenvectors times the roots of their eigenvalues; signs so that the largest entry is positive.
 
-    For Gram matrices that fit on the driver (some thousand points).
+    The Gram matrix stays a table for more than ``LOCAL_POINTS`` points: its eigenvectors are found by products with
+    blocks of few vectors. No points have no rows.
     """
-    got = gram.toPandas()
-    ids = np.unique(got["src"])
-    m = np.zeros((len(ids),) * 2)
-    m[np.searchsorted(ids, got["src"]), np.searchsorted(ids, got["dst"])] = got["g"]
-    values, vectors = np.linalg.eigh((m + m.T) / 2)
-    y = vectors[:, ::-1][:, :dimensions] * np.sqrt(np.maximum(values[::-1][:dimensions], 0))
-    y *= np.where(y[np.abs(y).argmax(0), np.arange(y.shape[1])] < 0, -1, 1)
-    return gram.sparkSession.createDataFrame(pd.DataFrame({"id": ids, "y": y.tolist()}), "id long, y array<double>")
+    spark = gram.sparkSession
+    ids = np.sort(gram.select(F.col("src").alias("id")).distinct().toPandas()["id"].to_numpy(np.int64))
+    if len(ids) <= LOCAL_POINTS:
+        got = gram.toPandas()
+        m = np.zeros((len(ids),) * 2)
+        m[np.searchsorted(ids, got["src"]), np.searchsorted(ids, got["dst"])] = got["g"]
+        values, vectors = np.linalg.eigh((m + m.T) / 2)
+        values, vectors = values[::-1][:dimensions], vectors[:, ::-1][:, :dimensions]
+    else:
+        kept = written(gram.select("src", "dst", "g").repartition("src"), "gram")
+        values, vectors = leading(table_product(kept, ids, "g"), len(ids), dimensions)
+        drop(kept)
+    y = upright(vectors * np.sqrt(np.maximum(values, 0)))
+    return spark.createDataFrame(pd.DataFrame({"id": ids, "y": y.tolist()}), "id long, y array<double>")
 
 
 def classical_mds(dissim: DataFrame, dimensions: int = 2) -> DataFrame:
