@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPS = 1e-12
@@ -51,6 +51,12 @@ def finite(c: Column | str) -> Column:
     return F.abs(col(c)) < F.lit(float("inf"))
 
 
+def width(table: DataFrame, column: str) -> int:
+    """The length of a table's vectors by one of them; 1 for a table without any."""
+    row = table.where(F.col(column).isNotNull()).select(column).first()
+    return len(row[0]) if row else 1
+
+
 def mean_vector(column: str, dimensions: int) -> Column:
     """Mean of an array column over a group, dimension by dimension, so that partial sums are combined before a shuffle."""
     return F.array(*[F.avg(F.get(F.col(column), F.lit(i))) for i in range(dimensions)])

@@ -138,7 +138,7 @@ def opposite_asymmetry(pairs: DataFrame) -> DataFrame:
 
 def project_velocity_graph(embedding: DataFrame, transitions: DataFrame, positive_only: bool = True) -> DataFrame:
     """(id, v): sum over targets of (p / sum |p|) times the unit vector towards them; zero without targets."""
-    dimensions = len(embedding.select("y").first()[0])
+    dimensions = V.width(embedding, "y")
     t = transitions.where("p > 0") if positive_only else transitions.where("p <> 0")
     mass = t.groupBy("src").agg(F.sum(F.abs("p")).alias("mass"))
     u = V.sub("b", "a")
@@ -150,7 +150,7 @@ def project_velocity_graph(embedding: DataFrame, transitions: DataFrame, positiv
 
 def project_velocity_mean_corrected(embedding: DataFrame, transitions: DataFrame) -> DataFrame:
     """(id, v): sum of p times unit vectors, minus the mean p times their sum."""
-    dimensions = len(embedding.select("y").first()[0])
+    dimensions = V.width(embedding, "y")
     mean = transitions.groupBy("src").agg(F.avg("p").alias("mean"))
     steps = G.with_vectors(transitions, embedding, "y").join(mean, "src").withColumn("u", V.sub("b", "a")).withColumn("r", V.norm("u"))
     parts = steps.where(F.col("r") > V.EPS).select("src", V.scaled("u", (F.col("p") - F.col("mean")) / F.col("r")).alias("v"))
@@ -202,7 +202,7 @@ def cluster_coherence(labels: DataFrame, knn: DataFrame, velocity: DataFrame) ->
 
 def global_coherence(velocity: DataFrame, eps: float = V.EPS) -> DataFrame:
     """One row: length of the mean unit velocity over those longer than eps; velocities with NaN take no part."""
-    dimensions = len(velocity.select("v").first()[0])
+    dimensions = V.width(velocity, "v")
     unit = velocity.withColumn("r", V.norm("v")).where(V.finite("r") & (F.col("r") > eps)).select(V.scaled("v", 1 / F.col("r")).alias("u"))
     return unit.agg(F.count("*").alias("n"), V.mean_vector("u", dimensions).alias("m")).select("n", F.when(F.col("n") > 0, V.norm("m")).alias("gvcoh"))
 
@@ -245,7 +245,7 @@ def gap_distance(embedding: DataFrame, groups: DataFrame, representative: str =
     """
     if representative not in REPRESENTATIVES:
         raise ValueError(f"representative is one of {', '.join(REPRESENTATIVES)}")
-    dimensions = len(embedding.select("y").first()[0])
+    dimensions = V.width(embedding, "y")
     cells = embedding.join(groups.where("grp in ('before', 'after')"), "id").select("id", "grp", "y")
     if representative == "medoid":
         sums = _distance_sums(cells)
@@ -287,7 +287,7 @@ def largest_distance(embedding: DataFrame) -> DataFrame:
     """
     import numpy as np
 
-    dimensions = len(embedding.select("y").first()[0])
+    dimensions = V.width(embedding, "y")
     mean = embedding.agg(V.mean_vector("y", dimensions).alias("c"))
     out = embedding.select("id", "y").join(F.broadcast(mean)).select("id", "y", V.distance("y", "c").alias("r"))
     far = out.agg(F.max(F.struct("r", "id", "y")).alias("f")).select(F.col("f.y").alias("fy"), F.col("f.r").alias("fr"))
@@ -303,7 +303,7 @@ def largest_distance(embedding: DataFrame) -> DataFrame:
 
 def velocity_scale(embedding: DataFrame, velocity: DataFrame, fraction: float = 0.05) -> DataFrame:
     """One row: factor that gives the median velocity a length of ``fraction`` of the embedding's largest span."""
-    dimensions = len(embedding.select("y").first()[0])
+    dimensions = V.width(embedding, "y")
     spans = [F.max(F.get("y", F.lit(i))) - F.min(F.get("y", F.lit(i))) for i in range(dimensions)]
     span = embedding.agg((F.greatest(*spans) if dimensions > 1 else spans[0]).alias("span"))
     median = velocity.select(V.norm("v").alias("r")).where("r > 0").agg(F.percentile("r", F.lit(0.5)).alias("median"))

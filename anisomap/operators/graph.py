@@ -282,7 +282,7 @@ def velocity_finsler_knn(points: DataFrame, velocity: DataFrame, k: int, alpha:
 
 def average_vectors(vectors: DataFrame, edges: DataFrame, include_self: bool = True, k: int | None = None, name: str = "v", dimensions: int | None = None) -> DataFrame:
     """(id, v): mean over a point and its (k nearest) out-neighbours; a point without any keeps its own."""
-    dimensions = dimensions or len(vectors.select(name).first()[0])
+    dimensions = dimensions or V.width(vectors, name)
     if k is not None:
         edges = edges.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))).where(F.col("r") <= k)
     links = edges.select(F.col("src").alias("id"), F.col("dst").alias("other"))

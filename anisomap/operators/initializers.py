@@ -45,9 +45,41 @@ def classical_mds(dissim: DataFrame, dimensions: int = 2) -> DataFrame:
     return from_gram(centered_gram(dissim), dimensions)
 
 
-def isomap(points: DataFrame, k: int = 10, dimensions: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(embedding, shortest paths with predecessors) of the connected undirected neighbour graph."""
-    sp = shortest_paths(symmetric_knn_graph(points, k, connected=True), directed=False)
+def landmark_mds(dissim: DataFrame, dimensions: int = 2) -> DataFrame:
+    """(id, y): classical scaling of landmarks, the sources of ``dissim(src, dst, d)``, and all targets laid out by them.
+
+    Only distances from landmarks are read. The landmarks' small matrix is solved on the driver (some thousand of them);
+    every target's place is a sum over its squared distances to landmarks, one aggregate. With all points as landmarks
+    this is ``classical_mds``. Targets must have a distance from every landmark; others are left out.
+    """
+    spark = dissim.sparkSession
+    marks = dissim.select(F.col("src").alias("id")).distinct()
+    inner = dissim.join(marks.withColumnRenamed("id", "dst"), "dst", "left_semi").where("src <> dst").select("src", "dst", "d").toPandas()
+    ids = np.sort(marks.toPandas()["id"].to_numpy(np.int64))
+    q = np.zeros((len(ids),) * 2)
+    q[np.searchsorted(ids, inner["src"]), np.searchsorted(ids, inner["dst"])] = inner["d"].to_numpy(float)
+    q = ((q + q.T) / 2) ** 2
+    mean = q.mean(1) if len(ids) else np.zeros(0)
+    g = -0.5 * (q - mean[:, None] - mean[None] + (mean.mean() if len(ids) else 0))
+    values, vectors = np.linalg.eigh((g + g.T) / 2)
+    values, vectors = values[::-1][:dimensions], vectors[:, ::-1][:, :dimensions]
+    top = upright(vectors * np.sqrt(np.maximum(values, 0)))
+    pull = -0.5 * np.divide(top, values, out=np.zeros_like(top), where=values > 1e-12 * max(values.max(initial=0), 1e-300))
+    table = spark.createDataFrame(pd.DataFrame({"src": ids, "m": mean, "p": pull.tolist()}), "src long, m double, p array<double>")
+    rows = dissim.where("src <> dst").select("src", "dst", F.pow("d", F.lit(2.0)).alias("q")).unionByName(marks.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("q")))
+    moved = rows.join(F.broadcast(table), "src").select("dst", V.scaled("p", F.col("q") - F.col("m")).alias("y"))
+    return moved.groupBy(F.col("dst").alias("id")).agg(V.sum_vector("y", max(1, top.shape[1])).alias("y"), F.count("*").alias("n")).where(F.col("n") == len(ids)).select("id", "y")
+
+
+def isomap(points: DataFrame, k: int = 10, dimensions: int = 2, landmarks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(embedding, shortest paths with predecessors) of the connected undirected neighbour graph.
+
+    With ``landmarks`` (id) only ways from them are sought, and other points are laid out by their distances to them.
+    """
+    sp = shortest_paths(symmetric_knn_graph(points, k, connected=True), landmarks, directed=False)
+    if landmarks is not None:
+        sp = written(sp, "paths")
+        return landmark_mds(sp.select("src", "dst", F.col("dist").alias("d")), dimensions), sp
     return classical_mds(sp.where("src <> dst").select("src", "dst", F.col("dist").alias("d")), dimensions), sp
 
 
@@ -77,9 +109,11 @@ def linear_map(embedding: DataFrame, matrix: np.ndarray, name: str = "y") -> Dat
 
 def rotate_velocity_down(embedding: DataFrame, velocity: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Embedding and velocities turned so that the mean velocity points down the last axis."""
-    dimensions = len(velocity.select("v").first()[0])
+    dimensions = V.width(velocity, "v")
     finite = velocity.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
     mean = np.array(finite.agg(V.mean_vector("v", dimensions)).first()[0], float)
+    if np.isnan(mean).any():  # no velocities
+        return embedding, velocity
     r = rotation_to_down(mean)
     return linear_map(embedding, r), linear_map(velocity, r, "v")
 
@@ -153,7 +187,7 @@ def contracted(
     """
     from anisomap.sources.synthetic import normal
 
-    dimensions = len(points.select("x").first()[0])
+    dimensions = V.width(points, "x")
     p = points.withColumn("_s", secondary).withColumn("_r", V.norm("x"))
     p = p.join(F.broadcast(p.agg(F.max("_r").alias("_most")))).withColumn("_q", F.when(F.col("_most") > 0, F.col("_r") / F.col("_most")).otherwise(F.col("_r")))
     factor = F.greatest(F.lit(least), F.when(F.col("_s"), second[0] - second[1] * F.col("_q")).otherwise(main[0] - main[1] * F.col("_q")))
@@ -174,7 +208,7 @@ def scale_to_dissimilarities(embedding: DataFrame, dissim: DataFrame, sample: fl
     from anisomap.operators.graph import with_vectors
     from anisomap.operators.pairs import hash_order
 
-    dimensions = len(embedding.select("y").first()[0])
+    dimensions = V.width(embedding, "y")
     pairs = dissim.where("src <> dst and d > 0 and d < double('infinity')")
     if sample < 1:
         pairs = pairs.where(hash_order(seed, "src", "dst") < int(sample * (1 << 32)))
@@ -185,7 +219,7 @@ def scale_to_dissimilarities(embedding: DataFrame, dissim: DataFrame, sample: fl
 
 def rescale_to_reference(embedding: DataFrame, reference: DataFrame) -> DataFrame:
     """Centred and scaled to the reference's Frobenius norm, and moved to its mean."""
-    dimensions = len(embedding.select("y").first()[0])
+    dimensions = V.width(embedding, "y")
 
     def summary(e: DataFrame, name: str) -> DataFrame:
         squares = F.sum(V.dot("y", "y"))

@@ -55,7 +55,7 @@ def frozen_stress(frozen: DataFrame, pairs: DataFrame, embedding: DataFrame, met
 
 def frozen_gradient(frozen: DataFrame, pairs: DataFrame, embedding: DataFrame, metric: Metric, normalized: bool = False) -> DataFrame:
     """(id, g): reverse mode over frozen paths: pairs' residuals go to their edges, edges' gradients to their ends."""
-    dimensions = len(embedding.select("y").first()[0])
+    dimensions = V.width(embedding, "y")
     plen = frozen_lengths(frozen, embedding, metric)
     coef = pairs.join(plen, ["src", "dst"]).select("src", "dst", (2 * F.col("w") * (F.col("plen") - F.col("d"))).alias("coef"))
     adjoint = frozen.join(coef, ["src", "dst"]).groupBy("tail", "head").agg(F.sum("coef").alias("adj"))
@@ -74,7 +74,7 @@ def frozen_gradient(frozen: DataFrame, pairs: DataFrame, embedding: DataFrame, m
 def smacof_uniform_step(dissim: DataFrame, embedding: DataFrame, alpha: float = 0.0, weight: float = 1.0) -> DataFrame:
     """(id, y): one majorization step for equal weights over all pairs, projected to mean zero."""
     n = embedding.count()
-    dimensions = len(embedding.select("y").first()[0])
+    dimensions = V.width(embedding, "y")
     back = dissim.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("d").alias("back"))
     both = with_vectors(dissim.where("src <> dst").join(back, ["src", "dst"]), embedding, "y")
     gap = V.distance("a", "b")

@@ -10,7 +10,7 @@ from anisomap.api import fit
 from anisomap.functions.metrics import ConvexMatsumoto, Randers
 from anisomap.operators import initializers as I
 from anisomap.operators import paths as H
-from anisomap.plans.inputs import event_transitions, graph, points, trade
+from anisomap.plans.inputs import event_transitions, graph, landmarks, points, trade
 from anisomap.plans.pairing import all_pairs
 from anisomap.session import ship
 from anisomap.storage import written
@@ -52,6 +52,7 @@ _register("fit_soft_bf", lambda s, d: fit(geodesics(s, d), ConvexMatsumoto(0.3),
 _register("fit_soft_fw", lambda s, d: fit(nations(s, d), Randers(0.3), "datasp", max_iter=8, graph_neighbors=12, n_components=3, seed=1).history_frame(s))
 _register("fit_umap", lambda s, d: fit(all_pairs(s, d), Randers(0.2), "finsler_umap", n_neighbors=10, max_iter=100).frame(s))
 _register("isomap_init", lambda s, d: I.isomap(points(s, d).select("id", "x"), 10, 2)[0])
+_register("landmark_isomap", lambda s, d: I.isomap(points(s, d).select("id", "x"), 10, 2, landmarks(s, d))[0])
 _register("classical_mds", lambda s, d: I.classical_mds(all_pairs(s, d), 2))
 
 

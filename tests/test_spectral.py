@@ -66,3 +66,18 @@ def test_product_of_a_table(spark):
     y = np.array([[1.0, 2], [3, 4], [5, 6]])
     got = table_product(spark.createDataFrame(rows, "src long, dst long, g double"), np.array([7, 9, 30]), "g")(y)
     assert got.tolist() == [[5.0, 8.0], [1.0, 2.0], [-12.0, -16.0]]
+
+
+def test_landmarks_lay_out_the_rest(spark):
+    x = np.random.default_rng(6).normal(size=(30, 2)) * [4, 2]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    rows = [(i, j, float(d[i, j])) for i in range(30) for j in range(30) if i != j]
+    want = {r.id: r.y for r in I.classical_mds(edges(spark, rows), 2).collect()}
+    got = {r.id: r.y for r in I.landmark_mds(edges(spark, rows), 2).collect()}
+    assert got.keys() == want.keys() and np.allclose([got[i] for i in got], [want[i] for i in got], atol=1e-6)
+    # Distances in the plane are kept by any four landmarks; a point without a distance to one of them is left out.
+    few = [r for r in rows if r[0] in (3, 9, 11, 20) and r[:2] != (3, 29)]
+    got = {r.id: np.array(r.y) for r in I.landmark_mds(edges(spark, few), 2).collect()}
+    assert set(got) == set(range(29))
+    assert np.allclose([[np.linalg.norm(got[i] - got[j]) for j in range(29)] for i in range(29)], d[:29, :29], atol=1e-6)
+    assert I.landmark_mds(edges(spark, rows).limit(0), 2).count() == 0
