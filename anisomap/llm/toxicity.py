@@ -31,8 +31,13 @@ STEP_BYTES = 1 << 20
 WRONG = 0.02
 
 
-def _probability(pooled: np.ndarray) -> np.ndarray:
-    """Of soft maxima; 0 where there was no window."""
+#: Windows beyond which a soft maximum is taken over the mean of so many: else chance alone would make long texts toxic.
+MANY = 1 << 16
+
+
+def _probability(pooled: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Of soft maxima over so many windows; 0 where there was none."""
+    pooled = pooled - np.log(np.maximum(1.0, windows / MANY))
     return np.where(np.isneginf(pooled), 0.0, 1 / (1 + np.exp(-np.clip(pooled / SHARP, -30, 30))))
 
 
@@ -83,12 +88,14 @@ class SubwordBag:
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         pooled, table = np.full(len(texts), -np.inf), getattr(self, "frozen", None)
+        windows = np.zeros(len(texts), np.int64)
         if table is None:
             table = self.frozen = self._table()
         for a, starts, text in subwords.blocks(texts, digits=True, lap=WINDOW - 1):
             z, _, _, owner, _, _ = self._forward(a, starts, table)
             self._pooled(z, text[owner], pooled)
-        return _probability(pooled)
+            windows += np.bincount(text[owner], minlength=len(texts))
+        return _probability(pooled, windows)
 
     def _gradients(self, texts: list[str], y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
         """Of the summed log loss of each block of texts: rows of the table, the derivatives by their products with w, and that by the bias."""
@@ -96,7 +103,7 @@ class SubwordBag:
             z, lo, hi, owner, number, kept = self._forward(a, starts, self._table())
             pooled = np.full(len(starts), -np.inf)
             self._pooled(z, owner, pooled)
-            p = _probability(pooled)
+            p = _probability(pooled, np.bincount(owner, minlength=len(starts)))
             given = WRONG + (1 - 2 * WRONG) * p  # that the label says toxic
             by_logit = (given - y[text]) / (given * (1 - given)) * (1 - 2 * WRONG) * p * (1 - p)
             g = by_logit[owner] * np.exp(SHARP * z - pooled[owner])

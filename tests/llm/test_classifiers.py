@@ -93,7 +93,9 @@ def test_toxicity_on_held_out_texts_and_misspellings(labelled):
     # Length alone does not make clean texts toxic, nor a toxic passage clean.
     clean = " ".join(t for t, k, s in zip(test.text, y, score, strict=True) if k == 0 and s < 0.3)[:1_000_000]
     assert len(clean) == 1_000_000
-    assert model.score([clean])[0] < 0.35 and model.score([clean[:500_000] + " what an idiot and stupid loser " + clean[500_000:]])[0] > 0.9
+    assert model.score([clean])[0] < 0.3 and model.score([clean[:500_000] + " what an idiot and stupid loser " + clean[500_000:]])[0] > 0.9
+    longest = " ".join([clean] * 10)
+    assert model.score([longest])[0] < 0.3 and model.score([longest + " what an idiot and stupid loser"])[0] > 0.8
 
 
 def test_toxicity_gradients_by_differences(monkeypatch):
