@@ -10,7 +10,7 @@ from anisomap.functions import vectors as V
 from anisomap.operators import dissimilarity as D
 from anisomap.operators import graph as G
 from anisomap.operators import paths as H
-from anisomap.plans.inputs import EDGE, EMB, EVENTS, GSYM, KNN, LANDMARKS, PTS, TARGETS, TIME, TRADE, VEL, border, cluster_edges, embedding, event_transitions, graph, knn, labels, landmarks, points, sql, times, trade, velocity
+from anisomap.plans.inputs import EDGE, EMB, EVENTS, GSYM, KNN, LANDMARKS, PTS, TARGETS, TIME, TRADE, VEL, border, embedding, event_transitions, graph, knn, landmarks, points, sql, times, trade, velocity
 
 R = V.rounded
 QUERIES: dict = {}
