@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,9 +119,8 @@ class Graph:
         return value, self.gradient(x, metric, adjoint)
 
 
-def _frozen(rows: DataFrame, ids: np.ndarray, graph: Graph, factors: tuple[float, float]) -> DataFrame:
-    """One row of ``TREES`` for each row (src, goals: array of (dst, d, w, own))."""
-    held = ship(rows.sparkSession).sparkContext.broadcast((ids, graph))
+def _frozen(rows: DataFrame, held: Broadcast, factors: tuple[float, float]) -> DataFrame:
+    """One row of ``TREES`` for each row (src, goals: array of (dst, d, w, own)); ``held`` has the ids and the graph."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, g = held.value
@@ -140,7 +139,10 @@ def _frozen(rows: DataFrame, ids: np.ndarray, graph: Graph, factors: tuple[float
 
 def tree_objective(rows: DataFrame, ids: np.ndarray, graph: Graph, metric: Metric, factors: tuple[float, float] = (1.0, 1.0), local_trees: int | None = None) -> tuple[Callable, Callable]:
     """(value and gradient of the frozen paths' raw stress at given coordinates, what to call when it is done)."""
-    trees, (_, lost, nodes) = written_with(_frozen(rows, ids, graph, factors), "trees", F.sum("lost"), F.sum(F.size("parent")))
+    context = ship(rows.sparkSession).sparkContext
+    held = context.broadcast((ids, graph))
+    trees, (_, lost, nodes) = written_with(_frozen(rows, held, factors), "trees", F.sum("lost"), F.sum(F.size("parent")))
+    held.unpersist()
     if lost:
         drop(trees)
         raise ValueError("an active pair is unreachable")
@@ -148,7 +150,6 @@ def tree_objective(rows: DataFrame, ids: np.ndarray, graph: Graph, metric: Metri
         forest = Forest(trees.drop("lost").toPandas())
         drop(trees)
         return lambda x: graph.raw(x, metric, [forest]), lambda: None
-    context = trees.sparkSession.sparkContext
     shared = context.broadcast(graph)
     trees = trees.drop("lost").persist(StorageLevel.DISK_ONLY)
 
