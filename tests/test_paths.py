@@ -95,3 +95,18 @@ def test_kernel_on_random_graphs():
             dist, hops, pred = g.search(s)
             got = {int(g.ids[v]): (dist[v], hops[v], None if pred[v] < 0 else int(g.ids[pred[v]])) for v in np.flatnonzero(hops >= 0)}
             assert got == labels(list(zip(src.tolist(), dst.tolist(), d.tolist(), strict=True)), int(g.ids[s]))
+
+
+@pytest.mark.parametrize("strategy", ["kernel", "iterative"])
+@pytest.mark.parametrize("turns", [1, 3, 50])
+def test_ways_of_few_edges(spark, strategy, turns):
+    rows = [(i, i + 1, 0.25) for i in range(40)] + [(0, 40, 20.0), (0, 30, 8.0), (30, 38, 0.5), (2, 38, 9.0), (1, 38, 9.25)]
+    steps = edges(spark, rows)
+    best = {(0, 0): (0.0, 0, None)}
+    for h in range(1, turns + 1):
+        for s, t, w in rows:
+            if (before := best.get((s, h - 1))) and (best.get((t, h)) or best.get((t, h - 1)) or (np.inf,)) > (c := (before[0] + w, h, s)):
+                best[t, h] = c
+        best |= {(t, h): best[t, h - 1] for t in range(41) if (t, h) not in best and (t, h - 1) in best}
+    got = H.shortest_paths(steps, steps.where("src = 0").select(F.col("src").alias("id")), strategy=strategy, most_hops=turns).collect()
+    assert {r.dst: (r.dist, r.hops, r.pred) for r in got} == {t: best[t, turns] for t in range(41) if (t, turns) in best}
