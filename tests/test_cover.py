@@ -80,3 +80,13 @@ def share_compared(spark, x, k):
 
 def test_few_pairs_are_compared_on_clustered_points(spark):
     assert share_compared(spark, clustered(20_000, d=8, clusters=200), 10) < 0.1
+
+
+def test_points_are_sent_once_a_group_where_all_balls_overlap(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(1200, 16))
+    seen = []
+    monkeypatch.setattr(C, "written", lambda df, name, own=C.written: seen.append((name, own(df, name))) or seen[-1][1])
+    got = {(r.src, r["rank"], r.dst) for r in G.nearest_neighbors(points_of(spark, x), 5, 20, 60).collect()}
+    assert got == {row for rows in brute(x, 5) for row in rows}
+    wanted = dict(seen)["wanted"]
+    assert wanted.select("block").distinct().count() >= 60 and max(r["count"] for r in wanted.groupBy("block").count().collect()) <= 9
