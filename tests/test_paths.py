@@ -110,3 +110,21 @@ def test_ways_of_few_edges(spark, strategy, turns):
         best |= {(t, h): best[t, h - 1] for t in range(41) if (t, h) not in best and (t, h - 1) in best}
     got = H.shortest_paths(steps, steps.where("src = 0").select(F.col("src").alias("id")), strategy=strategy, most_hops=turns).collect()
     assert {r.dst: (r.dist, r.hops, r.pred) for r in got} == {t: best[t, turns] for t in range(41) if (t, turns) in best}
+
+
+@pytest.mark.parametrize("strategy", ["kernel", "iterative"])
+def test_wanted_pairs_only(spark, strategy):
+    steps = edges(spark, [(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0), (0, 3, 9.0), (3, 0, 1.0), (1, 4, 1.0)])
+    wanted = spark.createDataFrame([(0, 3), (0, 3), (3, 1), (7, 7), (7, 1), (4, 0)], "src long, dst long")
+    got = H.shortest_paths(steps, strategy=strategy, wanted=wanted).collect()
+    assert {(r.src, r.dst): (r.dist, r.pred) for r in got} == {(0, 3): (3.0, 2), (3, 1): (2.0, 0), (7, 7): (0.0, None)}
+    along = H.shortest_paths(steps, strategy=strategy, wanted=wanted, along=True).collect()
+    assert sorted((r.src, r.dst) for r in along) == [(0, 0), (0, 1), (0, 2), (0, 3), (3, 0), (3, 1), (3, 3), (7, 7)]
+
+
+def test_paths_of_few_sources_are_not_broadcast(spark):
+    """Spark takes what tasks give to have as many rows as there are sources; at 10,000 points it broadcast 5 million rows."""
+    ring = edges(spark, [(i, (i + 1) % 50, 1.0) for i in range(50)])
+    sp = H.shortest_paths(ring, spark.range(1))
+    joined = ring.select("src", "dst").join(sp.select("src", "dst", F.col("dist").alias("e")), ["src", "dst"], "left")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
