@@ -90,3 +90,21 @@ def test_points_are_sent_once_a_group_where_all_balls_overlap(spark, monkeypatch
     assert got == {row for rows in brute(x, 5) for row in rows}
     wanted = dict(seen)["wanted"]
     assert wanted.select("block").distinct().count() >= 60 and max(r["count"] for r in wanted.groupBy("block").count().collect()) <= 9
+
+
+def test_single_precision_leaves_no_neighbour_out():
+    """Pairs are ruled out by single-precision products, with their rounding as slack: near copies and points far off too."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(3000, 16))
+    x[1500:2000] = x[:500] + 1e-6 * r.normal(size=(500, 16))
+    for points in (x, x + 100.0, x + 1e6):
+        exact = np.sqrt(((points[:700, None] - points[None]) ** 2).sum(-1))
+        exact[np.arange(700), np.arange(700)] = np.inf
+        limit = np.sort(exact, 1)[:, 9]
+        used = G._Single(points[:700], points, limit)
+        assert used.useful
+        src, dst, dist = G._k_nearest(np.arange(700), points[:700], np.arange(3000), points, 10, limit)
+        for i in range(700):
+            order = np.lexsort((np.arange(3000), exact[i]))[:10]
+            assert dst[src == i].tolist() == order.tolist()
+            assert dist[src == i].tolist() == exact[i][order].tolist()
