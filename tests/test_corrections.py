@@ -218,3 +218,21 @@ def test_names_of_starts(spark, tmp_path):
             I.named_init(bad, y, 2, y, {})
     noisy = I.diagonal_view(points_of(spark, np.eye(3)), noise=0.1)
     assert noisy.agg(F.avg(F.get("y", F.lit(0)))).first()[0] == pytest.approx(0, abs=1e-12)
+
+
+def test_farthest_points_read_chosen_rows_only(spark):
+    """A function gives the rows of one point; the choice is that of a table of all pairs, directed ones included."""
+    x = np.random.default_rng(5).normal(size=(40, 3))
+    p, asked = points_of(spark, x), []
+    tilted = F.col("dist") + 0.01 * (F.col("dst") - F.col("src"))
+    every = G.all_distances(p).select("src", "dst", tilted.alias("d"))
+
+    def touching(ids):
+        asked.append([r.id for r in ids.collect()])
+        one = G.all_distances(p, sources=p.join(ids, "id", "left_semi"))
+        both = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist"))
+        return both.select("src", "dst", tilted.alias("d"))
+
+    got = sorted(r.id for r in P.farthest_points(p, touching, 4, seed=1).collect())
+    assert got == sorted(r.id for r in P.farthest_points(p, every, 4, seed=1).collect())
+    assert sorted(c for ids in asked for c in ids) == got
