@@ -128,3 +128,12 @@ def test_paths_of_few_sources_are_not_broadcast(spark):
     sp = H.shortest_paths(ring, spark.range(1))
     joined = ring.select("src", "dst").join(sp.select("src", "dst", F.col("dist").alias("e")), ["src", "dst"], "left")
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("strategy", [5_000_000, 0])
+def test_forest_of_reachable_pairs(spark, monkeypatch, strategy):
+    monkeypatch.setattr(H, "BROADCAST_EDGES", strategy)
+    steps = edges(spark, [(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0), (0, 3, 9.0), (1, 4, 1.0), (5, 6, 1.0)])
+    pairs = spark.createDataFrame([(0, 3), (1, 3), (0, 6), (5, 5)], "src long, dst long")
+    got = H.reached_forest(steps, pairs)
+    assert sorted((r.tail, r.head) for r in got.collect()) == [(0, 1), (1, 2), (2, 3)]
