@@ -8,6 +8,7 @@ from anisomap.functions import vectors as V
 from anisomap.operators import dissimilarity as D
 from anisomap.operators import evaluate as E
 from anisomap.operators import graph as G
+from anisomap.operators import objectives as O
 from anisomap.operators import pairs as P
 from anisomap.sources import store as S
 
@@ -236,3 +237,25 @@ def test_farthest_points_read_chosen_rows_only(spark):
     got = sorted(r.id for r in P.farthest_points(p, touching, 4, seed=1).collect())
     assert got == sorted(r.id for r in P.farthest_points(p, every, 4, seed=1).collect())
     assert sorted(c for ids in asked for c in ids) == got
+
+
+def _both_ways(spark):
+    x = np.random.default_rng(6).normal(size=(30, 3))
+    p = points_of(spark, x)
+    pairs = G.all_distances(p, 8).select("src", "dst", (F.col("dist") + 0.01 * (F.col("dst") - F.col("src"))).alias("d"), (F.col("dist") + 0.01 * (F.col("src") - F.col("dst"))).alias("back"))
+    return p.select("id", F.col("x").alias("y")), pairs
+
+
+def test_gram_of_pairs_with_both_directions_is_not_joined_with_itself(spark):
+    _, pairs = _both_ways(spark)
+    got, table = O.centered_gram(pairs), O.centered_gram(pairs.drop("back"))
+    a, b = (t.toPandas().sort_values(["src", "dst"]).reset_index(drop=True) for t in (got, table))
+    assert len(a) == 900 and (a[["src", "dst"]] == b[["src", "dst"]]).all().all() and np.allclose(a["g"], b["g"])
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_step_of_pairs_with_both_directions_is_not_joined_with_itself(spark):
+    y, pairs = _both_ways(spark)
+    got = O.smacof_uniform_step(pairs, y, 0.5)
+    a, b = (np.array([r.y for r in t.orderBy("id").collect()]) for t in (got, O.smacof_uniform_step(pairs.drop("back"), y, 0.5)))
+    assert np.allclose(a, b) and "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
