@@ -108,3 +108,22 @@ def test_single_precision_leaves_no_neighbour_out():
             order = np.lexsort((np.arange(3000), exact[i]))[:10]
             assert dst[src == i].tolist() == order.tolist()
             assert dist[src == i].tolist() == exact[i][order].tolist()
+
+
+def test_most_pairs_of_a_group_are_compared_in_single_precision(monkeypatch):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(9000, 32))
+    x[100:120] = x[50]
+    ids, counted, rough, within = np.arange(9000), [], G._near_pairs, G._within_rough
+    monkeypatch.setattr(G, "_near_pairs", lambda *a: counted.append(len(a[0]) * len(a[2])) or rough(*a))
+    monkeypatch.setattr(G, "_within_rough", lambda *a: counted.append(len(a[0]) * len(a[1])) or within(*a))
+    src, dst, dist = G._k_nearest(ids[:600], x[:600], ids, x, 5)
+    a, b, d = G._within(ids[:600], x[:600], ids, x, 4.0)
+    assert sum(counted) < 600 * 9000 / 2
+    for i in (0, 50, 101, 599):
+        want = np.sqrt(((x - x[i]) ** 2).sum(1))
+        want[i] = np.inf
+        order = np.lexsort((ids, want))[:5]
+        at = np.lexsort((dst[src == i], dist[src == i]))
+        assert dst[src == i][at].tolist() == order.tolist() and dist[src == i][at].tolist() == want[order].tolist()
+        assert sorted(b[a == i].tolist()) == np.flatnonzero(want <= 4.0).tolist()

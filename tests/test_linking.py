@@ -77,3 +77,19 @@ def test_bounds_leave_far_pairs_out():
     b = pd.DataFrame({"id": [5, 6], "x": [[3.0], [0.5]], "part": [1, 0]})
     assert closest(q, b, None).values.tolist() == [[0, 1, 1, 5, 2.0]]
     assert len(closest(q, b, None, np.array([1.5, 1.5]))) == 0
+
+
+def test_few_pairs_are_compared_in_double_precision(monkeypatch):
+    r = np.random.default_rng(8)
+    rows = lambda n, first: pd.DataFrame({"id": np.arange(first, first + n), "x": list(r.normal(size=(n, 16))), "part": r.integers(0, 150, n)})
+    q, b = rows(400, 0), rows(8192, 1000)
+    counted = []
+    rough = linking.rough_distances
+    monkeypatch.setattr(linking, "rough_distances", lambda x, y: counted.append(len(x) * len(y)) or rough(x, y))
+    got = [closest(q, b, None), closest(q, b, None, np.full(len(q), 4.0))]
+    assert sum(counted) < 400 * 8192 / 4
+    monkeypatch.setattr(linking, "FIRST", 1 << 30)
+    for one, bounds in zip(got, (None, np.full(len(q), 4.0)), strict=True):
+        want = closest(q, b, None, bounds)
+        want = want[want["d"] <= 4.0] if bounds is not None else want
+        assert one.sort_values("part").values.tolist() == want.sort_values("part").values.tolist() and len(one) > 100
