@@ -270,3 +270,18 @@ def test_obstacles_and_corridors(spark):
     assert kept == {(0, 1), (1, 0), (1, 2), (2, 1), (2, 3), (3, 2)}
     with pytest.raises(RuntimeError):  # too few neighbours
         G.corridor_graph(points(spark, x), [(0.0, 0.0, 1.0, 0.0)], 0.1, 2, 3)
+
+
+def test_of_a_dense_table_few_pairs_are_shuffled_for_neighbours(spark):
+    from anisomap.operators import fuzzy
+
+    r = np.random.default_rng(6)
+    n = 150
+    d = np.round(r.random((n, n)), 2)
+    rows = [(i, j, float(d[i, j])) for i in range(n) for j in range(n) if i != j]
+    dense = edges(spark, rows).repartition(4)
+    assert fuzzy._candidates(dense, 5).count() <= 2 * 5 * n
+    got = {(x.src, x["rank"]): x.dst for x in fuzzy.directed_knn(dense, 5).collect()}
+    for i in range(n):
+        order = [j for j in np.lexsort((np.arange(n), d[i])) if j != i][:5]
+        assert [got[i, k] for k in range(1, 6)] == order
