@@ -81,3 +81,33 @@ def test_landmarks_lay_out_the_rest(spark):
     assert set(got) == set(range(29))
     assert np.allclose([[np.linalg.norm(got[i] - got[j]) for j in range(29)] for i in range(29)], d[:29, :29], atol=1e-6)
     assert I.landmark_mds(edges(spark, rows).limit(0), 2).count() == 0
+
+
+def test_wide_blocks_need_few_products():
+    x = np.random.default_rng(3).normal(size=(400, 64))
+    calls = []
+    values, vectors = leading(lambda y: calls.append(1) or x @ (x.T @ y), 400, 2, width=32)
+    want, dense = np.linalg.eigh(x @ x.T)
+    assert len(calls) <= 4 and np.allclose(values, want[::-1][:2]) and angle(dense[:, ::-1][:, :2], vectors) < 1e-6
+
+
+@pytest.mark.parametrize("local", [0, 2000])
+@pytest.mark.parametrize("diagonal", [False, True])
+def test_scaling_of_packed_squares_is_that_of_the_gram_table(spark, monkeypatch, local, diagonal):
+    from anisomap.operators.objectives import centered_gram
+
+    r = np.random.default_rng(8)
+    d = r.random((20, 20)) + np.arange(20)
+    # Pairs that are missing (both ways) stay 0 in the centred matrix, whichever way it is read.
+    rows = [(3 * i, 3 * j, float(d[i, j]), float(d[j, i])) for i in range(20) for j in range(20) if (i != j or diagonal) and {i, j} != {2, 7}]
+    pairs = spark.createDataFrame(rows, "src long, dst long, d double, back double")
+    gram = centered_gram(pairs).toPandas()
+    m = np.zeros((20, 20))
+    m[gram["src"] // 3, gram["dst"] // 3] = gram["g"]
+    values, vectors = np.linalg.eigh((m + m.T) / 2)
+    want = vectors[:, ::-1][:, :2] * np.sqrt(np.maximum(values[::-1][:2], 0))
+    want *= np.where(want[np.abs(want).argmax(0), [0, 1]] < 0, -1, 1)
+    monkeypatch.setattr(I, "LOCAL_POINTS", local)
+    for table in (pairs, pairs.drop("back")):
+        got = {x.id: x.y for x in I.classical_mds(table, 2).collect()}
+        assert np.allclose([got[3 * i] for i in range(20)], want, atol=1e-6)
