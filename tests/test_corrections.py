@@ -259,3 +259,13 @@ def test_step_of_pairs_with_both_directions_is_not_joined_with_itself(spark):
     got = O.smacof_uniform_step(pairs, y, 0.5)
     a, b = (np.array([r.y for r in t.orderBy("id").collect()]) for t in (got, O.smacof_uniform_step(pairs.drop("back"), y, 0.5)))
     assert np.allclose(a, b) and "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_isomap_joins_no_pairs(spark, monkeypatch):
+    from anisomap.operators import initializers as I
+
+    seen = []
+    monkeypatch.setattr(I, "symmetric_squares", lambda d: seen.append(d.columns) or __import__("anisomap.operators.objectives", fromlist=["x"]).symmetric_squares(d))
+    x = [(i, [float(i % 5), float(i // 5), 0.1 * i]) for i in range(20)]
+    got, sp = I.isomap(spark.createDataFrame(x, "id long, x array<double>"), 3, 2)
+    assert "back" in seen[0] and got.count() == 20 and sp.count() == 400
