@@ -144,3 +144,13 @@ def test_unreachable_pairs_raise(spark):
     with pytest.raises(ValueError, match="unreachable"):
         Z.tree_objective(goals, np.array([0, 1, 2, 9]), Z.Graph(np.random.default_rng(0).normal(size=(3, 2)), Randers(0.1), 2), Randers(0.1))
 
+
+
+def test_soft_paths_of_tasks_are_those_of_the_driver(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(24, 3))
+    rows = [(i, j, float(np.sqrt(((x[i] - x[j]) ** 2).sum()) + 0.05 * (x[j, 0] - x[i, 0]))) for i in range(24) for j in range(24) if i != j]
+    dissim = spark.createDataFrame(rows, "src long, dst long, d double")
+    options = dict(max_iter=3, n_relaxations=5, graph_neighbors=4, n_landmark=9, targets_per_landmark=6, n_local_pairs=3, source_batch_size=2, seed=1)
+    a, b = (fit(dissim, ConvexMatsumoto(0.3), "soft_bellman_ford", local_relaxed=n, **options) for n in (None, 0))
+    assert np.isfinite(a.stress) and np.allclose(a.y, b.y, atol=1e-9) and abs(a.stress - b.stress) < 1e-12
