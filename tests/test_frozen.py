@@ -154,3 +154,28 @@ def test_soft_paths_of_tasks_are_those_of_the_driver(spark):
     options = dict(max_iter=3, n_relaxations=5, graph_neighbors=4, n_landmark=9, targets_per_landmark=6, n_local_pairs=3, source_batch_size=2, seed=1)
     a, b = (fit(dissim, ConvexMatsumoto(0.3), "soft_bellman_ford", local_relaxed=n, **options) for n in (None, 0))
     assert np.isfinite(a.stress) and np.allclose(a.y, b.y, atol=1e-9) and abs(a.stress - b.stress) < 1e-12
+
+
+def test_soft_fit_skips_no_target(spark, sf, monkeypatch):
+    from anisomap.operators import optimizers as Q
+    from anisomap.plans import fitting
+
+    lost = []
+    relaxed = Q._relaxed
+    monkeypatch.setattr(Q, "_relaxed", lambda *a: lost.append(relaxed(*a)) or lost[-1])
+    monkeypatch.setattr(Q, "LOCAL_RELAXED", 1 << 40)
+    assert np.isfinite(fitting.QUERIES["fit_soft_bf"](spark, sf).first()["stress"])
+    assert lost and all(got[2] == 0 for got in lost)
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_settled_rounds_are_the_edges_of_the_longest_way(spark, local):
+    from anisomap.operators.optimizers import settled_rounds, soft_relaxations
+
+    # A chain with a dear shortcut: the shortest way to its end has 9 edges.
+    tail, head, cost = np.array([*range(9), 0]), np.array([*range(1, 10), 9]), np.array([1.0] * 9 + [50.0])
+    goals = spark.createDataFrame([(0, [4, 9], [1.0, 1.0], [1.0, 1.0]), (7, [8], [1.0], [1.0])], "src long, dst array<long>, d array<double>, w array<double>")
+    rounds = settled_rounds(goals, np.arange(10), (tail, head, cost), local)
+    assert rounds == 9
+    assert abs(soft_relaxations(10, tail, head, cost, 100.0, rounds, np.array([0]))[0, 9] - 9) < 0.3
+    assert soft_relaxations(10, tail, head, cost, 100.0, 8, np.array([0]))[0, 9] > 49
