@@ -111,3 +111,17 @@ def test_scaling_of_packed_squares_is_that_of_the_gram_table(spark, monkeypatch,
     for table in (pairs, pairs.drop("back")):
         got = {x.id: x.y for x in I.classical_mds(table, 2).collect()}
         assert np.allclose([got[3 * i] for i in range(20)], want, atol=1e-6)
+
+
+def test_spectral_start_settles_where_eigenvalues_are_close():
+    # Pairs of copies on a long chain: the second eigenvalue is within 1e-6 of the first.
+    n = 2400
+    src, dst = np.arange(n - 1), np.arange(1, n)
+    p = np.where(src % 2 == 0, 1.0, 0.3)
+    got = spectral_start(n, src, dst, p, 1)
+    clean = got - np.random.default_rng(0).normal(0, 1e-4, got.shape)
+    a = np.zeros((n, n))
+    a[src, dst] = a[dst, src] = p
+    root = 1 / np.sqrt(a.sum(1))
+    dense = np.linalg.eigh(root[:, None] * a * root)[1][:, -2:-1]
+    assert angle(dense, clean) < 1e-4
