@@ -285,3 +285,36 @@ def test_of_a_dense_table_few_pairs_are_shuffled_for_neighbours(spark):
     for i in range(n):
         order = [j for j in np.lexsort((np.arange(n), d[i])) if j != i][:5]
         assert [got[i, k] for k in range(1, 6)] == order
+
+
+@pytest.mark.parametrize("margin", [None, 0.7])
+def test_packed_pairs_give_the_same_stress(spark, margin):
+    r = np.random.default_rng(8)
+    rows = [(int(10 * i), int(10 * j), float(r.random() + 0.1), float(r.random())) for i in range(30) for j in range(30) if i != j]
+    pairs = spark.createDataFrame(rows, "src long, dst long, d double, w double").repartition(3)
+    ids, arrays = opt.collect_pairs(pairs)
+    x = r.normal(size=(30, 2))
+    a, b = O.direct_raw(x, arrays, Randers(0.3), margin), opt.packed_raw(opt.packed_pairs(pairs, ids), x, Randers(0.3), margin)
+    assert a[0] == pytest.approx(b[0], rel=1e-12) and np.allclose(a[1], b[1], atol=1e-12)
+
+
+def test_tasks_of_a_gradient_run_in_one_job(spark):
+    """A local iterator runs a job for each partition, so that few of them work at a time."""
+    parts = spark.range(0, 6, 1, 6).selectExpr("double(id) as v", "array(double(id), 1d, 2d, 3d) as g")
+    spark.sparkContext.setJobGroup("parts", "parts")
+    value, grad = opt.summed_parts(parts, (2, 2))
+    assert value == 15 and grad.tolist() == [[15, 6], [12, 18]]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("parts")) == 1
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_quantiles_of_many_values(spark, monkeypatch):
+    from anisomap.operators import quantiles as U
+
+    monkeypatch.setattr(U, "FEW", 10)
+    shares = [0.0, 0.05, 0.5, 0.95, 1.0]
+    for n, kind in ((11, "rand(3)"), (20_000, "rand(3)"), (20_001, "double(id % 7)"), (20_000, "if(id % 3 = 0, null, exp(20 * rand(1)))")):
+        v = spark.range(n).selectExpr(f"{kind} as v").localCheckpoint()
+        want = v.agg(F.percentile("v", F.array(*map(F.lit, shares)))).first()[0]
+        assert U.large_quantiles(v, "v", shares) == pytest.approx(want, rel=1e-12)
+    assert U.large_quantiles(spark.range(5).selectExpr("double(id) as v"), "v", [0.5]) is None
