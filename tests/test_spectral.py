@@ -125,3 +125,15 @@ def test_spectral_start_settles_where_eigenvalues_are_close():
     root = 1 / np.sqrt(a.sum(1))
     dense = np.linalg.eigh(root[:, None] * a * root)[1][:, -2:-1]
     assert angle(dense, clean) < 1e-4
+
+
+def test_many_landmarks_are_solved_without_their_matrix(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(40, 3)) * [5, 3, 1]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    dissim = edges(spark, [(3 * i, 3 * j, float(d[i, j])) for i in range(12) for j in range(40) if i != j])
+    want = {r.id: r.y for r in I.landmark_mds(dissim, 2).collect()}
+    monkeypatch.setattr(I, "LOCAL_POINTS", 5)
+    scaled = []
+    monkeypatch.setattr(I, "_scaling", lambda *a, own=I._scaling: scaled.append(1) or own(*a))
+    got = {r.id: r.y for r in I.landmark_mds(dissim, 2).collect()}
+    assert scaled and len(want) == 40 and got.keys() == want.keys() and np.allclose([got[i] for i in got], [want[i] for i in got], atol=1e-6)
