@@ -190,3 +190,17 @@ def test_forest_of_all_pairs_has_no_pairs(spark, monkeypatch):
     assert want and sorted((r.tail, r.head) for r in H.reached_forest(steps, sources=sources, targets=targets).collect()) == want
     monkeypatch.setattr(H, "BROADCAST_EDGES", 0)
     assert sorted((r.tail, r.head) for r in H.reached_forest(steps, sources=sources, targets=targets).collect()) == want
+
+
+def test_lengths_along_ways_need_no_path_table(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = [(int(a), int(b), float(w)) for a, b, w in zip(r.integers(0, 40, 200), r.integers(0, 40, 200), r.random(200), strict=True) if a != b]
+    steps, sources = edges(spark, rows), spark.createDataFrame([(1,), (5,), (99,)], "id long")
+    want = {(r.src, r.dst): r.dist for r in H.shortest_paths(steps, sources).where("src <> dst").collect()}
+    for most in (H.BROADCAST_EDGES, 0):
+        monkeypatch.setattr(H, "BROADCAST_EDGES", most)
+        with monkeypatch.context() as m:
+            if most:
+                m.setattr(H, "path_table", None)
+            got = {(r.src, r.dst): r.dist for r in H.way_lengths(steps, sources).collect()}
+        assert got == pytest.approx(want, rel=1e-12) and len(got) > 40
